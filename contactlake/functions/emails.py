@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactlake.functions.text import strip, unicode_pattern
+from contactlake.functions.text import bind, named_struct, strip, unicode_pattern
 from contactlake.lookups import EMAIL_PATTERN, EXCLUDED_EMAIL_DOMAINS
 
 # A maximal run of characters an address and its word boundaries can depend on,
@@ -47,14 +47,20 @@ def email_domain(email: Column) -> Column:
 
 def email_reject_reason(email: Column) -> Column:
     """First rule a raw address breaks, or NULL for a valid one."""
-    return first_broken_rule(normalize_email(email))
+    return bind(normalize_email(email), first_broken_rule)
 
 
 def first_broken_rule(email: Column) -> Column:
     """The same for an address that is normalised already."""
-    local, domain = email_local(email), email_domain(email)
+    parts = named_struct(
+        has_at=F.contains(email, F.lit("@")), local=email_local(email), domain=email_domain(email)
+    )
+    return bind(parts, lambda p: _rules(p.getField("has_at"), p.getField("local"), p.getField("domain")))
+
+
+def _rules(has_at: Column, local: Column, domain: Column) -> Column:
     return (
-        F.when(~F.contains(email, F.lit("@")), "no_at")
+        F.when(~has_at, "no_at")
         .when(F.length(local) > 64, "local_too_long")
         .when(F.length(domain) > 255, "domain_too_long")
         .when(~F.contains(domain, F.lit(".")), "domain_without_dot")

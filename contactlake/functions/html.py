@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactlake.functions.text import collapse_spaces, strip
+from contactlake.functions.text import bind, collapse_spaces, strip
 from contactlake.lookups import named_entities
 
 _INSIDE_TAG = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
@@ -41,6 +41,7 @@ def html_tokens(html: Column) -> Column:
 
 
 def _entity_map() -> Column:
+    """The named entities as a map literal, read from one JSON text by the optimizer."""
     return F.from_json(F.lit(json.dumps(named_entities())), "map<string,string>")
 
 
@@ -93,39 +94,66 @@ def html_text(html: Column, block_separator: str = "") -> Column:
     return tokens_text(html_tokens(html), block_separator)
 
 
-def markup_tags(tokens: Column) -> Column:
-    """The few tags that can carry a contact or a link, as an array."""
-    return F.filter(tokens, lambda t: t.startswith("<") & t.rlike(MARKUP_PATTERN))
+# attributes that are read, in their order in the arrays of ``markup_tags``
+_ATTRIBUTES = ("href", "rel", "content", "name", "property", "http-equiv", "data-email", "data-phone")
+
+
+def _attribute_pattern(name: str) -> str:
+    """Reads attribute by attribute from the tag name on, so a name that only occurs
+    inside another attribute's value is not taken."""
+    value = r"""("[^"]*+"|'[^']*+'|[^\s>"']++)"""
+    other = rf"(?!{name}\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+{value.replace('(', '(?:', 1)})?+"
+    return rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++|{other})*+{name}\s*+=\s*+{value}"
+
+
+def _attribute_text(raw: Column) -> Column:
+    return decode_entities(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag, entities decoded; '' when absent.
+    """Value of an attribute of a tag, entities decoded; '' when absent."""
+    return bind(F.regexp_extract(tag, _attribute_pattern(name), 1), _attribute_text)
+
 
-    Reads attribute by attribute from the tag name on, so a name that only
-    occurs inside another attribute's value is not taken.
+def markup_tags(tokens: Column) -> Column:
+    """The few tags that can carry a contact or a link, taken apart.
+
+    Each is an array: the tag name, then the values of ``_ATTRIBUTES`` (NULL where
+    the tag cannot have them).
     """
-    pattern = (
-        r"(?is)^<[a-z][^\s/>]*+"
-        rf"(?:[\s/]++|(?!{name}\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+)*+"
-        rf"{name}\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"']++)"
+
+    def read(tag: Column) -> Column:
+        wanted = {
+            "href": tag.rlike(r"(?i)^<(?:a|link)[\s/]"),
+            "rel": tag.rlike(r"(?i)^<link[\s/]"),
+            "content": tag.rlike(r"(?i)^<meta[\s/]"),
+            "data-email": tag.rlike(r"(?i)data-"),
+        }
+        for name, like in (("name", "content"), ("property", "content"), ("http-equiv", "content"), ("data-phone", "data-email")):
+            wanted[name] = wanted[like]
+        raw = [F.when(wanted[n], F.regexp_extract(tag, _attribute_pattern(n), 1)) for n in _ATTRIBUTES]
+        name = F.lower(F.regexp_extract(tag, r"^<([A-Za-z0-9]+)", 1))
+        return F.concat(F.array(name), F.transform(F.array(*raw), _attribute_text))
+
+    return F.transform(
+        F.filter(tokens, lambda t: t.startswith("<") & t.rlike(MARKUP_PATTERN)), read
     )
-    value = F.regexp_extract(tag, pattern, 1)
-    return decode_entities(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
-def _values(tags: Column, keep, name: str) -> Column:
-    """Non-empty attribute values of the tags that pass ``keep``, in page order."""
-    values = F.transform(F.filter(tags, keep), lambda t: attribute(t, name))
-    return F.filter(values, lambda v: v != "")
+def _value(tag: Column, name: str) -> Column:
+    return tag[1 + _ATTRIBUTES.index(name)]
 
 
-def _is_anchor(tag: Column) -> Column:
-    return tag.rlike(r"(?i)^<a[\s/]")
+def _values(tags: Column, name: str, keep=None) -> Column:
+    """Non-empty values of one attribute, in page order, of the tags that pass ``keep``."""
+    chosen = F.filter(tags, lambda t: (_value(t, name) != "") & keep(t)) if keep else tags
+    values = F.transform(chosen, lambda t: _value(t, name))
+    return values if keep else F.filter(values, lambda v: v != "")
 
 
 def raw_hrefs(tags: Column) -> Column:
     """Every non-empty ``a/@href`` exactly as written."""
-    return _values(tags, _is_anchor, "href")
+    return _values(tags, "href", lambda t: t[0] == "a")
 
 
 def anchor_hrefs(hrefs: Column) -> Column:
@@ -134,23 +162,18 @@ def anchor_hrefs(hrefs: Column) -> Column:
 
 
 def data_emails(tags: Column) -> Column:
-    values = _values(tags, lambda t: F.contains(F.lower(t), F.lit("data-email")), "data-email")
-    return F.array_distinct(F.filter(values, lambda v: F.contains(v, F.lit("@"))))
+    return F.array_distinct(F.filter(_values(tags, "data-email"), lambda v: F.contains(v, F.lit("@"))))
 
 
 def data_phones(tags: Column) -> Column:
-    return F.array_distinct(
-        _values(tags, lambda t: F.contains(F.lower(t), F.lit("data-phone")), "data-phone")
-    )
+    return F.array_distinct(_values(tags, "data-phone"))
 
 
 def meta_phones(tags: Column) -> Column:
     def is_telephone(tag: Column) -> Column:
-        return tag.rlike(r"(?i)^<meta[\s/]") & (
-            (attribute(tag, "name") == "telephone") | (attribute(tag, "property") == "telephone")
-        )
+        return (_value(tag, "name") == "telephone") | (_value(tag, "property") == "telephone")
 
-    return F.array_distinct(_values(tags, is_telephone, "content"))
+    return F.array_distinct(_values(tags, "content", is_telephone))
 
 
 def _cut_parameters(text: Column) -> Column:
@@ -184,18 +207,10 @@ def page_links(tags: Column, hrefs: Column) -> Column:
         anchor_hrefs(hrefs), lambda h: ~h.rlike(r"^(?:#|javascript:|mailto:|tel:|data:)")
     )
     refresh = F.transform(
-        _values(
-            tags,
-            lambda t: t.rlike(r"(?i)^<meta[\s/]") & (attribute(t, "http-equiv") == "refresh"),
-            "content",
-        ),
-        lambda c: F.regexp_extract(c, r"(?iU)url=([^\s]+)", 1),
-    )
-    canonical = _values(
-        tags,
-        lambda t: t.rlike(r"(?i)^<link[\s/]") & (attribute(t, "rel") == "canonical"),
-        "href",
+        _values(tags, "content", lambda t: _value(t, "http-equiv") == "refresh"),
+        lambda c: F.regexp_extract(c, r"(?iU)url=([^\s\x1c-\x1f]+)", 1),
     )
+    canonical = _values(tags, "href", lambda t: _value(t, "rel") == "canonical")
     return F.array_distinct(
         F.concat(anchors, F.filter(refresh, lambda u: u != ""), canonical)
     )

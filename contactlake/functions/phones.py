@@ -1,7 +1,7 @@
 """Phone functions: finding, cleaning, checking and normalising numbers, as columns.
 
-The rules work on ``PhoneParts``; a flat table keeps those parts as columns, an
-array of candidates keeps them as structs, so the same rules serve both.
+The rules work on ``PhoneParts``, which are taken from a number once and bound, so
+the same rules serve a flat table and an array of candidates.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactlake.functions.text import SPACE, match_all
+from contactlake.functions.text import SPACE, bind, match_all, named_struct
 from contactlake.lookups import (
     BY_LOCAL_STARTS,
     COUNTRY_LENGTHS,
@@ -74,12 +74,12 @@ def country_code(digits: Column) -> Column:
 
 def _parts_struct(cleaned: Column) -> Column:
     digits = F.translate(cleaned, "+", "")
-    return F.struct(
-        cleaned.alias("cleaned"),
-        digits.alias("digits"),
-        F.length(digits).alias("size"),
-        cleaned.startswith("+").alias("has_plus"),
-        country_code(digits).alias("code"),
+    return named_struct(
+        cleaned=cleaned,
+        digits=digits,
+        size=F.length(digits),
+        has_plus=cleaned.startswith("+"),
+        code=country_code(digits),
     )
 
 
@@ -88,20 +88,6 @@ def _from_struct(parts: Column, home: Column) -> PhoneParts:
     return PhoneParts(*[parts.getField(n) for n in names], home=home)
 
 
-def phone_parts(phone: Column, home: Column) -> PhoneParts:
-    """Parts of one raw number."""
-    return _from_struct(_parts_struct(clean_phone(phone)), home)
-
-
-def parts_column(cleaned: Column) -> Column:
-    """Parts of a cleaned number as one struct column, for tables that keep them."""
-    return _parts_struct(cleaned)
-
-
-def parts_from(column: Column, home: Column) -> PhoneParts:
-    return _from_struct(column, home)
-
-
 # --- single rules ------------------------------------------------------------
 def length_ok(size: Column) -> Column:
     return size.between(*PHONE_LENGTHS)
@@ -144,31 +130,31 @@ def bad_ru_area(code: Column, digits: Column) -> Column:
 
 def country_length_ok(code: Column, size: Column) -> Column:
     """Digit count allowed for a calling code; ``has_plus`` makes no difference."""
-    rule = F
-    for known_code, lengths in COUNTRY_LENGTHS.items():
-        rule = rule.when(code == known_code, size.isin(*lengths))
-    return rule.otherwise(size.between(*DEFAULT_LENGTHS))
+    allowed = [f"{known}:{n}" for known, lengths in COUNTRY_LENGTHS.items() for n in lengths]
+    listed = F.concat_ws(":", code, size).isin(allowed)
+    return F.when(code.isin(list(COUNTRY_LENGTHS)), listed).otherwise(size.between(*DEFAULT_LENGTHS))
 
 
-def _starts(digits: Column, prefixes) -> Column:
-    return digits.rlike(f"^(?:{'|'.join(prefixes)})")
+# Local formats per home code. The number is written "home:digits" for these.
+_LOCAL_FORMATS = (
+    r"^(?:7:(?:9.{9}|[78].{10})"
+    rf"|375:(?:375.{{9}}|(?:{'|'.join(BY_LOCAL_STARTS)}).{{7}})"
+    rf"|380:(?:380.{{9}}|(?:{'|'.join(UA_MOBILE_STARTS)}).{{7}})"
+    r"|1:1?.{10})$"
+)
+# The same for normalising, with the national number as the group. Here a
+# number of 9 digits under 380 needs no mobile prefix.
+_NATIONAL_NUMBER = (
+    r"^(?:7:(?:[78](?=.{10}$)|(?=9.{9}$))"
+    rf"|375:(?:375(?=.{{9}}$)|(?=(?:{'|'.join(BY_LOCAL_STARTS)}).{{7}}$))"
+    r"|380:(?:380(?=.{9}$)|(?=.{9}$))"
+    r"|1:(?:1(?=.{10}$)|(?=.{10}$)))(.+)$"
+)
 
 
-def local_format_ok(digits: Column, size: Column, home: Column) -> Column:
+def local_format_ok(digits: Column, home: Column) -> Column:
     """Whether a number without "+" has a format of its home country."""
-    return (
-        F.when(home == "7", ((size == 10) & digits.startswith("9")) | ((size == 11) & _starts(digits, "78")))
-        .when(
-            home == "375",
-            ((size == 12) & digits.startswith("375")) | ((size == 9) & _starts(digits, BY_LOCAL_STARTS)),
-        )
-        .when(
-            home == "380",
-            ((size == 12) & digits.startswith("380")) | ((size == 9) & _starts(digits, UA_MOBILE_STARTS)),
-        )
-        .when(home == "1", (size == 10) | ((size == 11) & digits.startswith("1")))
-        .otherwise(F.lit(False))
-    )
+    return F.concat_ws(":", F.coalesce(home, F.lit("")), digits).rlike(_LOCAL_FORMATS)
 
 
 # --- composed rules ----------------------------------------------------------
@@ -188,37 +174,61 @@ def reject_reason_of(p: PhoneParts) -> Column:
         .when(p.has_plus, F.lit(None).cast("string"))
         .when(p.home.isNull(), "no_home_country")
         .when(~country_length_ok(p.home, p.size), "local_length")
-        .when(~local_format_ok(p.digits, p.size, p.home), "local_format")
+        .when(~local_format_ok(p.digits, p.home), "local_format")
     )
 
 
 def normalized_of(p: PhoneParts) -> Column:
     """The number in international form, or NULL when its country rules do not allow it."""
     international = F.when((p.code != "") & country_length_ok(p.code, p.size), p.cleaned)
-    plus_digits = F.concat(F.lit("+"), p.digits)
-
-    def with_code(code: str, digits: Column) -> Column:
-        return F.concat(F.lit("+" + code), digits)
-
-    local = (
-        F.when((p.home == "7") & (p.size == 10) & p.digits.startswith("9"), with_code("7", p.digits))
-        .when((p.home == "7") & (p.size == 11) & p.digits.startswith("8"), with_code("7", F.substr(p.digits, F.lit(2))))
-        .when((p.home == "7") & (p.size == 11) & p.digits.startswith("7"), plus_digits)
-        .when((p.home == "375") & (p.size == 12) & p.digits.startswith("375"), plus_digits)
-        .when((p.home == "375") & (p.size == 9) & _starts(p.digits, BY_LOCAL_STARTS), with_code("375", p.digits))
-        .when((p.home == "380") & (p.size == 12) & p.digits.startswith("380"), plus_digits)
-        .when((p.home == "380") & (p.size == 9), with_code("380", p.digits))
-        .when((p.home == "1") & (p.size == 10), with_code("1", p.digits))
-        .when((p.home == "1") & (p.size == 11) & p.digits.startswith("1"), plus_digits)
-    )
-    return F.when(
-        length_ok(p.size),
-        F.when(p.has_plus, international).when(country_length_ok(p.home, p.size), local),
+    national = F.regexp_extract(F.concat_ws(":", p.home, p.digits), _NATIONAL_NUMBER, 1)
+    local = F.when(national != "", F.concat(F.lit("+"), p.home, national))
+    return F.when(length_ok(p.size), F.when(p.has_plus, international).otherwise(local))
+
+
+def checked_phone(phone: Column, home: Column) -> Column:
+    """``struct(normalized, reason, value, value_reason)`` of a raw number.
+
+    ``normalized`` and ``reason`` are the two stand-alone checks. ``value`` follows
+    the pipeline, which normalises first and then checks the normalised number;
+    ``value_reason`` says why there is no value.
+    """
+
+    def check(row: Column) -> Column:
+        p = _from_struct(row.getField("parts"), row.getField("home"))
+        return bind(
+            named_struct(home=row.getField("home"), normalized=normalized_of(p), reason=reject_reason_of(p)),
+            check_normalized,
+        )
+
+    def check_normalized(row: Column) -> Column:
+        normalized = row.getField("normalized")
+        reason = F.when(normalized.isNull(), "not_normalized").otherwise(
+            bind(
+                _parts_struct(F.coalesce(normalized, F.lit(""))),
+                lambda p: reject_reason_of(_from_struct(p, row.getField("home"))),
+            )
+        )
+        return bind(
+            reason,
+            lambda r: named_struct(
+                normalized=normalized,
+                reason=row.getField("reason"),
+                value=F.when(r.isNull(), normalized),
+                value_reason=r,
+            ),
+        )
+
+    return bind(
+        named_struct(cleaned=clean_phone(phone), home=home),
+        lambda r: bind(
+            named_struct(parts=_parts_struct(r.getField("cleaned")), home=r.getField("home")), check
+        ),
     )
 
 
 def phone_reject_reason(phone: Column, home: Column) -> Column:
-    return reject_reason_of(phone_parts(phone, home))
+    return checked_phone(phone, home).getField("reason")
 
 
 def is_likely_phone(phone: Column, home: Column) -> Column:
@@ -226,7 +236,7 @@ def is_likely_phone(phone: Column, home: Column) -> Column:
 
 
 def normalize_phone(phone: Column, home: Column) -> Column:
-    return normalized_of(phone_parts(phone, home))
+    return checked_phone(phone, home).getField("normalized")
 
 
 # --- candidate arrays --------------------------------------------------------

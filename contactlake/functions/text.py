@@ -27,6 +27,21 @@ def unicode_pattern(pattern: str) -> Column:
     return F.lit("(?iU)" + pattern)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once.
+
+    ``use`` may name its argument many times: it is a lambda variable, so neither
+    the expression nor its evaluation is repeated, and no optimizer rule can copy
+    it into a filter in pieces.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def named_struct(**fields: Column) -> Column:
+    """A struct with explicit field names, which also hold inside lambdas."""
+    return F.named_struct(*[part for name, column in fields.items() for part in (F.lit(name), column)])
+
+
 def match_all(text: Column, patterns) -> Column:
     """Distinct whole matches of all patterns, as one array; bad patterns are left out."""
     found = [

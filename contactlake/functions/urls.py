@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contactlake.functions.text import SPACE, strip
+from contactlake.functions.text import SPACE, bind, named_struct, strip
 from contactlake.lookups import TLD_COUNTRY
 
 # RFC 3986, appendix B, with the scheme limited to legal characters
@@ -24,31 +25,36 @@ class UrlParts(NamedTuple):
     fragment: Column
 
 
-def split_url(url: Column) -> UrlParts:
-    """Scheme (lower case), netloc (as written, with port), path, params, query, fragment."""
-    clean = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+def _without_controls(url: Column) -> Column:
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
-    def group(i: int) -> Column:
-        return F.regexp_extract(clean, SPLIT_PATTERN, i)
 
-    full_path = group(3)
-    return UrlParts(
-        scheme=F.lower(group(1)),
-        netloc=group(2),
-        path=F.regexp_replace(full_path, r";[^/]*$", ""),
-        params=F.regexp_extract(full_path, r";([^/]*)$", 1),
-        query=group(4),
-        fragment=group(5),
+def url_parts(url: Column) -> Column:
+    """``struct(scheme, netloc, path, params, query, fragment)`` of a URL.
+
+    The scheme is lower case, the netloc as written, with port. One match finds
+    all parts; a line end, which a URL cannot hold any more, separates them.
+    """
+    found = F.split(F.regexp_replace(_without_controls(url), SPLIT_PATTERN, "$1\n$2\n$3\n$4\n$5"), "\n")
+    return bind(
+        found,
+        lambda p: named_struct(
+            scheme=F.lower(p[0]),
+            netloc=p[1],
+            path=F.regexp_replace(p[2], r";[^/]*$", ""),
+            params=F.regexp_extract(p[2], r";([^/]*)$", 1),
+            query=p[3],
+            fragment=p[4],
+        ),
     )
 
 
-def url_parts(url: Column) -> Column:
-    parts = split_url(url)
-    return F.struct(*[column.alias(name) for name, column in parts._asdict().items()])
+def _fields(parts: Column) -> UrlParts:
+    return UrlParts(*[parts.getField(name) for name in UrlParts._fields])
 
 
 def netloc_of(url: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", ""), SPLIT_PATTERN, 2)
+    return F.regexp_extract(_without_controls(url), SPLIT_PATTERN, 2)
 
 
 def _well_formed(netloc: Column) -> Column:
@@ -97,45 +103,64 @@ def resolve_parts(link: UrlParts, base: UrlParts) -> UrlParts:
     )
 
 
+def _with_both(link: Column, base_parts: Column, use) -> Column:
+    """``use(link, link parts, base parts)`` with the parts bound."""
+    both = named_struct(link=link, parts=url_parts(link), base=base_parts)
+    return bind(
+        both,
+        lambda b: use(b.getField("link"), _fields(b.getField("parts")), _fields(b.getField("base"))),
+    )
+
+
+def _parts_struct(parts: UrlParts) -> Column:
+    return named_struct(**parts._asdict())
+
+
 def resolve_url(link: Column, base: Column) -> Column:
     """Absolute form of ``link`` as found on the page ``base``."""
-    link_parts = split_url(link)
-    parts = resolve_parts(link_parts, split_url(base))
 
     def tail(mark: str, part: Column) -> Column:
         return F.when(part != "", F.concat(F.lit(mark), part)).otherwise("")
 
-    text = F.concat(
-        F.when(parts.scheme != "", F.concat(parts.scheme, F.lit(":"))).otherwise(""),
-        F.when(parts.netloc != "", F.concat(F.lit("//"), parts.netloc)).otherwise(""),
-        parts.path,
-        tail(";", parts.params),
-        tail("?", parts.query),
-        tail("#", parts.fragment),
-    )
-    other_scheme = (link_parts.scheme != "") & (link_parts.netloc == "") & (
-        link_parts.scheme != split_url(base).scheme
-    )
-    return (
-        F.when(link == "", base)
-        .when((base == "") | other_scheme, link)
-        .otherwise(text)
-    )
+    def text(parts: UrlParts) -> Column:
+        return F.concat(
+            F.when(parts.scheme != "", F.concat(parts.scheme, F.lit(":"))).otherwise(""),
+            F.when(parts.netloc != "", F.concat(F.lit("//"), parts.netloc)).otherwise(""),
+            parts.path,
+            tail(";", parts.params),
+            tail("?", parts.query),
+            tail("#", parts.fragment),
+        )
+
+    def resolve(link_text: Column, parts: UrlParts, base_parts: UrlParts) -> Column:
+        other_scheme = (parts.scheme != "") & (parts.netloc == "") & (parts.scheme != base_parts.scheme)
+        return (
+            F.when(link_text == "", base)
+            .when((base == "") | other_scheme, link_text)
+            .otherwise(bind(_parts_struct(resolve_parts(parts, base_parts)), lambda r: text(_fields(r))))
+        )
+
+    return _with_both(link, url_parts(base), resolve)
 
 
 def normalize_url(link: Column, base: Column) -> Column:
     """``scheme://netloc/path`` of a link, or NULL when it does not lead to a page."""
-    link = strip(F.coalesce(link, F.lit("")))
-    parts = resolve_parts(split_url(link), split_url(F.coalesce(base, F.lit(""))))
-    usable = (
-        (link != "")
-        & ~link.rlike(NON_PAGE_LINK)
-        & (parts.scheme != "")
-        & (parts.netloc != "")
-        & _well_formed(parts.netloc)
-    )
-    text = F.concat(parts.scheme, F.lit("://"), parts.netloc, parts.path)
-    return F.when(usable, F.rtrim(text, F.lit("/")))
+    return normalize_from(link, url_parts(F.coalesce(base, F.lit(""))))
+
+
+def normalize_from(link: Column, base_parts: Column) -> Column:
+    """The same with the parts of the base URL, for many links of one page."""
+
+    def page_url(parts: UrlParts) -> Column:
+        usable = (parts.scheme != "") & (parts.netloc != "") & _well_formed(parts.netloc)
+        text = F.concat(parts.scheme, F.lit("://"), parts.netloc, parts.path)
+        return F.when(usable, F.rtrim(text, F.lit("/")))
+
+    def resolve(link_text: Column, parts: UrlParts, base: UrlParts) -> Column:
+        resolved = bind(_parts_struct(resolve_parts(parts, base)), lambda r: page_url(_fields(r)))
+        return F.when((link_text != "") & ~link_text.rlike(NON_PAGE_LINK), resolved)
+
+    return _with_both(strip(F.coalesce(link, F.lit(""))), base_parts, resolve)
 
 
 def _blank(url: Column) -> Column:
@@ -148,27 +173,30 @@ def netloc_in_domain(netloc: Column, base_domain: Column) -> Column:
 
 def is_same_domain(url: Column, base_domain: Column) -> Column:
     """Whether a URL is on a domain or one of its subdomains; local references count."""
-    netloc = netloc_of(url)
-    return (
-        F.when(_blank(url) | ~_well_formed(netloc), F.lit(False))
+    return bind(
+        netloc_of(url),
+        lambda netloc: F.when(_blank(url) | ~_well_formed(netloc), F.lit(False))
         .when(netloc != "", netloc_in_domain(netloc, base_domain))
-        .otherwise(url.rlike(r"^(?:/|\./|\.\./)"))
+        .otherwise(url.rlike(r"^(?:/|\./|\.\./)")),
     )
 
 
 def validate_url(url: Column) -> Column:
-    parts = split_url(F.coalesce(url, F.lit("")))
-    return (parts.scheme != "") & (parts.netloc != "") & _well_formed(parts.netloc)
+    """Whether a URL has both a scheme and a netloc."""
+    return bind(
+        url_parts(F.coalesce(url, F.lit(""))),
+        lambda p: (p.getField("scheme") != "") & (p.getField("netloc") != "") & _well_formed(p.getField("netloc")),
+    )
 
 
 def get_domain(url: Column) -> Column:
     """Netloc with port, or a bare domain name as given, or NULL."""
-    netloc = netloc_of(url)
     head = F.substring_index(url, ":", 1)
-    return (
-        F.when(_blank(url) | ~_well_formed(netloc), F.lit(None).cast("string"))
+    return bind(
+        netloc_of(url),
+        lambda netloc: F.when(_blank(url) | ~_well_formed(netloc), F.lit(None).cast("string"))
         .when(netloc != "", netloc)
-        .when(F.contains(url, F.lit(".")) & ~F.contains(head, F.lit("/")), url)
+        .when(F.contains(url, F.lit(".")) & ~F.contains(head, F.lit("/")), url),
     )
 
 
@@ -179,7 +207,7 @@ def tld_of(url: Column) -> Column:
 
 def home_country(url: Column) -> Column:
     """Calling code of the country a site's top-level domain stands for, or NULL."""
-    codes = F.create_map(*[F.lit(text) for pair in TLD_COUNTRY.items() for text in pair])
+    codes = F.from_json(F.lit(json.dumps(TLD_COUNTRY)), "map<string,string>")
     return F.try_element_at(codes, tld_of(F.coalesce(url, F.lit(""))))
 
 

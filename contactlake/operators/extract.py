@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.functions import emails, html, phones, urls
-from contactlake.functions.text import collapse_spaces, match_all
+from contactlake.functions.text import bind, collapse_spaces, match_all, named_struct
 from contactlake.settings import Settings
 
 EMAIL_ORIGINS = ("text", "mailto", "data_email")
@@ -149,7 +149,7 @@ def candidates(signals: DataFrame, keys: list[str], settings: Settings = Setting
     def tagged(kind: str, origin: str):
         return F.transform(
             F.col(f"{kind}_{origin}"),
-            lambda raw: F.struct(F.lit(kind).alias("kind"), F.lit(origin).alias("origin"), raw.alias("raw")),
+            lambda raw: named_struct(kind=F.lit(kind), origin=F.lit(origin), raw=raw),
         )
 
     groups = [tagged("email", o) for o in EMAIL_ORIGINS]
@@ -157,66 +157,36 @@ def candidates(signals: DataFrame, keys: list[str], settings: Settings = Setting
     return signals.select(*keys, F.explode(F.concat(*groups)).alias("c")).select(*keys, "c.*")
 
 
-def with_phone_outcome(table: DataFrame, phone: str, home: str) -> DataFrame:
-    """Add ``normalized``, ``value`` and ``reason`` for a column of raw numbers.
-
-    The parts of a number are kept as columns between the steps, so each is
-    computed once. ``value`` follows the pipeline order: normalise, then check
-    the normalised number.
-    """
-    step = (
-        table.withColumn("_cleaned", phones.clean_phone(F.col(phone)))
-        .withColumn("_raw", phones.parts_column(F.col("_cleaned")))
-        .withColumn("normalized", phones.normalized_of(phones.parts_from(F.col("_raw"), F.col(home))))
-        .withColumn("_norm", phones.parts_column(F.coalesce("normalized", F.lit(""))))
-        .withColumn(
-            "reason",
-            F.when(F.col("normalized").isNull(), "not_normalized").otherwise(
-                phones.reject_reason_of(phones.parts_from(F.col("_norm"), F.col(home)))
+def checked_candidates(found: DataFrame, settings: Settings = Settings(), url: str | None = "url") -> DataFrame:
+    """Add to each candidate its ``value`` (NULL when rejected) and the ``reason``."""
+    home = urls.home_country(F.col(url)) if url else F.lit(None).cast("string")
+    nothing = F.lit(None).cast("string")
+
+    def phone_result(raw: Column) -> Column:
+        if settings.validate_phones:
+            checked = phones.checked_phone(raw, home)
+            return bind(
+                checked,
+                lambda c: named_struct(value=c.getField("value"), reason=c.getField("value_reason")),
+            )
+        return bind(
+            phones.clean_phone(raw),
+            lambda c: bind(
+                F.length(F.translate(c, "+", "")) >= 7,
+                lambda ok: named_struct(value=F.when(ok, c), reason=F.when(~ok, "length")),
             ),
         )
-    )
-    return step.withColumn("value", F.when(F.col("reason").isNull(), F.col("normalized"))).drop(
-        "_cleaned", "_raw", "_norm"
-    )
 
+    def email_result(raw: Column) -> Column:
+        def check(email: Column) -> Column:
+            reason = (
+                emails.first_broken_rule(email)
+                if settings.validate_emails
+                else F.when(~F.contains(email, F.lit("@")), "no_at").otherwise(nothing)
+            )
+            return bind(reason, lambda r: named_struct(value=F.when(r.isNull(), email), reason=r))
 
-def with_phone_check(table: DataFrame, phone: str, home: str) -> DataFrame:
-    """Add ``normalized`` and the stand-alone ``reason`` of a raw number."""
-    step = table.withColumn("_cleaned", phones.clean_phone(F.col(phone))).withColumn(
-        "_raw", phones.parts_column(F.col("_cleaned"))
-    )
-    parts = phones.parts_from(F.col("_raw"), F.col(home))
-    return (
-        step.withColumn("normalized", phones.normalized_of(parts))
-        .withColumn("reason", phones.reject_reason_of(parts))
-        .drop("_cleaned", "_raw")
-    )
+        return bind(emails.normalize_email(raw), check)
 
-
-def checked_candidates(found: DataFrame, settings: Settings = Settings(), url: str | None = "url") -> DataFrame:
-    """Add to each candidate its ``value`` (NULL when rejected) and the ``reason``."""
-    home = urls.home_country(F.col(url)) if url else F.lit(None).cast("string")
-    is_phone = F.col("kind") == "phone"
-    table = found.withColumn("_home", home).withColumn("_phone", F.when(is_phone, F.col("raw")))
-    table = table.withColumn("_email", F.when(~is_phone, emails.normalize_email(F.col("raw"))))
-    if settings.validate_phones:
-        table = with_phone_outcome(table, "_phone", "_home").drop("normalized")
-    else:
-        cleaned = phones.clean_phone(F.col("_phone"))
-        table = table.withColumn("value", cleaned).withColumn(
-            "reason", F.when(F.length(F.translate("value", "+", "")) < 7, "length")
-        )
-    email_reason = (
-        emails.first_broken_rule(F.col("_email"))
-        if settings.validate_emails
-        else F.when(~F.contains("_email", F.lit("@")), "no_at")
-    )
-    return (
-        table.withColumn("reason", F.when(is_phone, F.col("reason")).otherwise(email_reason))
-        .withColumn(
-            "value",
-            F.when(F.col("reason").isNull(), F.when(is_phone, F.col("value")).otherwise(F.col("_email"))),
-        )
-        .drop("_home", "_phone", "_email")
-    )
+    result = F.when(F.col("kind") == "phone", phone_result(F.col("raw"))).otherwise(email_result(F.col("raw")))
+    return found.withColumn("_result", result).select(*found.columns, "_result.value", "_result.reason")

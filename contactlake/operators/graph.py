@@ -26,10 +26,12 @@ def page_key(url):
 def link_targets(contacts: DataFrame, url: str = "url") -> DataFrame:
     """Distinct normalised link targets per page, resolved against the page's URL."""
     found = contacts.select(
-        F.col(url).alias("src_url"), F.explode(F.array_distinct("links")).alias("link")
+        F.col(url).alias("src_url"),
+        urls.url_parts(F.coalesce(F.col(url), F.lit(""))).alias("base"),
+        F.explode("links").alias("link"),
     )
     return (
-        found.select("src_url", urls.normalize_url(F.col("link"), F.col("src_url")).alias("dst_url"))
+        found.select("src_url", urls.normalize_from(F.col("link"), F.col("base")).alias("dst_url"))
         .filter(F.col("dst_url").isNotNull())
         .distinct()
     )

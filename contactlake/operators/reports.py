@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.functions import emails, phones
-from contactlake.functions.text import strip
+from contactlake.functions.text import named_struct, strip
 
 
 def contact_rows(contacts: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,7 +14,7 @@ def contact_rows(contacts: DataFrame, keys: list[str]) -> DataFrame:
 
     def tagged(kind: str, column: str):
         return F.transform(
-            F.col(column), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+            F.col(column), lambda v: named_struct(kind=F.lit(kind), value=v)
         )
 
     both = F.concat(tagged("email", "emails"), tagged("phone", "phones"))

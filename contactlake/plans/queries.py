@@ -399,15 +399,16 @@ phone_rule(
     "ru_domain_rule",
     lambda p: F.coalesce(p.home == "7", F.lit(False)) & p.has_plus & ~p.digits.startswith("7"),
 )
-phone_rule("local_format", lambda p: phones.local_format_ok(p.digits, F.length("digits"), p.home))
+phone_rule("local_format", lambda p: phones.local_format_ok(p.digits, p.home))
 phone_rule("is_sequential", lambda p: phones.is_sequential(p.digits))
 phone_rule("is_too_perfect", lambda p: phones.is_too_perfect(p.digits))
 phone_rule("id_like_flag", lambda p: phones.is_id_like(p.digits))
 
 
 def checked_phones(spark, sf) -> DataFrame:
-    rows = raw_contacts(spark, sf).select("k", "phone", urls.home_country(F.col("url")).alias("home"))
-    return extract.with_phone_check(rows, "phone", "home")
+    rows = raw_contacts(spark, sf)
+    checked = phones.checked_phone(F.col("phone"), urls.home_country(F.col("url")))
+    return rows.select("k", "url", checked.alias("c")).select("k", "url", "c.*")
 
 
 @query
@@ -427,9 +428,7 @@ def normalize_phone(spark, sf):
 
 @query
 def valid_phones(spark, sf):
-    rows = raw_contacts(spark, sf).select("url", "phone", urls.home_country(F.col("url")).alias("home"))
-    checked = extract.with_phone_outcome(rows, "phone", "home")
-    return checked.filter(F.col("value").isNotNull()).select("url", "value").distinct()
+    return checked_phones(spark, sf).filter(F.col("value").isNotNull()).select("url", "value").distinct()
 
 
 @query
@@ -484,14 +483,16 @@ def validation_funnel(spark, sf):
     return reports.validation_funnel(extract.checked_candidates(page_candidates(spark, sf)))
 
 
-@query
-def lookup_joins_all(spark, sf):
+def lookup_joins_query(spark, sf):
     rows = raw_phones(spark, sf).select("k", "url", "digits").filter("url is not null")
     rows = lookup_joins.with_home_code(rows)
     rows = lookup_joins.with_country_code(rows, "digits")
     return lookup_joins.with_country_lengths(rows).select("k", "home_code", "code", joined(F.col("lengths").cast("array<string>")).alias("lengths"))
 
 
+QUERIES["lookup_joins"] = lookup_joins_query
+
+
 @query
 def sorted_contacts(spark, sf):
     return dedup.contact_dedup(site_contact_rows(spark, sf)).orderBy("site", "kind", "value")
