@@ -36,14 +36,6 @@ def dedup_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.join(surplus, key, "left_anti")
 
 
-def first_per_url(rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """The same for rows that are small already (page contacts, say): one shuffle,
-    combined before it."""
-    others = [c for c in rows.columns if c != "url"]
-    best = F.min_by(F.struct(*others), F.col(key)).alias("row")
-    return rows.groupBy("url").agg(best).select("url", "row.*").select(*rows.columns)
-
-
 def contact_dedup(contacts: DataFrame, site: str = "site") -> DataFrame:
     """Each contact of a site once, with the number of pages it is on.
 

@@ -24,17 +24,17 @@ def page_key(url):
 
 
 def link_targets(contacts: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct normalised link targets per page, resolved against the page's URL."""
+    """Normalised link targets, resolved against the page's URL; distinct per page row.
+
+    Repeats are dropped in the page's own array, so there is no shuffle.
+    """
     found = contacts.select(
         F.col(url).alias("src_url"),
         urls.url_parts(F.coalesce(F.col(url), F.lit(""))).alias("base"),
-        F.explode("links").alias("link"),
-    )
-    return (
-        found.select("src_url", urls.normalize_from(F.col("link"), F.col("base")).alias("dst_url"))
-        .filter(F.col("dst_url").isNotNull())
-        .distinct()
+        "links",
     )
+    targets = F.transform("links", lambda link: urls.normalize_from(link, F.col("base")))
+    return found.select("src_url", F.explode(F.array_distinct(F.array_compact(targets))).alias("dst_url"))
 
 
 def same_domain_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -46,9 +46,8 @@ def same_domain_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     domains = seeds.select("seed_url", urls.get_domain(F.col("seed_url")).alias("domain"))
     with_parents = edges.withColumn("domain", F.explode(parent_domains(F.col("src_url"))))
     joined = with_parents.join(domains, "domain")
-    return joined.filter(urls.is_same_domain(F.col("dst_url"), F.col("domain"))).select(
-        "seed_url", "src_url", "dst_url"
-    )
+    on_site = urls.is_same_domain(F.col("dst_url"), F.col("domain"))
+    return joined.filter(on_site).select("seed_url", "src_url", "dst_url").distinct()
 
 
 def parent_domains(url):
@@ -74,19 +73,33 @@ def seed_states(seeds: DataFrame) -> DataFrame:
     )
 
 
-def within_budget(frontier: DataFrame, used: DataFrame, max_pages: int) -> DataFrame:
+def co_located(rows: DataFrame, key: str) -> DataFrame:
+    """Rows partitioned and sorted by a key once, for joins on it in every round.
+
+    A checkpoint keeps its partitioning known to later plans only when adaptive
+    execution did not pick it at run time, so that is off for this one write.
+    """
+    conf = rows.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return rows.repartition(key).sortWithinPartitions(key).checkpoint()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def within_budget(found: DataFrame, max_pages: int) -> DataFrame:
     """The first URLs (in order) of each seed's new level that its budget still allows.
 
-    The rank is limited to ``max_pages`` by a constant first, which Spark applies
-    before the shuffle, so a level never gathers more than that per seed and task.
+    Rows carry ``used``, the pages the seed has visited so far, and come out with
+    the count that includes them. The rank is limited by a constant first, which
+    Spark applies before it gathers a seed's rows.
     """
-    rank = F.row_number().over(Window.partitionBy("seed_url").orderBy("url"))
-    ranked = frontier.withColumn("_rank", rank).filter(F.col("_rank") <= max_pages)
-    return (
-        ranked.join(used, "seed_url", "left")
-        .filter(F.col("_rank") <= max_pages - F.coalesce("used", F.lit(0)))
-        .drop("_rank", "used")
-    )
+    seed = Window.partitionBy("seed_url")
+    ranked = found.withColumn("_rank", F.row_number().over(seed.orderBy("url")))
+    ranked = ranked.filter(F.col("_rank") <= max_pages)
+    allowed = ranked.filter(F.col("_rank") <= max_pages - F.col("used"))
+    return allowed.withColumn("used", F.col("used") + F.count("*").over(seed)).drop("_rank")
 
 
 def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int = Settings().max_pages) -> DataFrame:
@@ -96,35 +109,45 @@ def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int = Setting
     seed; a URL without a page counts as visited. Within a level URLs are taken in
     order until the budget of ``max_pages`` is used up.
 
-    Every level is checkpointed: that cuts the lineage and survives the loss of an
-    executor. Only the number of new rows comes to the driver.
+    The edges are partitioned and sorted by source once. A round first picks the
+    edges of the level's distinct pages, without moving the others, and then joins
+    those few with the level, where adaptive execution may split a page that many
+    seeds reach. The budget bounds the rows of one seed. Every level is
+    checkpointed: that cuts the lineage and survives the loss of an executor. Only
+    whether a level has rows comes to the driver.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    # Written once, partitioned by the join key, so that no round shuffles the edges.
-    edges = edges.select("src_url", "dst_url").repartition("src_url").checkpoint()
-    level = seed_states(seeds).withColumn("depth", F.lit(0)).checkpoint()
-    visited = level
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = co_located(edges.select("src_url", "dst_url"), "src_url")
+    level = (
+        seed_states(seeds)
+        .select("seed_url", "url", "domain", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("used"))
+        .repartition("seed_url")
+        .checkpoint()
+    )
+    visited = level.select("seed_url", "url", "depth")
     for depth in range(1, max_pages):
+        wanted = level.select(F.col("url").alias("src_url")).distinct()
+        followed = edges.join(wanted, "src_url", "left_semi")
         found = (
-            level.join(edges, level.url == edges.src_url)
+            level.withColumnRenamed("url", "src_url")
+            .join(followed, "src_url")
             .filter(urls.netloc_in_domain(urls.netloc_of(F.col("dst_url")), F.col("domain")))
-            .select("seed_url", F.col("dst_url").alias("url"), "domain")
+            .select("seed_url", F.col("dst_url").alias("url"), "domain", "used")
+            .repartition("seed_url")
             .distinct()
             .join(visited.select("seed_url", "url"), ["seed_url", "url"], "left_anti")
         )
-        used = visited.groupBy("seed_url").agg(F.count("*").alias("used"))
         level = (
-            within_budget(found, used, max_pages)
-            .select("seed_url", "url", "domain", F.lit(depth).alias("depth"))
+            within_budget(found, max_pages)
+            .select("seed_url", "url", "domain", F.lit(depth).alias("depth"), "used")
             .checkpoint()
         )
         if level.isEmpty():
             break
-        visited = visited.unionByName(level)
+        visited = visited.unionByName(level.select("seed_url", "url", "depth"))
         if depth % COMPACT_EVERY == 0:
             visited = visited.checkpoint()
-    return visited.select("seed_url", "url", "depth")
+    return visited
 
 
 def unvisited_links(targets: DataFrame, visited: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.operators import graph, reports
-from contactlake.operators.dedup import first_per_url
+from contactlake.operators.dedup import dedup_pages
 from contactlake.operators.extract import page_contacts
 from contactlake.settings import Settings
 from contactlake.sources.pages import admitted_pages, ensure_checkpoint_dir
@@ -22,14 +22,14 @@ class SiteWalk(NamedTuple):
 def extracted_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Contacts and links of the admitted pages, one row per page key.
 
-    Duplicates are dropped after extraction, when a page is a few hundred bytes,
-    so the HTML is never shuffled. The result is checkpointed: links and contacts
-    both come from it, and a lost executor does not cause a second parse.
+    One narrow pass over the HTML, written to the checkpoint folder: links and
+    contacts both come from it, and a lost executor does not cause a second parse.
+    Pages with the same key are dropped afterwards, when a row is a few hundred
+    bytes, so the HTML is never shuffled.
     """
     ensure_checkpoint_dir(pages.sparkSession)
     contacts = page_contacts(admitted_pages(pages).select("page_id", "url", "html"), settings)
-    keyed = contacts.withColumn("url", graph.page_key(F.col("url")))
-    return first_per_url(keyed).checkpoint()
+    return dedup_pages(contacts.withColumn("url", graph.page_key(F.col("url"))).checkpoint())
 
 
 def walk_sites(pages: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -> SiteWalk:

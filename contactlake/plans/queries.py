@@ -522,7 +522,7 @@ def same_domain_links(spark, sf):
     """Links of each page that stay on the page's own domain."""
     targets = graph.link_targets(extract.page_contacts(all_pages(spark, sf)))
     domain = urls.get_domain(F.col("src_url"))
-    return targets.filter(urls.is_same_domain(F.col("dst_url"), domain))
+    return targets.filter(urls.is_same_domain(F.col("dst_url"), domain)).distinct()
 
 
 @query
