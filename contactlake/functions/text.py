@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.settings import usable_patterns
@@ -50,3 +50,13 @@ def match_all(text: Column, patterns) -> Column:
     if not found:
         return F.array().cast("array<string>")
     return F.array_distinct(F.flatten(F.array(*found)))
+
+
+def unfold(table: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:
+    """One row per element of an array, with ``keys``.
+
+    Outer explode with the filter after it: for a plain explode the optimizer adds
+    a filter on the array's size below it, which would make the array twice.
+    """
+    rows = table.select(*keys, F.explode_outer(array).alias(name))
+    return rows.filter(F.col(name).isNotNull())

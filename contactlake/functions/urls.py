@@ -63,17 +63,23 @@ def _well_formed(netloc: Column) -> Column:
 
 
 def _fold_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments of a path that starts with ``/``."""
-    segments = F.split(F.substr(path, F.lit(2)), "/")
+    """Resolve ``.`` and ``..`` segments of a path.
+
+    The text so far stands for the list of segments kept, each with a ``/`` before
+    it; ``..`` may also take away the empty first segment, the root.
+    """
     folded = F.aggregate(
-        segments,
+        F.split(path, "/"),
         F.lit(""),
         lambda done, seg: F.when(seg == "..", F.regexp_replace(done, r"/[^/]*$", ""))
         .when(seg == ".", done)
         .otherwise(F.concat(done, F.lit("/"), seg)),
     )
-    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(folded, F.lit("/"))).otherwise(folded)
-    return F.when(closed == "", F.lit("/")).otherwise(closed)
+    closing = F.when(path.rlike(r"(?:^|/)\.\.?$"), "/").otherwise("")
+    return bind(
+        F.substr(F.concat(folded, closing), F.lit(2)),
+        lambda p: F.when(p == "", F.lit("/")).otherwise(_rooted(p)),
+    )
 
 
 def _rooted(path: Column) -> Column:

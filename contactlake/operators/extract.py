@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.functions import emails, html, phones, urls
-from contactlake.functions.text import bind, collapse_spaces, match_all, named_struct
+from contactlake.functions.text import bind, collapse_spaces, match_all, named_struct, unfold
 from contactlake.settings import Settings
 
 EMAIL_ORIGINS = ("text", "mailto", "data_email")
@@ -154,7 +154,7 @@ def candidates(signals: DataFrame, keys: list[str], settings: Settings = Setting
 
     groups = [tagged("email", o) for o in EMAIL_ORIGINS]
     groups += [tagged("phone", o) for o in _phone_origins(settings)]
-    return signals.select(*keys, F.explode(F.concat(*groups)).alias("c")).select(*keys, "c.*")
+    return unfold(signals, keys, F.concat(*groups), "c").select(*keys, "c.*")
 
 
 def checked_candidates(found: DataFrame, settings: Settings = Settings(), url: str | None = "url") -> DataFrame:

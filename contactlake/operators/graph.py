@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake.functions import urls
+from contactlake.functions.text import unfold
 from contactlake.settings import Settings
 from contactlake.sources.pages import ensure_checkpoint_dir
 
@@ -34,7 +35,7 @@ def link_targets(contacts: DataFrame, url: str = "url") -> DataFrame:
         "links",
     )
     targets = F.transform("links", lambda link: urls.normalize_from(link, F.col("base")))
-    return found.select("src_url", F.explode(F.array_distinct(F.array_compact(targets))).alias("dst_url"))
+    return unfold(found, ["src_url"], F.array_distinct(F.array_compact(targets)), "dst_url")
 
 
 def same_domain_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:

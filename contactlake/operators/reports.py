@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.functions import emails, phones
-from contactlake.functions.text import named_struct, strip
+from contactlake.functions.text import named_struct, strip, unfold
 
 
 def contact_rows(contacts: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,7 +18,7 @@ def contact_rows(contacts: DataFrame, keys: list[str]) -> DataFrame:
         )
 
     both = F.concat(tagged("email", "emails"), tagged("phone", "phones"))
-    return contacts.select(*keys, F.explode(both).alias("c")).select(*keys, "c.*")
+    return unfold(contacts, keys, both, "c").select(*keys, "c.*")
 
 
 def page_counts(contacts: DataFrame, keys: list[str]) -> DataFrame:

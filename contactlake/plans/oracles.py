@@ -176,8 +176,8 @@ cases AS (SELECT *,
         ELSE regexp_replace(CASE WHEN regexp_extract(b_path, '^.*/') = '' THEN '/' ELSE regexp_extract(b_path, '^.*/') END || l_path, '/+', '/', 'g') END AS joined
    FROM split_both),
 folded AS (SELECT *,
-   list_reduce(string_split(joined[2:], '/'), lambda acc, seg: CASE seg WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || seg END, '')
-   || CASE WHEN regexp_matches(joined, '/\\.\\.?$') THEN '/' ELSE '' END AS walked
+   substr(list_reduce(string_split(joined, '/'), lambda acc, seg: CASE seg WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || seg END, '')
+   || CASE WHEN regexp_matches(joined, '/\\.\\.?$') THEN '/' ELSE '' END, 2) AS walked
    FROM cases),
 parts AS (SELECT *,
    CASE WHEN l_scheme <> '' THEN l_scheme ELSE b_scheme END AS scheme,

@@ -41,16 +41,12 @@ def web_pages(spark, sf) -> DataFrame:
 
 def all_pages(spark, sf) -> DataFrame:
     """Given pages and shop pages together."""
-    made = spark.sql(
-        derived.ALL_PAGES,
-        pages=table(spark, sf, "pages"),
-        customer=page_source.spread(table(spark, sf, "customer").select("c_custkey", "c_mktsegment")),
-    )
-    return made
+    customer = page_source.spread(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
+    return spark.sql(derived.ALL_PAGES, pages=web_pages(spark, sf), customer=customer)
 
 
 def raw_contacts(spark, sf) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    orders = page_source.spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
     return spark.sql(derived.RAW_CONTACTS, orders=orders)
 
 
@@ -92,7 +88,7 @@ def signals(spark, sf, settings=Settings()) -> DataFrame:
 
 
 def exploded(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.select("page_id", F.explode(column).alias(name))
+    return text.unfold(df, ["page_id"], F.col(column), name)
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -244,7 +240,7 @@ def page_tags(spark, sf) -> DataFrame:
 
 @query
 def anchor_hrefs(spark, sf):
-    return page_tags(spark, sf).select("page_id", F.explode(html.anchor_hrefs(F.col("hrefs"))).alias("href"))
+    return text.unfold(page_tags(spark, sf), ["page_id"], html.anchor_hrefs(F.col("hrefs")), "href")
 
 
 @query
@@ -285,7 +281,7 @@ def clean_html(spark, sf):
 @query
 def match_all(spark, sf):
     patterns = ["[a-z]+ [0-9]{3,}", "invalid[pattern", r"[0-9]+ [a-z]+"]
-    return documents(spark, sf).select("doc_id", F.explode(text.match_all(F.col("text"), patterns)).alias("match"))
+    return text.unfold(documents(spark, sf), ["doc_id"], text.match_all(F.col("text"), patterns), "match")
 
 
 # --- e-mail ------------------------------------------------------------------
@@ -294,9 +290,9 @@ def email_text_matches(spark, sf):
     docs = documents(spark, sf).select(
         F.col("doc_id").alias("page_id"), text.collapse_spaces(F.col("text")).alias("text")
     )
-    in_docs = docs.select("page_id", F.lit("document").alias("source"), F.explode(emails.email_text_matches(F.col("text"))).alias("raw"))
-    in_pages = signals(spark, sf).select("page_id", F.lit("page").alias("source"), F.explode("email_text").alias("raw"))
-    return in_docs.unionByName(in_pages)
+    in_docs = text.unfold(docs, ["page_id"], emails.email_text_matches(F.col("text")), "raw")
+    in_pages = exploded(signals(spark, sf), "email_text", "raw")
+    return in_docs.withColumn("source", F.lit("document")).unionByName(in_pages.withColumn("source", F.lit("page")))
 
 
 def page_candidates(spark, sf, settings=Settings()) -> DataFrame:
@@ -335,8 +331,7 @@ def bad_domain_filter(spark, sf):
 
 @query
 def valid_emails(spark, sf):
-    rows = raw_emails(spark, sf).select(emails.normalize_email(F.col("email")).alias("email"))
-    return rows.filter(emails.first_broken_rule(F.col("email")).isNull()).distinct()
+    return text.unfold(raw_emails(spark, sf), [], emails.valid_emails(F.array("email")), "email").distinct()
 
 
 @query
@@ -363,7 +358,7 @@ def email_domain_class(spark, sf):
 def phone_text_matches(spark, sf):
     docs = documents(spark, sf).select("doc_id", text.collapse_spaces(F.col("text")).alias("text"))
     docs = docs.select("doc_id", phones.number_runs(F.col("text")).alias("runs"))
-    return docs.select("doc_id", F.explode(text.match_all(F.col("runs"), Settings().phone_patterns)).alias("raw"))
+    return text.unfold(docs, ["doc_id"], text.match_all(F.col("runs"), Settings().phone_patterns), "raw")
 
 
 @query
@@ -428,7 +423,9 @@ def normalize_phone(spark, sf):
 
 @query
 def valid_phones(spark, sf):
-    return checked_phones(spark, sf).filter(F.col("value").isNotNull()).select("url", "value").distinct()
+    rows = raw_contacts(spark, sf)
+    values = phones.valid_phones(F.array("phone"), urls.home_country(F.col("url")))
+    return text.unfold(rows, ["url"], values, "value").distinct()
 
 
 @query

@@ -21,7 +21,7 @@ DATA = "/root/testdata/sf0.01"
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for path in sorted(Path(sf_dir).glob("*.parquet")):
-        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+        connection.execute(f"CREATE OR REPLACE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return connection
 
 
