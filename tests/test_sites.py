@@ -33,7 +33,7 @@ def seeds(spark, *urls):
 
 def test_walk_three_pages(spark, pages):
     row = sites.site_contacts(pages, seeds(spark, "https://example.com"), SIMPLE).first()
-    assert row.emails == ["page1@gmail.com"] and row.phones == ["89161234567"]
+    assert row.emails == ["page1@gmail.com"] and row.phones == ["89161234567", "9161234567"]
 
 
 def test_budget_depth_and_missing_pages(spark, pages):
