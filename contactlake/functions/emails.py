@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from contactlake.functions.text import bind, named_struct, strip, unicode_pattern
 from contactlake.lookups import EMAIL_PATTERN, EXCLUDED_EMAIL_DOMAINS
 
-# A maximal run of characters an address and its word boundaries can depend on,
-# holding at least one "@". Every match of the default pattern lies inside one.
-_ADDRESS_RUN = r"(?U)(?<![\w.%+\-@|])[\w.%+\-|]*+@[\w.%+\-@|]++"
+# A maximal run of characters around an "@". It may hold more than an address can,
+# but ends only at characters that are neither part of an address nor of a word,
+# so every match of the default pattern, with its word boundaries, lies inside one.
+_OUTSIDE = r"""\x00-\x20!"#$&'()*,/:;<=>?\[\\\]^`{}~"""
+_ADDRESS_RUN = rf"(?<![^{_OUTSIDE}])[^@{_OUTSIDE}]*+@[^{_OUTSIDE}]++"
 
 
 def address_runs(text: Column, pattern: str = EMAIL_PATTERN) -> Column:
     """The part of a text the pattern has to see.
 
     For the default pattern these are the runs around each "@": the matches are
-    the same as on the whole text, and text without "@" costs one scan.
+    the same as on the whole text, and text without "@" is not matched at all.
     """
     if pattern != EMAIL_PATTERN:
         return text
-    return F.array_join(F.regexp_extract_all(text, F.lit(_ADDRESS_RUN), F.lit(0)), " ")
+    runs = F.array_join(F.regexp_extract_all(text, F.lit(_ADDRESS_RUN), F.lit(0)), " ")
+    return F.when(F.contains(text, F.lit("@")), runs).otherwise("")
 
 
 def addresses_in(runs: Column, pattern: str = EMAIL_PATTERN) -> Column:

@@ -80,8 +80,8 @@ def tokens_text(tokens: Column, block_separator: str = "") -> Column:
         raw_element = token.rlike(r"(?i)^<(?:script|style)\b")
         markup = token.rlike(r"^<[A-Za-z/!?]")
         return (
-            F.when(token.startswith("&"), _decode_entity(token))
-            .when(~token.startswith("<"), token)
+            F.when(~token.rlike("^[<&]"), token)
+            .when(token.startswith("&"), _decode_entity(token))
             .when(raw_element, F.regexp_extract(token, _RAW_ELEMENT, 1))
             .when(markup, F.lit(block_separator))
             .otherwise(token)

@@ -25,9 +25,9 @@ from contactlake.lookups import (
     country_code_pattern,
 )
 
-# The default patterns only match digits, "+", "-", brackets and white space, so
-# each match lies inside one maximal run of those characters.
-_NUMBER_RUN = r"(?U)[-+()\d\s]{6,}+"
+# The default patterns only match digits, "+", "-", brackets and white space, and
+# begin with a digit, "+" or "(". Each match lies inside one such run.
+_NUMBER_RUN = r"(?U)[+(\d][-+()\d\s]{5,}+"
 
 
 def number_runs(text: Column, patterns=PHONE_PATTERNS) -> Column:
