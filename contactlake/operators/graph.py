@@ -61,16 +61,12 @@ def parent_domains(url):
 
 
 def seed_states(seeds: DataFrame) -> DataFrame:
-    """Distinct walkable seeds: the text as given, its page key and its domain."""
+    """Distinct walkable seeds: the text as given and its page key."""
     return (
         seeds.select("seed_url")
         .distinct()
         .filter(urls.validate_url(F.col("seed_url")))
-        .select(
-            "seed_url",
-            page_key(F.col("seed_url")).alias("url"),
-            urls.get_domain(F.col("seed_url")).alias("domain"),
-        )
+        .select("seed_url", page_key(F.col("seed_url")).alias("url"))
     )
 
 
@@ -113,7 +109,8 @@ def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int = Setting
     The edges are partitioned and sorted by source once. A round first picks the
     edges of the level's distinct pages, without moving the others, and then joins
     those few with the level, where adaptive execution may split a page that many
-    seeds reach. The budget bounds the rows of one seed. Every level is
+    seeds reach. Repeats are combined before the shuffle by seed and URL, and at most
+    ``max_pages`` rows per seed and task go on to the ranking. Every level is
     checkpointed: that cuts the lineage and survives the loss of an executor. Only
     whether a level has rows comes to the driver.
     """
@@ -121,26 +118,26 @@ def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int = Setting
     edges = co_located(edges.select("src_url", "dst_url"), "src_url")
     level = (
         seed_states(seeds)
-        .select("seed_url", "url", "domain", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("used"))
-        .repartition("seed_url")
+        .select("seed_url", "url", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("used"))
         .checkpoint()
     )
     visited = level.select("seed_url", "url", "depth")
     for depth in range(1, max_pages):
         wanted = level.select(F.col("url").alias("src_url")).distinct()
-        followed = edges.join(wanted, "src_url", "left_semi")
+        followed = edges.join(wanted, "src_url", "left_semi").withColumn("host", urls.netloc_of(F.col("dst_url")))
+        sources = level.select(
+            "seed_url", F.col("url").alias("src_url"), urls.netloc_of(F.col("seed_url")).alias("domain"), "used"
+        )
         found = (
-            level.withColumnRenamed("url", "src_url")
-            .join(followed, "src_url")
-            .filter(urls.netloc_in_domain(urls.netloc_of(F.col("dst_url")), F.col("domain")))
-            .select("seed_url", F.col("dst_url").alias("url"), "domain", "used")
-            .repartition("seed_url")
-            .distinct()
+            sources.join(followed, "src_url")
+            .filter(urls.netloc_in_domain(F.col("host"), F.col("domain")))
+            .groupBy("seed_url", F.col("dst_url").alias("url"))
+            .agg(F.max("used").alias("used"))
             .join(visited.select("seed_url", "url"), ["seed_url", "url"], "left_anti")
         )
         level = (
             within_budget(found, max_pages)
-            .select("seed_url", "url", "domain", F.lit(depth).alias("depth"), "used")
+            .select("seed_url", "url", F.lit(depth).alias("depth"), "used")
             .checkpoint()
         )
         if level.isEmpty():
