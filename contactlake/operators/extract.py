@@ -4,6 +4,8 @@ checked and sorted in the task that reads the page, so no HTML is ever shuffled.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +24,53 @@ def tokenized(pages: DataFrame) -> DataFrame:
     ).drop("html")
 
 
-def _with_runs(table: DataFrame, settings: Settings) -> DataFrame:
-    """Replace ``text`` by the stretches of it that can hold an address or a number.
+def _application(table: DataFrame) -> str:
+    """Part of the key of the column caches below: building the columns takes longer
+    than planning them, and they can serve every query of one application."""
+    return table.sparkSession.sparkContext.applicationId
 
-    As columns of their own they are scanned for once, however many patterns
-    look at them afterwards.
-    """
+
+@lru_cache(maxsize=64)
+def _parsing_columns(settings: Settings, application: str) -> tuple[list[Column], dict[str, Column]]:
+    parsed = [
+        html.tokens_text(F.col("tokens"), settings.block_separator).alias("text"),
+        html.markup_tags(F.col("tokens")).alias("tags"),
+    ]
+    return parsed, {"hrefs": html.raw_hrefs(F.col("tags")), "tel_full": html.tel_numbers(F.col("hrefs"))}
+
+
+@lru_cache(maxsize=64)
+def _run_columns(settings: Settings, application: str) -> list[Column]:
+    """The stretches of a text that can hold an address or a number. As columns of
+    their own they are scanned for once, however many patterns look at them."""
     text = F.col("text")
-    return table.select(
-        *[c for c in table.columns if c != "text"],
+    return [
         (text != "").alias("has_text"),
         emails.address_runs(text, settings.email_pattern).alias("address_runs"),
         phones.number_runs(text, settings.phone_patterns).alias("number_runs"),
-    )
+    ]
+
+
+@lru_cache(maxsize=64)
+def _text_columns(settings: Settings, application: str) -> list[Column]:
+    return [
+        F.col("has_text"),
+        emails.addresses_in(F.col("address_runs"), settings.email_pattern).alias("email_text"),
+        match_all(F.col("number_runs"), settings.phone_patterns).alias("phone_text"),
+    ]
+
+
+@lru_cache(maxsize=64)
+def _markup_columns(settings: Settings, application: str) -> list[Column]:
+    tags, hrefs, tel = F.col("tags"), F.col("hrefs"), F.col("tel_full")
+    return [
+        html.mailto_emails(hrefs).alias("email_mailto"),
+        html.data_emails(tags).alias("email_data_email"),
+        (html.tel_numbers_strict(tel) if settings.validate_phones else tel).alias("phone_tel"),
+        html.data_phones(tags).alias("phone_data_phone"),
+        html.meta_phones(tags).alias("phone_meta"),
+        html.page_links(tags, hrefs).alias("links"),
+    ]
 
 
 def page_signals(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -44,49 +80,26 @@ def page_signals(pages: DataFrame, settings: Settings = Settings()) -> DataFrame
     that can carry a contact or a link.
     """
     keys = [c for c in pages.columns if c != "html"]
-    parsed = (
-        tokenized(pages)
-        .select(
-            *keys,
-            html.tokens_text(F.col("tokens"), settings.block_separator).alias("text"),
-            html.markup_tags(F.col("tokens")).alias("tags"),
-        )
-        .withColumn("hrefs", html.raw_hrefs(F.col("tags")))
-        .withColumn("tel_full", html.tel_numbers(F.col("hrefs")))
-        .transform(_with_runs, settings)
-    )
-    return parsed.select(
-        *keys,
-        "has_text",
-        emails.addresses_in(F.col("address_runs"), settings.email_pattern).alias("email_text"),
-        html.mailto_emails(F.col("hrefs")).alias("email_mailto"),
-        html.data_emails(F.col("tags")).alias("email_data_email"),
-        match_all(F.col("number_runs"), settings.phone_patterns).alias("phone_text"),
-        (html.tel_numbers_strict(F.col("tel_full")) if settings.validate_phones else F.col("tel_full")).alias("phone_tel"),
-        html.data_phones(F.col("tags")).alias("phone_data_phone"),
-        html.meta_phones(F.col("tags")).alias("phone_meta"),
-        html.page_links(F.col("tags"), F.col("hrefs")).alias("links"),
-    )
+    key = (settings, _application(pages))
+    parsed, links = _parsing_columns(*key)
+    table = tokenized(pages).select(*keys, *parsed)
+    for name, column in links.items():
+        table = table.withColumn(name, column)
+    runs = table.select(*keys, "tags", "hrefs", "tel_full", *_run_columns(*key))
+    return runs.select(*keys, *_text_columns(*key), *_markup_columns(*key))
 
 
 def text_signals(texts: DataFrame, column: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The same findings for plain text without markup or site."""
     keys = [c for c in texts.columns if c != column]
+    key = (settings, _application(texts))
+    table = texts.select(*keys, collapse_spaces(F.coalesce(F.col(column), F.lit(""))).alias("text"))
     nothing = F.array().cast("array<string>")
-    runs = texts.select(
-        *keys, collapse_spaces(F.coalesce(F.col(column), F.lit(""))).alias("text")
-    ).transform(_with_runs, settings)
-    return runs.select(
-        *keys,
-        "has_text",
-        emails.addresses_in(F.col("address_runs"), settings.email_pattern).alias("email_text"),
-        nothing.alias("email_mailto"),
-        nothing.alias("email_data_email"),
-        match_all(F.col("number_runs"), settings.phone_patterns).alias("phone_text"),
-        nothing.alias("phone_tel"),
-        nothing.alias("phone_data_phone"),
-        nothing.alias("phone_meta"),
-        nothing.alias("links"),
+    absent = ("email_mailto", "email_data_email", "phone_tel", "phone_data_phone", "phone_meta", "links")
+    return (
+        table.select(*keys, *_run_columns(*key))
+        .select(*keys, *_text_columns(*key))
+        .select("*", *[nothing.alias(name) for name in absent])
     )
 
 
@@ -102,29 +115,28 @@ def contacts_of(signals: DataFrame, settings: Settings = Settings(), url: str |
     """
     found = {c for c in signals.columns if c.startswith(("email_", "phone_"))} | {"links", "has_text"}
     keys = [c for c in signals.columns if c not in found]
+    gathered, checked = _contact_columns(settings, url, _application(signals))
+    return signals.select(*keys, *gathered).select(*keys, *checked)
+
+
+@lru_cache(maxsize=64)
+def _contact_columns(settings: Settings, url: str | None, application: str) -> tuple[list[Column], list[Column]]:
     home = urls.home_country(F.col(url)) if url else F.lit(None).cast("string")
-    email_candidates = F.array_distinct(F.concat(*[f"email_{o}" for o in EMAIL_ORIGINS]))
-    phone_candidates = F.array_distinct(F.concat(*[f"phone_{o}" for o in _phone_origins(settings)]))
-    gathered = signals.select(
-        *keys,
+    gathered = [
         home.alias("_home"),
-        email_candidates.alias("_emails"),
-        phone_candidates.alias("_phones"),
-        "links",
-    )
+        F.array_distinct(F.concat(*[f"email_{o}" for o in EMAIL_ORIGINS])).alias("_emails"),
+        F.array_distinct(F.concat(*[f"phone_{o}" for o in _phone_origins(settings)])).alias("_phones"),
+        F.col("links"),
+    ]
+    found = F.col("_phones")
     check_emails = emails.valid_emails if settings.validate_emails else emails.simple_emails
-    phones_found = F.col("_phones")
-    return gathered.select(
-        *keys,
+    check_phones = phones.valid_phones(found, F.col("_home")) if settings.validate_phones else phones.simple_phones(found)
+    checked = [
         _unless_empty("_emails", check_emails(F.col("_emails"))).alias("emails"),
-        _unless_empty(
-            "_phones",
-            phones.valid_phones(phones_found, F.col("_home"))
-            if settings.validate_phones
-            else phones.simple_phones(phones_found),
-        ).alias("phones"),
+        _unless_empty("_phones", check_phones).alias("phones"),
         F.array_sort("links").alias("links"),
-    )
+    ]
+    return gathered, checked
 
 
 def _unless_empty(array: str, checked: Column) -> Column:
@@ -159,6 +171,12 @@ def candidates(signals: DataFrame, keys: list[str], settings: Settings = Setting
 
 def checked_candidates(found: DataFrame, settings: Settings = Settings(), url: str | None = "url") -> DataFrame:
     """Add to each candidate its ``value`` (NULL when rejected) and the ``reason``."""
+    result = _result_column(settings, url, _application(found))
+    return found.withColumn("_result", result).select(*found.columns, "_result.value", "_result.reason")
+
+
+@lru_cache(maxsize=64)
+def _result_column(settings: Settings, url: str | None, application: str) -> Column:
     home = urls.home_country(F.col(url)) if url else F.lit(None).cast("string")
     nothing = F.lit(None).cast("string")
 
@@ -188,5 +206,4 @@ def checked_candidates(found: DataFrame, settings: Settings = Settings(), url: s
 
         return bind(emails.normalize_email(raw), check)
 
-    result = F.when(F.col("kind") == "phone", phone_result(F.col("raw"))).otherwise(email_result(F.col("raw")))
-    return found.withColumn("_result", result).select(*found.columns, "_result.value", "_result.reason")
+    return F.when(F.col("kind") == "phone", phone_result(F.col("raw"))).otherwise(email_result(F.col("raw")))
