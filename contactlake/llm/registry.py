@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactlake.llm import exact_dedup, mixing, sentencepiece, toxicity
+from contactlake.llm import exact_dedup, mixing, near_dedup, sentencepiece, toxicity
 from contactlake.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -15,6 +15,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents")).drop(*exact_dedup.CLASS)

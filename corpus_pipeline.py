@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contactlake.llm import exact_dedup, mixing, sentencepiece, toxicity
+from contactlake.llm import exact_dedup, mixing, near_dedup, sentencepiece, toxicity
 from contactlake.llm.common import read, save
 
 
@@ -17,6 +17,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.drop_duplicates(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     return mixing.realise(docs)
@@ -30,6 +34,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", without_toxic),
     ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
     ("source_mixing", mixed),
     ("sentencepiece", encoded),
 ]
