@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactlake.llm import exact_dedup, mixing, near_dedup, sentencepiece, toxicity
+from contactlake.llm import exact_dedup, fm_dedup, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity
 from contactlake.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -31,6 +31,12 @@ def op4_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", "n_tokens", "weight", "n_copies")
 
 
+@query
+def op5_substring_dedup(spark, sf_dir):
+    result = fm_dedup.remove_repeated_words(read(spark, sf_dir, "documents"))
+    return result.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
@@ -55,3 +61,9 @@ def op8_sentencepiece(spark, sf_dir):
         F.xxhash64("ids").alias("ids_hash"),
         (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece.SPACE, " ")).alias("round_trip"),
     )
+
+
+@query
+def op10_suffix_array_dedup(spark, sf_dir):
+    result = suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"))
+    return result.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
