@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactlake.llm import exact_dedup, fm_dedup, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity
+from contactlake.llm import exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity
 from contactlake.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -20,6 +20,13 @@ def op1_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op2_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", (~language.learned(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents")).drop(*exact_dedup.CLASS)
@@ -63,6 +70,12 @@ def op8_sentencepiece(spark, sf_dir):
     )
 
 
+@query
+def op9_html_extraction(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return main_text.main_text(pages, main_text.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op10_suffix_array_dedup(spark, sf_dir):
     result = suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"))
