@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactlake.llm import exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity
+from contactlake.llm import embedding_dedup, exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity
 from contactlake.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -44,6 +44,11 @@ def op5_substring_dedup(spark, sf_dir):
     return result.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+@query
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
