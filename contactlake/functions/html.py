@@ -2,7 +2,9 @@
 
 The pattern only uses possessive and lazy quantifiers that Java runs in a loop,
 so long pages neither overflow the stack nor backtrack. An unclosed comment,
-script or style element reaches to the end of the page.
+script or style element reaches to the end of the page. So does a tag that is never
+closed: it is one token, which is markup and holds no attribute, and nothing behind it
+is tried again as the start of a tag.
 """
 
 from __future__ import annotations
@@ -17,22 +19,22 @@ from contactlake.lookups import named_entities
 
 _INSIDE_TAG = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
 _ENTITY = r"&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);?"
+# what follows the name of a tag that never closes, because its ">" or a quote is missing
+_CUT_TAG = r"(?:[\"'].*+)?+\z"
 TOKEN_PATTERN = (
     r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<script\b{_INSIDE_TAG}>.*?(?:</script\s*>|\z)"
-    rf"|<style\b{_INSIDE_TAG}>.*?(?:</style\s*>|\z)"
-    rf"|</?[a-z!?]{_INSIDE_TAG}>"
+    rf"|<script\b{_INSIDE_TAG}(?:>.*?(?:</script\s*>|\z)|{_CUT_TAG})"
+    rf"|<style\b{_INSIDE_TAG}(?:>.*?(?:</style\s*>|\z)|{_CUT_TAG})"
+    rf"|</?[a-z!?]{_INSIDE_TAG}(?:>|{_CUT_TAG})"
     rf"|{_ENTITY}"
     r"|[^<&]++|[<&]"
 )
 _RAW_ELEMENT = rf"(?is)^<(?:script|style)\b{_INSIDE_TAG}>(.*?)(?:</(?:script|style)\s*>)?\z"
-_REMOVED_ELEMENTS = (
-    rf"(?is)<script\b{_INSIDE_TAG}>.*?(?:</script\s*>|\z)"
-    rf"|<style\b{_INSIDE_TAG}>.*?(?:</style\s*>|\z)"
-    rf"|<noscript\b{_INSIDE_TAG}>.*?(?:</noscript\s*>|\z)"
+_REMOVED_ELEMENTS = "(?is)" + "|".join(
+    rf"<{name}\b{_INSIDE_TAG}(?:>.*?(?:</{name}\s*>|\z)|{_CUT_TAG})" for name in ("script", "style", "noscript")
 )
-# tags that can carry a contact or a link
-MARKUP_PATTERN = r"(?is)^<(?:(?:a|meta|link)[\s/]|[a-z][^>]*data-(?:email|phone))"
+# tags that can carry a contact or a link; a tag that never closes carries nothing
+MARKUP_PATTERN = r"(?is)^<(?:(?:a|meta|link)[\s/]|[a-z].*?data-(?:email|phone)).*>"
 
 
 def html_tokens(html: Column) -> Column:
@@ -47,9 +49,9 @@ def _entity_map() -> Column:
 
 def _decode_entity(token: Column) -> Column:
     """One entity token as text; unknown names and impossible numbers stay as written."""
-    decimal = F.regexp_extract(token, r"^&#([0-9]{1,7});?$", 1).try_cast("int")
+    decimal = F.regexp_extract(token, r"^&#0*([0-9]{1,7});?$", 1).try_cast("int")
     hexadecimal = F.conv(
-        F.nullif(F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,6});?$", 1), F.lit("")), 16, 10
+        F.nullif(F.regexp_extract(token, r"^&#[xX]0*([0-9a-fA-F]{1,6});?$", 1), F.lit("")), 16, 10
     ).try_cast("int")
     code = F.coalesce(decimal, hexadecimal)
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)

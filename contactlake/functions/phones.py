@@ -16,10 +16,10 @@ from contactlake.lookups import (
     BY_LOCAL_STARTS,
     COUNTRY_LENGTHS,
     DEFAULT_LENGTHS,
+    NOT_PHONE_SHAPES,
     ID_LIKE_PATTERNS,
     PHONE_LENGTHS,
     PHONE_PATTERNS,
-    SEQUENCE_STARTS,
     SUSPICIOUS_STARTS,
     UA_MOBILE_STARTS,
     country_code_pattern,
@@ -94,10 +94,8 @@ def length_ok(size: Column) -> Column:
 
 
 def is_not_phone(digits: Column) -> Column:
-    """Shapes that are no phone number: wrong length, one digit repeated, a counting
-    sequence at the start, or only zeros and ones."""
-    starts = "|".join(SEQUENCE_STARTS)
-    return ~F.length(digits).between(7, 15) | digits.rlike(rf"^(?:(\d)\1{{5,}}$|(?:{starts})\d*$|[01]+$)")
+    """Has one of the shapes that are no phone number, or no digits at all."""
+    return (digits == "") | digits.rlike("|".join(NOT_PHONE_SHAPES))
 
 
 def is_suspicious(digits: Column, has_plus: Column) -> Column:

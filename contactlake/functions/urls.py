@@ -123,7 +123,7 @@ def _parts_struct(parts: UrlParts) -> Column:
 
 
 def resolve_url(link: Column, base: Column) -> Column:
-    """Absolute form of ``link`` as found on the page ``base``."""
+    """Absolute form of ``link`` as found on the page ``base``; NULL when either is."""
 
     def tail(mark: str, part: Column) -> Column:
         return F.when(part != "", F.concat(F.lit(mark), part)).otherwise("")
@@ -146,7 +146,7 @@ def resolve_url(link: Column, base: Column) -> Column:
             .otherwise(bind(_parts_struct(resolve_parts(parts, base_parts)), lambda r: text(_fields(r))))
         )
 
-    return _with_both(link, url_parts(base), resolve)
+    return F.when(base.isNotNull(), _with_both(link, url_parts(base), resolve))
 
 
 def normalize_url(link: Column, base: Column) -> Column:

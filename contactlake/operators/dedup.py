@@ -5,35 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Ids of surplus pages that may be broadcast: 8 bytes each, so at most some 16 MB.
-MAX_BROADCAST_IDS = 2_000_000
 
+def dedup_pages(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per exact URL: the one with the smallest id.
 
-def surplus_ids(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Ids of all pages but the first (smallest id) of each URL.
-
-    Works on the two narrow columns only. The grouping combines before its
-    shuffle and the anti-join is on the unique id, so one URL holding a large
-    share of the rows does not skew either.
-    """
-    ids = pages.select(key, "url")
-    kept = ids.groupBy("url").agg(F.min(key).alias(key)).select(key)
-    return ids.select(key).join(kept, key, "left_anti")
-
-
-def dedup_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """One page per exact URL: the one with the smallest id.
-
-    The surplus ids are counted first. Up to a fixed number they are broadcast,
-    so the HTML stays where it was read; beyond it the anti-join shuffles.
+    For rows without HTML: keep what is needed of a page, or extract it, before. Without the
+    column ``key``, and among equal ids, a hash of the row decides; of equal rows one stays. Rows
+    without URL are no duplicates of each other and all stay. It is one grouping, which
+    combines before its shuffle, so a URL that many rows have does not skew it.
     """
-    from contactlake.sources.pages import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(pages.sparkSession)
-    surplus = surplus_ids(pages, key).checkpoint()
-    if surplus.count() <= MAX_BROADCAST_IDS:
-        surplus = F.broadcast(surplus)
-    return pages.join(surplus, key, "left_anti")
+    columns = rows.columns
+    order = [key] if key in columns else []
+    first = F.min_by(F.struct(*columns), F.struct(*order, F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)))
+    kept = rows.filter("url is not null").groupBy("url").agg(first.alias("first")).select("first.*")
+    return kept.unionByName(rows.filter("url is null"))
 
 
 def contact_dedup(contacts: DataFrame, site: str = "site") -> DataFrame:

@@ -169,6 +169,21 @@ def candidates(signals: DataFrame, keys: list[str], settings: Settings = Setting
     return unfold(signals, keys, F.concat(*groups), "c").select(*keys, "c.*")
 
 
+def only_in_text(signals: DataFrame, keys: list[str], settings: Settings = Settings()) -> DataFrame:
+    """Candidates (``kind``, ``raw``) in a page's text that none of its attributes also gives.
+
+    The sets of a page are in its row, so they are compared there and nothing moves.
+    """
+
+    def rest(kind: str, origins: tuple[str, ...]):
+        others = F.concat(*[F.col(f"{kind}_{o}") for o in origins if o != "text"])
+        only = F.array_except(F.col(f"{kind}_text"), others)
+        return F.transform(only, lambda raw: named_struct(kind=F.lit(kind), raw=raw))
+
+    both = F.concat(rest("email", EMAIL_ORIGINS), rest("phone", _phone_origins(settings)))
+    return unfold(signals, keys, both, "c").select(*keys, "c.*")
+
+
 def checked_candidates(found: DataFrame, settings: Settings = Settings(), url: str | None = "url") -> DataFrame:
     """Add to each candidate its ``value`` (NULL when rejected) and the ``reason``."""
     result = _result_column(settings, url, _application(found))

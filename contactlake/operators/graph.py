@@ -6,6 +6,8 @@ pass, and the walk runs on the small edge table that comes out of it.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +44,16 @@ def same_domain_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Edges of each seed's domain: ``(seed_url, src_url, dst_url)``.
 
     A page belongs to a seed when its host is the seed's domain or a subdomain of
-    it. The host's parent domains are listed, so this is an equi-join.
+    it. The few distinct hosts are looked up under their parent domains; the edges then
+    join that small map by host, in one struct so that a hot host can be split.
     """
-    domains = seeds.select("seed_url", urls.get_domain(F.col("seed_url")).alias("domain"))
-    with_parents = edges.withColumn("domain", F.explode(parent_domains(F.col("src_url"))))
-    joined = with_parents.join(domains, "domain")
-    on_site = urls.is_same_domain(F.col("dst_url"), F.col("domain"))
+    domains = seeds.select("seed_url", urls.get_domain(F.col("seed_url")).alias("domain")).filter("domain is not null")
+    hosts = edges.groupBy(urls.netloc_of(F.col("src_url")).alias("host")).agg(F.first("src_url").alias("url"))
+    known = hosts.select("host", F.explode(parent_domains(F.col("url"))).alias("domain")).join(domains, "domain")
+    known = known.select(F.struct("host").alias("host_key"), "seed_url", "domain")
+    rows = edges.select("src_url", "dst_url", F.struct(urls.netloc_of(F.col("src_url")).alias("host")).alias("host_key"))
+    joined = rows.join(known, "host_key")
+    on_site = urls.netloc_in_domain(urls.netloc_of(F.col("dst_url")), F.col("domain"))
     return joined.filter(on_site).select("seed_url", "src_url", "dst_url").distinct()
 
 
@@ -60,6 +66,21 @@ def parent_domains(url):
     )
 
 
+def edges_on_sites(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges ``(src_url, dst_url, host)`` that lead to the domain of some seed.
+
+    Links that leave every site are most of a real page's links and can never be
+    followed. Each distinct host is looked up once, under itself and its parent domains.
+    """
+    domains = seeds.select(urls.get_domain(F.col("seed_url")).alias("domain")).filter("domain is not null").distinct()
+    targets = edges.select("src_url", "dst_url", urls.netloc_of(F.col("dst_url")).alias("host"))
+    hosts = edges.select(F.col("dst_url").alias("url")).groupBy(urls.netloc_of(F.col("url")).alias("host")).agg(F.first("url").alias("url"))
+    known = hosts.select("host", F.explode(parent_domains(F.col("url"))).alias("domain")).join(domains, "domain", "left_semi")
+    # The key is wrapped so that both sides are exchanged and a host with many links can be split.
+    known = known.select(F.struct("host").alias("host_key")).distinct()
+    return targets.withColumn("host_key", F.struct("host")).join(known, "host_key", "left_semi").drop("host_key")
+
+
 def seed_states(seeds: DataFrame) -> DataFrame:
     """Distinct walkable seeds: the text as given and its page key."""
     return (
@@ -99,33 +120,34 @@ def within_budget(found: DataFrame, max_pages: int) -> DataFrame:
     return allowed.withColumn("used", F.col("used") + F.count("*").over(seed)).drop("_rank")
 
 
-def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int = Settings().max_pages) -> DataFrame:
+def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int | None = Settings().max_pages) -> DataFrame:
     """``(seed_url, url, depth)`` of the pages visited from each seed, breadth first.
 
-    All seeds advance together, one level per round. Each URL is visited once per
-    seed; a URL without a page counts as visited. Within a level URLs are taken in
-    order until the budget of ``max_pages`` is used up.
-
-    The edges are partitioned and sorted by source once. A round first picks the
-    edges of the level's distinct pages, without moving the others, and then joins
-    those few with the level, where adaptive execution may split a page that many
-    seeds reach. Repeats are combined before the shuffle by seed and URL, and at most
-    ``max_pages`` rows per seed and task go on to the ranking. Every level is
-    checkpointed: that cuts the lineage and survives the loss of an executor. Only
-    whether a level has rows comes to the driver.
+    All seeds advance together, one level per round, until no seed finds a new page. Each
+    URL is visited once per seed; a URL without a page counts as visited. With a budget,
+    URLs of a level are taken in order until ``max_pages`` are used up, and a seed that has
+    used them is not followed any further; with None the whole site is visited.
+
+    Edges that lead to no seed's domain are dropped first. The others are partitioned and
+    sorted by source once. A round first picks the edges of the level's distinct pages,
+    without moving the others, and then joins those few with the level, where adaptive
+    execution may split a page that many seeds reach. Repeats are combined before the
+    shuffle by seed and URL. Every level is checkpointed: that cuts the lineage and survives
+    the loss of an executor. Only whether a level has rows comes to the driver.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    edges = co_located(edges.select("src_url", "dst_url"), "src_url")
+    edges = co_located(edges_on_sites(edges, seeds), "src_url")
     level = (
         seed_states(seeds)
         .select("seed_url", "url", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("used"))
         .checkpoint()
     )
     visited = level.select("seed_url", "url", "depth")
-    for depth in range(1, max_pages):
-        wanted = level.select(F.col("url").alias("src_url")).distinct()
-        followed = edges.join(wanted, "src_url", "left_semi").withColumn("host", urls.netloc_of(F.col("dst_url")))
-        sources = level.select(
+    for depth in itertools.count(1):
+        live = level if max_pages is None else level.filter(F.col("used") < max_pages)
+        wanted = live.select(F.col("url").alias("src_url")).distinct()
+        followed = edges.join(wanted, "src_url", "left_semi")
+        sources = live.select(
             "seed_url", F.col("url").alias("src_url"), urls.netloc_of(F.col("seed_url")).alias("domain"), "used"
         )
         found = (
@@ -135,17 +157,14 @@ def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int = Setting
             .agg(F.max("used").alias("used"))
             .join(visited.select("seed_url", "url"), ["seed_url", "url"], "left_anti")
         )
-        level = (
-            within_budget(found, max_pages)
-            .select("seed_url", "url", F.lit(depth).alias("depth"), "used")
-            .checkpoint()
-        )
+        if max_pages is not None:
+            found = within_budget(found, max_pages)
+        level = found.select("seed_url", "url", F.lit(depth).alias("depth"), "used").checkpoint()
         if level.isEmpty():
-            break
+            return visited
         visited = visited.unionByName(level.select("seed_url", "url", "depth"))
         if depth % COMPACT_EVERY == 0:
             visited = visited.checkpoint()
-    return visited
 
 
 def unvisited_links(targets: DataFrame, visited: DataFrame) -> DataFrame:
@@ -154,8 +173,8 @@ def unvisited_links(targets: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def frontier_pages(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Frontier URLs with ``fetched``: whether the page table has them."""
-    have = pages.select(F.col("url"), F.lit(True).alias("fetched"))
+    """Frontier URLs with ``fetched``: whether the page table has them, however often."""
+    have = pages.select("url").distinct().withColumn("fetched", F.lit(True))
     return frontier.join(have, "url", "left").withColumn(
         "fetched", F.coalesce("fetched", F.lit(False))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -22,14 +23,19 @@ class SiteWalk(NamedTuple):
 def extracted_pages(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Contacts and links of the admitted pages, one row per page key.
 
-    One narrow pass over the HTML, written to the checkpoint folder: links and
-    contacts both come from it, and a lost executor does not cause a second parse.
-    Pages with the same key are dropped afterwards, when a row is a few hundred
-    bytes, so the HTML is never shuffled.
+    One narrow pass over the HTML. Pages with the same key are dropped afterwards, when a
+    row is a few hundred bytes, so the HTML is never shuffled. The rows go to a table in
+    the checkpoint folder: links and contacts both come from it, each reads its columns,
+    and a lost executor does not cause a second parse.
     """
-    ensure_checkpoint_dir(pages.sparkSession)
-    contacts = page_contacts(admitted_pages(pages).select("page_id", "url", "html"), settings)
-    return dedup_pages(contacts.withColumn("url", graph.page_key(F.col("url"))).checkpoint())
+    spark = pages.sparkSession
+    ensure_checkpoint_dir(spark)
+    keys = [c for c in ("page_id", "url") if c in pages.columns]
+    contacts = page_contacts(admitted_pages(pages).select(*keys, "html"), settings)
+    rows = dedup_pages(contacts.withColumn("url", graph.page_key(F.col("url"))))
+    path = f"{spark.sparkContext.getCheckpointDir()}/pages-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def walk_sites(pages: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -> SiteWalk:
@@ -46,9 +52,18 @@ def visited_contacts(walk: SiteWalk) -> DataFrame:
 
 
 def site_contacts(pages: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per distinct seed: sorted emails and phones of its site."""
+    """One row per distinct seed: sorted emails and phones of its site.
+
+    With a page budget, ``limit_reached`` says whether the site was left before its end.
+    """
     walk = walk_sites(pages, seeds, settings)
-    return reports.site_results(visited_contacts(walk), seeds.select("seed_url").distinct())
+    results = reports.site_results(visited_contacts(walk), seeds.select("seed_url").distinct())
+    return results if settings.max_pages is None else _with_limit(results, walk, settings.max_pages)
+
+
+def _with_limit(results: DataFrame, walk: SiteWalk, max_pages: int) -> DataFrame:
+    used = walk.visited.groupBy("seed_url").agg((F.count("*") >= max_pages).alias("limit_reached"))
+    return results.join(used, "seed_url", "left").withColumn("limit_reached", F.coalesce("limit_reached", F.lit(False)))
 
 
 def batch_contacts(pages: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -35,7 +35,7 @@ TOKEN = text(
     r"<!--.*?(?:-->|\z)"
     rf"|<script\b{INSIDE}>.*?(?:</script\s*>|\z)"
     rf"|<style\b{INSIDE}>.*?(?:</style\s*>|\z)"
-    rf"|</?[a-z!?]{INSIDE}>|{ENTITY}|[^<&]+|[<&]"
+    rf"|</?[a-z!?]{INSIDE}>|</?[a-z!?].*\z|{ENTITY}|[^<&]+|[<&]"
 )
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -257,7 +257,8 @@ LENGTHS = "lengths(code, n) AS " + values(
 
 def not_phone(d: str) -> str:
     same = "|".join(f"{i}{{6,}}" for i in range(10))
-    starts = " OR ".join(f"starts_with({d}, '{s}')" for s in lookups.SEQUENCE_STARTS)
+    runs = [digits[i : i + 6] for digits in ("1234567890", "0987654321") for i in range(5)]
+    starts = " OR ".join(f"starts_with({d}, '{s}')" for s in runs)
     return f"(length({d}) < 7 OR length({d}) > 15 OR regexp_full_match({d}, '{same}') OR {starts} OR regexp_full_match({d}, '[01]+'))"
 
 
@@ -380,25 +381,27 @@ edges AS MATERIALIZED (SELECT DISTINCT base AS src_url, {NORMALIZED} AS dst_url
 ALL_EDGES = EDGES.replace(KEPT_ONLY, "")
 
 
-def walk(max_pages: int, name: str = "visited") -> str:
-    """Breadth-first levels by recursion, then the first ``max_pages`` of each seed."""
+def walk(max_pages: int | None, name: str = "visited") -> str:
+    """Breadth-first levels by recursion until nothing is new, then the first ``max_pages`` of each seed."""
+    limit = "" if max_pages is None else f"WHERE rank <= {max_pages}"
     return f"""{SEED_LINES},
 seed_states AS MATERIALIZED (SELECT DISTINCT seed_url, {page_key('seed_url')} AS url, {netloc('seed_url')} AS domain
                 FROM seed_lines WHERE {part('seed_url', 1)} <> '' AND {netloc('seed_url')} <> ''),
 edge_hosts AS MATERIALIZED (SELECT *, {netloc('dst_url')} AS host FROM edges),
-steps(seed_url, url, domain, depth) AS (
+steps(seed_url, url, domain, depth) USING KEY (seed_url, url) AS (
   SELECT seed_url, url, domain, CAST(0 AS BIGINT) FROM seed_states
   UNION
   SELECT s.seed_url, e.dst_url, s.domain, s.depth + 1
   FROM steps s JOIN edge_hosts e ON e.src_url = s.url
-  WHERE (e.host = s.domain OR ends_with(e.host, '.' || s.domain)) AND s.depth < 24),
+  WHERE (e.host = s.domain OR ends_with(e.host, '.' || s.domain))
+    AND NOT EXISTS (SELECT 1 FROM recurring.steps r WHERE r.seed_url = s.seed_url AND r.url = e.dst_url)),
 levels AS (SELECT seed_url, url, min(depth) AS depth FROM steps GROUP BY seed_url, url),
 {name} AS MATERIALIZED (SELECT seed_url, url, depth FROM (
-   SELECT *, row_number() OVER (PARTITION BY seed_url ORDER BY depth, url) AS rank FROM levels) WHERE rank <= {max_pages})"""
+   SELECT *, row_number() OVER (PARTITION BY seed_url ORDER BY depth, url) AS rank FROM levels) {limit})"""
 
 
-WALK = f"RECURSIVE {VALID}, {EDGES}, {walk(50)}"
-WHOLE_WALK = f"RECURSIVE {STRICT}, {LINKS}, {EDGES}, {walk(1000)}"
+WALK = f"RECURSIVE {VALID}, {EDGES}, {walk(None)}"
+WHOLE_WALK = f"RECURSIVE {STRICT}, {LINKS}, {EDGES}, {walk(None)}"
 SITE_VALID = """kept_pages AS (SELECT url, min(page_id) AS page_id FROM keyed GROUP BY url),
 site_valid AS (SELECT v.seed_url, c.kind, c.value FROM visited v JOIN kept_pages k ON k.url = v.url
                JOIN valid c ON c.page_id = k.page_id)"""
@@ -457,8 +460,11 @@ ORACLES: dict[str, str] = {
         """SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS n_bytes FROM (
              SELECT * FROM pages_in
              UNION ALL SELECT page_id + 1000000000000, url, html FROM pages_in WHERE page_id % 5 = 0
-             UNION ALL SELECT page_id + 2000000000000, 'https://hot.example.org/', html FROM pages_in WHERE page_id % 3 = 0)
-           QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""",
+             UNION ALL SELECT page_id + 2000000000000, 'https://hot.example.org/', html FROM pages_in WHERE page_id % 3 = 0
+             UNION ALL SELECT * FROM pages_in WHERE page_id % 4 = 0
+             UNION ALL SELECT page_id, url || '#again', html FROM pages_in WHERE page_id % 10 = 1)
+           QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1
+           UNION ALL SELECT page_id + 3000000000000, NULL, CAST(strlen(html) AS BIGINT) FROM pages_in WHERE page_id % 7 = 0""",
     ),
     "result_json": with_(
         PAGE_RESULTS,
@@ -487,10 +493,11 @@ ORACLES: dict[str, str] = {
         f"SELECT k, link, {split_columns('link', '')} FROM rows",
     ),
     "resolve_url": with_(
-        f"{RAW_CTE}, rows AS (SELECT k, link AS original, trim(link) AS link, url FROM raw WHERE link IS NOT NULL AND url IS NOT NULL), "
+        f"{RAW_CTE}, rows AS (SELECT k, link AS original, trim(link) AS link, url FROM raw), "
         + resolved("rows", "link", "url"),
         """SELECT k, original AS link, url,
-             CASE WHEN link = '' THEN url
+             CASE WHEN original IS NULL OR url IS NULL THEN NULL
+                  WHEN link = '' THEN url
                   WHEN l_scheme <> '' AND l_netloc = '' AND l_scheme <> b_scheme THEN link
                   ELSE CASE WHEN scheme <> '' THEN scheme || ':' ELSE '' END
                        || CASE WHEN netloc <> '' THEN '//' || netloc ELSE '' END || path
@@ -536,11 +543,12 @@ ORACLES: dict[str, str] = {
     "clean_html": with_(
         f"pages_in AS ({SHOP})",
         "SELECT page_id, regexp_replace(html, "
-        + text("|".join(rf"<{e}\b{INSIDE}>.*?(?:</{e}\s*>|\z)" for e in ("script", "style", "noscript")))
+        + text("|".join(rf"<{e}\b(?:{INSIDE}>.*?(?:</{e}\s*>|\z)|.*\z)" for e in ("script", "style", "noscript")))
         + ", '', 'gis') AS html FROM pages_in",
     ),
     "match_all": """SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(text, '[a-z]+ [0-9]{3,}', 0, 'i'),
-                           regexp_extract_all(text, '[0-9]+ [a-z]+', 0, 'i'))) AS match FROM documents""",
+                           regexp_extract_all(text, '[0-9]+ [a-z]+', 0, 'i'),
+                           regexp_extract_all(text, '\pL+ [0-9]{4}', 0, 'i'))) AS match FROM documents""",
     # e-mail
     "email_text_matches": with_(
         f"{STRICT}, {DOC_TEXT}",
@@ -646,7 +654,7 @@ ORACLES: dict[str, str] = {
         RAW_PHONES,
         "SELECT k, home AS home_code, code, coalesce(CASE code "
         + " ".join(f"WHEN '{c}' THEN '{'|'.join(map(str, ns))}'" for c, ns in lookups.COUNTRY_LENGTHS.items())
-        + " END, NULL) AS lengths FROM raw_phones WHERE url IS NOT NULL",
+        + " END, NULL) AS lengths FROM raw_phones",
     ),
     "set_operations": with_(
         STRICT,
@@ -658,7 +666,7 @@ ORACLES: dict[str, str] = {
         f"{TOKENS}, {TAGS}, {LINKS}, keyed AS (SELECT page_id, {page_key('url')} AS url FROM pages_in), "
         "link_rows AS (SELECT k.url AS base, trim(l.link) AS link FROM links l JOIN keyed k USING (page_id)), "
         + resolved("link_rows", "link", "base")
-        + f", {SEED_LINES}, homes AS (SELECT DISTINCT seed_url, {netloc('seed_url')} AS domain FROM seed_lines WHERE seed_url LIKE '%/c/0')",
+        + f", {SEED_LINES}, homes AS (SELECT DISTINCT seed_url, {domain_of('seed_url')} AS domain FROM seed_lines)",
         f"""SELECT DISTINCT seed_url, base AS src_url, {NORMALIZED} AS dst_url FROM located
             JOIN homes ON (b_netloc = domain OR ends_with(b_netloc, '.' || domain)) AND (netloc = domain OR ends_with(netloc, '.' || domain))
             WHERE {NORMALIZED} IS NOT NULL""",

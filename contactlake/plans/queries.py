@@ -21,7 +21,7 @@ from contactlake.sources import sinks
 from contactlake.streaming.contacts import contacts_stream
 
 SIMPLE = Settings(validate_emails=False, validate_phones=False)
-WHOLE_SITE = Settings(max_pages=1000)
+WHOLE_SITE = Settings(max_pages=None)
 QUERIES = {}
 
 
@@ -36,17 +36,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def web_pages(spark, sf) -> DataFrame:
-    return page_source.spread(page_source.read_pages(spark, os.path.join(sf, "pages.parquet")))
+    return page_source.read_pages(spark, os.path.join(sf, "pages.parquet"))
 
 
 def all_pages(spark, sf) -> DataFrame:
     """Given pages and shop pages together."""
-    customer = page_source.spread(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
+    # keys only: the pages are made behind this shuffle
+    customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").repartition("c_custkey")
     return spark.sql(derived.ALL_PAGES, pages=web_pages(spark, sf), customer=customer)
 
 
 def raw_contacts(spark, sf) -> DataFrame:
-    orders = page_source.spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey").repartition("o_orderkey")
     return spark.sql(derived.RAW_CONTACTS, orders=orders)
 
 
@@ -62,7 +63,7 @@ def raw_phones(spark, sf) -> DataFrame:
 
 
 def documents(spark, sf) -> DataFrame:
-    return page_source.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def seeds(spark, sf) -> DataFrame:
@@ -118,14 +119,17 @@ def admitted_pages(spark, sf):
 
 @query
 def dedup_pages(spark, sf):
-    # every fifth page is listed a second time, under a higher id
-    given = all_pages(spark, sf)
-    again = given.filter(F.col("page_id") % 5 == 0).withColumn("page_id", F.col("page_id") + 10**12)
-    one_url = given.filter(F.col("page_id") % 3 == 0).select(
-        (F.col("page_id") + 2 * 10**12).alias("page_id"), F.lit("https://hot.example.org/").alias("url"), "html"
+    # listed again: under higher ids, as equal rows, with the same id under another URL, without URL
+    given = all_pages(spark, sf).select("page_id", "url", F.octet_length("html").cast("bigint").alias("n_bytes"))
+    page = F.col("page_id")
+    pages = (
+        given.unionByName(given.filter(page % 5 == 0).withColumn("page_id", page + 10**12))
+        .unionByName(given.filter(page % 3 == 0).withColumns({"page_id": page + 2 * 10**12, "url": F.lit("https://hot.example.org/")}))
+        .unionByName(given.filter(page % 4 == 0))
+        .unionByName(given.filter(page % 10 == 1).withColumn("url", F.concat("url", F.lit("#again"))))
+        .unionByName(given.filter(page % 7 == 0).withColumns({"page_id": page + 3 * 10**12, "url": F.lit(None).cast("string")}))
     )
-    pages = given.unionByName(again).unionByName(one_url)
-    return dedup.dedup_pages(pages).select("page_id", "url", F.octet_length("html").cast("bigint").alias("n_bytes"))
+    return dedup.dedup_pages(pages)
 
 
 def page_results(spark, sf) -> DataFrame:
@@ -170,7 +174,7 @@ def url_parts(spark, sf):
 
 @query
 def resolve_url(spark, sf):
-    rows = raw_contacts(spark, sf).filter("link is not null and url is not null")
+    rows = raw_contacts(spark, sf)
     return rows.select("k", "link", "url", urls.resolve_url(F.trim("link"), F.col("url")).alias("resolved"))
 
 
@@ -280,7 +284,8 @@ def clean_html(spark, sf):
 
 @query
 def match_all(spark, sf):
-    patterns = ["[a-z]+ [0-9]{3,}", "invalid[pattern", r"[0-9]+ [a-z]+"]
+    # one that no engine takes, one only Java takes, one only Python takes
+    patterns = ["[a-z]+ [0-9]{3,}", "invalid[pattern", r"[0-9]+ [a-z]+", r"\p{L}++ [0-9]{4}", r"(?P<n>[0-9]+)"]
     return text.unfold(documents(spark, sf), ["doc_id"], text.match_all(F.col("text"), patterns), "match")
 
 
@@ -481,7 +486,7 @@ def validation_funnel(spark, sf):
 
 
 def lookup_joins_query(spark, sf):
-    rows = raw_phones(spark, sf).select("k", "url", "digits").filter("url is not null")
+    rows = raw_phones(spark, sf).select("k", "url", "digits")
     rows = lookup_joins.with_home_code(rows)
     rows = lookup_joins.with_country_code(rows, "digits")
     return lookup_joins.with_country_lengths(rows).select("k", "home_code", "code", joined(F.col("lengths").cast("array<string>")).alias("lengths"))
@@ -498,10 +503,7 @@ def sorted_contacts(spark, sf):
 @query
 def set_operations(spark, sf):
     """Candidates found in text that no attribute also gives, per page."""
-    found = page_candidates(spark, sf).select("page_id", "kind", "origin", "raw")
-    in_text = found.filter("origin = 'text'").select("page_id", "kind", "raw")
-    elsewhere = found.filter("origin <> 'text'").select("page_id", "kind", "raw")
-    return in_text.union(elsewhere).distinct().exceptAll(elsewhere.distinct())
+    return extract.only_in_text(signals(spark, sf), ["page_id"])
 
 
 # --- link graph --------------------------------------------------------------
@@ -511,7 +513,7 @@ def link_edges(spark, sf):
         graph.page_key(F.col("url")).alias("url"), "links"
     )
     edges = graph.link_targets(contacts)
-    return graph.same_domain_edges(edges, seeds(spark, sf).filter("seed_url like '%/c/0'").select("seed_url").distinct())
+    return graph.same_domain_edges(edges, seeds(spark, sf).select("seed_url").distinct())
 
 
 @query
@@ -561,13 +563,13 @@ def crawl_progress(spark, sf):
 
 @query
 def site_contacts(spark, sf):
-    found = sites.site_contacts(all_pages(spark, sf), seeds(spark, sf))
+    found = sites.site_contacts(all_pages(spark, sf), seeds(spark, sf), WHOLE_SITE)
     return found.select("seed_url", joined("emails").alias("emails"), joined("phones").alias("phones"))
 
 
 @query
 def batch_contacts(spark, sf):
-    found = sites.batch_contacts(all_pages(spark, sf), seeds(spark, sf))
+    found = sites.batch_contacts(all_pages(spark, sf), seeds(spark, sf), WHOLE_SITE)
     return found.select("seq", "url", "success", joined("emails").alias("emails"), joined("phones").alias("phones"))
 
 

@@ -11,19 +11,12 @@ from contactlake.functions.text import strip
 MAX_PAGE_BYTES = 10 * 1024 * 1024
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core work when a scan has fewer splits than the cluster has cores.
+def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """A page table: ``url`` and ``html``, plus whatever other columns it has.
 
-    Parsing is CPU-bound, so a small table in few files is worth one shuffle. A
-    table with enough splits, the normal case at scale, is left alone. Use it on
-    plain scans only: it asks the plan for its partition count.
+    Pages are parsed where they are read and never shuffled; where a table gives too few
+    splits for the cores, set ``spark.sql.files.maxPartitionBytes`` or write smaller row groups.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """A page table: ``url`` and ``html``, plus whatever other columns it has."""
     pages = spark.read.format(fmt).options(**options).load(path)
     missing = {"url", "html"} - set(pages.columns)
     if missing:

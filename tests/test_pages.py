@@ -2,6 +2,7 @@
 
 import html as stdlib_html
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -157,3 +158,27 @@ def test_result_does_not_depend_on_partitions(spark):
     one = sorted(map(repr, extract.page_contacts(pages.repartition(1)).collect()))
     seven = sorted(map(repr, extract.page_contacts(pages.repartition(7)).collect()))
     assert one == seven
+
+
+def test_quoted_end_of_tag_does_not_hide_attributes(spark):
+    page = '<div title="a > b" data-email="sales@shop.org" data-phone="+79991234567">x</div>'
+    emails_found, phones_found = contacts(spark, page)[:2]
+    assert emails_found == ["sales@shop.org"] and phones_found == ["+79991234567"]
+
+
+def test_numeric_entities_with_leading_zeros(spark):
+    frame = spark.createDataFrame([("a&#0000000064;b &#x00000041; &#0; &#000; &#99999999;",)], "h string")
+    assert frame.select(html.html_text(F.col("h"))).first()[0] == "a@b A &#0; &#000; &#99999999;"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a title='", "<script ", "</p ", '<b x="'])
+def test_tags_that_never_close_take_linear_time(spark, piece):
+    frame = spark.createDataFrame([("<p>start</p>" + piece * (10 * 2**20 // len(piece)),)], "h string")
+    began = time.time()
+    (row,) = frame.select(html.html_text(F.col("h")), F.length(html.clean_html(F.col("h")))).collect()
+    assert row[0] == "start" and time.time() - began < 30
+
+
+def test_cut_tag_is_markup_without_attributes(spark):
+    emails_found, phones_found = contacts(spark, '<p>x</p><a href="mailto:a@b-c.org"')[:2]
+    assert emails_found == [] and phones_found == []

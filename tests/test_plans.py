@@ -31,6 +31,14 @@ def test_html_is_tokenized_once(spark, make):
     assert plan(make(scan(spark))).count("regexp_extract_all(coalesce(html") == 1
 
 
+@pytest.mark.parametrize("name", ["page_contacts", "html_text", "set_operations", "validation_funnel", "contact_dedup"])
+def test_no_exchange_carries_html(spark, name):
+    text = plan(queries.QUERIES[name](spark, SF))
+    for line in text.split("\n"):
+        if "Exchange" in line:
+            assert "RoundRobin" not in line and "html" not in line
+
+
 def test_html_column_is_pruned(spark):
     assert "html" not in plan(queries.seed_urls(spark, SF)).split("ReadSchema: struct<page_id")[1][:40]
 

@@ -60,6 +60,18 @@ def test_long_chain(spark):
     assert sorted(r.depth for r in visited.collect()) == list(range(12))
 
 
+def test_whole_site_of_a_deep_chain(spark):
+    rows = [(i, f"https://c.ru/{i}", f'<a href="/{i + 1}">n</a><a href="https://elsewhere.org/{i}">x</a>') for i in range(60)]
+    chain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    visited = sites.walk_sites(chain, seeds(spark, "https://c.ru/0"), Settings(max_pages=None)).visited
+    assert sorted(r.depth for r in visited.collect()) == list(range(61))
+
+
+def test_pages_without_ids(spark, pages):
+    found = sites.site_contacts(pages.drop("page_id"), seeds(spark, "https://example.com"), Settings(max_pages=2))
+    assert found.first().limit_reached is True
+
+
 def test_many_seeds_on_one_page(spark, pages):
     """A page that all seeds reach, and each seed's walk stays its own."""
     many = [f"https://example.com/page1?s={i}" for i in range(40)]
@@ -84,9 +96,13 @@ def test_dedup_pages(pages):
     assert sorted(r.page_id for r in dedup.dedup_pages(pages).collect()) == [1, 2, 3, 5]
 
 
-def test_dedup_pages_with_shuffled_ids(pages, monkeypatch):
-    monkeypatch.setattr(dedup, "MAX_BROADCAST_IDS", 0)
-    assert sorted(r.page_id for r in dedup.dedup_pages(pages).collect()) == [1, 2, 3, 5]
+def test_dedup_rows_that_repeat_or_lack_keys(spark):
+    rows = [(5, "w"), (5, "w"), (1, "u"), (3, "u"), (3, "v"), (7, None), (8, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    assert sorted(map(tuple, dedup.dedup_pages(table).collect()), key=repr) == [(1, "u"), (3, "v"), (5, "w"), (7, None), (8, None)]
+    without_id = table.drop("page_id").withColumn("tags", F.array("url"))
+    assert sorted(str(r.url) for r in dedup.dedup_pages(without_id).collect()) == ["None", "None", "u", "v", "w"]
+    assert dedup.dedup_pages(table.limit(0)).count() == 0
 
 
 def test_admission(spark):
