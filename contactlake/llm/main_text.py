@@ -6,7 +6,8 @@ elements words count against the content instead, is learned from labelled pages
 with exactly one article (or main) element, of which the inside is the label. A tag gets the log
 of how often it stands inside against outside; an element whose words are outside on
 labelled pages makes the words in it part of the markup. Names and classes that labelled
-pages do not show fall back to a short list of what such elements usually are.
+pages do not show fall back to a short list of what such elements usually are. A sidebar or
+advert within the article neither adds to the stretch nor ends it; its words are left out.
 
 Fitting takes a bounded number of pages to the driver; each page is then read where it lies.
 """
@@ -38,10 +39,12 @@ INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr !doctype".split())
 CONTENT = ("article", "main")
 
+# The inside of a tag; quotes count where a value begins. A tag without its ">" is one token to the end.
+_INSIDE = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    + "".join(rf"|<{t}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</{t}\s*>|\Z)" for t in RAW)
-    + r"|<(?P<name>/?[a-zA-Z!?][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^>]*>))*+)>",
+    + "".join(rf"|<{t}\b{_INSIDE}>.*?(?:</{t}\s*>|\Z)" for t in RAW)
+    + rf"|<(?P<name>/?[a-zA-Z!?][^\s/>]*+)(?P<rest>{_INSIDE})(?:>|\Z)",
     re.S | re.I,
 )
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -105,7 +108,7 @@ def guess(key: str) -> bool:
 
 def fit_pages(pages: list[str]) -> Model:
     """Learn from pages with one content element; other pages are not looked at."""
-    tags, words = Counter(), Counter()
+    tags, words, nested = Counter(), Counter(), set()
     for page in pages:
         parts = pieces(page or "")
         for content in CONTENT:
@@ -125,12 +128,16 @@ def fit_pages(pages: list[str]) -> Model:
                 tags[p.kind + p.key, inside] += 1
             if p.kind == "text":
                 n = len(p.text.split())
-                for key in set(p.within) - around if not inside else set(p.within):
+                # A sidebar within the article is no part of what the label means.
+                aside = {k for k in p.within[depth + 1 :] if inside and guess(k)}
+                nested |= aside
+                content = inside and not aside
+                for key in set(p.within) if content else {k for k in set(p.within) - around if not inside or guess(k)}:
                     if key.split(".", 1)[0] not in PLAIN or "." in key:
-                        words[key, inside] += n
+                        words[key, content] += n
     cost = lambda k: min(-0.05, max(-20.0, 4 * math.log((tags[k, True] + 0.5) / (tags[k, False] + 0.5))))
     value = lambda k: max(-WORD_SCORE, min(WORD_SCORE, math.log((words[k, True] + 0.5) / (words[k, False] + 0.5))))
-    return Model({k: cost(k) for k, _ in tags}, {k: value(k) for k, _ in words})
+    return Model({k: cost(k) for k, _ in tags}, {k: min(0.0, value(k)) * (k not in nested) if guess(k) else value(k) for k, _ in words})
 
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Model:
@@ -142,42 +149,46 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Model:
     return fit_pages([r["html"] for r in pages.join(F.broadcast(rows.distinct()), "page_id").select("html").toLocalIterator()])
 
 
-def extract(page: str, model: Model) -> str:
-    """The text of the stretch with the largest score, block by block."""
-    parts = pieces(page)
+def score_of(piece: Piece, model: Model, values: dict[str, float]) -> float:
+    """What a piece adds to a stretch. ``values`` keeps what elements' words are worth."""
+    if piece.kind == "text":
+        return _worth(piece, model, values) * len(piece.text.split())
+    if piece.kind == "skip":
+        return 0.0
+    known = model.tags.get(piece.kind + piece.key)
+    return (-2.0 if guess(piece.key) else -0.2) if known is None else known
+
 
-    def worth(key):
-        known = model.words.get(key)
-        if known is None:
-            known = -WORD_SCORE if guess(key) else WORD_SCORE
-        return known
+def _worth(piece: Piece, model: Model, values: dict[str, float]) -> float:
+    """Score of a word there: the least that one of the elements around it gives."""
+    for key in piece.within:
+        if key not in values:
+            known = model.words.get(key)
+            values[key] = (0.0 if guess(key) else WORD_SCORE) if known is None else known
+    return min([WORD_SCORE, *(values[key] for key in piece.within)])
 
-    values: dict[str, float] = {}
+
+def best_stretch(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the stretch with the largest sum, the first of equal ones; empty if none is positive."""
     best = total = 0.0
     begin = first = last = 0
-    for i, p in enumerate(parts):
-        if p.kind == "text":
-            score = WORD_SCORE
-            for key in p.within:
-                if key not in values:
-                    values[key] = worth(key)
-                score = min(score, values[key])
-            score *= len(p.text.split())
-        elif p.kind == "skip":
-            score = 0.0
-        else:
-            score = model.tags.get(p.kind + p.key)
-            if score is None:
-                score = -20.0 if guess(p.key) else -0.2
+    for i, score in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, i
         total += score
         if total > best:
             best, first, last = total, begin, i + 1
+    return first, last
+
+
+def extract(page: str, model: Model) -> str:
+    """The text of the stretch with the largest score, block by block."""
+    parts, values = pieces(page), {}
+    first, last = best_stretch([score_of(p, model, values) for p in parts])
     blocks, line = [], []
     for p in parts[first:last]:
         if p.kind == "text":
-            if all(values[key] > 0 for key in p.within):
+            if _worth(p, model, values) > 0:
                 line.append(p.text)
         elif p.kind != "skip":
             name = p.key.split(".", 1)[0]
