@@ -33,8 +33,12 @@ HEADLINE = [
     "contact_dedup",
     "link_edges",
     "dedup_pages",
+    "set_operations",
     "page_budget",
+    "crawl_progress",
+    "reachable_pages",
     "site_contacts",
+    "batch_contacts",
 ]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from contactlake.functions import emails, html, phones, urls
 from contactlake.functions.text import bind, collapse_spaces, match_all, named_struct, unfold
 from contactlake.settings import Settings
+from contactlake.sources.pages import MAX_PAGE_BYTES, admission
 
 EMAIL_ORIGINS = ("text", "mailto", "data_email")
 PHONE_ORIGINS = ("text", "tel", "data_phone", "meta")
@@ -150,6 +151,19 @@ def page_contacts(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     return contacts_of(page_signals(pages, settings), settings)
 
 
+def page_results(pages: DataFrame, settings: Settings = Settings(), max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
+    """Contacts of every page with the ``status`` that says why there are none.
+
+    ``rejected`` pages are not parsed (the walk does not visit them either), ``empty`` ones
+    have no HTML; ``no_contacts`` and ``ok`` ones were parsed.
+    """
+    admitted = F.coalesce(admission(pages, max_bytes), F.lit(False))
+    state = F.when(~admitted, "rejected").when(F.coalesce(F.trim("html"), F.lit("")) == "", "empty")
+    rows = pages.withColumn("status", state).withColumn("html", F.when(admitted, F.col("html")))
+    found = F.when(F.size("emails") + F.size("phones") > 0, "ok").otherwise("no_contacts")
+    return page_contacts(rows, settings).withColumn("status", F.coalesce("status", found))
+
+
 def document_contacts(texts: DataFrame, column: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Contacts in plain text: no site, so only numbers with a country code count."""
     return contacts_of(text_signals(texts, column, settings), settings, url=None).drop("links")

@@ -442,6 +442,9 @@ DOC_CHECKED = (
     + phone_chain("doc_raw", "raw", "CAST(NULL AS VARCHAR)", "doc_id")
 )
 
+RESULT_JSON = """CAST(to_json({'url': url, 'success': success, 'emails': emails, 'phones': phones,
+  '_metadata': {'generated_at': '2024-01-01T00:00:00.000Z', 'parser_version': '2.0.0'}}) AS VARCHAR)"""
+
 ORACLES: dict[str, str] = {
     # sources and sinks
     "seed_urls": with_(f"pages_in AS ({SHOP}), {SEED_LINES}", "SELECT seq, seed_url FROM seed_lines"),
@@ -468,8 +471,9 @@ ORACLES: dict[str, str] = {
     ),
     "result_json": with_(
         PAGE_RESULTS,
-        "SELECT page_id, CAST(to_json({'url': url, 'success': success, 'emails': emails, 'phones': phones}) AS VARCHAR) AS json FROM results",
+        f"SELECT page_id, {RESULT_JSON} AS json FROM results",
     ),
+    "written_json": with_(PAGE_RESULTS, f"SELECT {RESULT_JSON} AS json FROM results"),
     "result_partitions": with_(
         f"pages_in AS ({SHOP})",
         f"""SELECT page_id, url, CASE WHEN NOT success THEN 'error' WHEN {netloc('url')} = '' THEN 'no_domain' ELSE 'ok' END AS status,
@@ -477,6 +481,17 @@ ORACLES: dict[str, str] = {
             FROM (SELECT page_id, CASE WHEN page_id % 21 = 1 THEN 'no-domain' ELSE url END AS url,
                          page_id % 25 <> 2 AND page_id % 9 <> 0 AS success FROM pages_in)""",
     ),
+    "written_partitions": with_(
+        PAGE_RESULTS,
+        f"""SELECT page_id, url, status, CASE WHEN status = 'ok' THEN replace({netloc('url')}, '.', '_') ELSE 'none' END AS domain_slug,
+                   coalesce(len(emails), 0) AS n_emails, coalesce(len(phones), 0) AS n_phones, '2.0.0' AS parser_version
+            FROM (SELECT *, CASE WHEN NOT coalesce(success, false) THEN 'error' WHEN {netloc('url')} = '' THEN 'no_domain' ELSE 'ok' END AS status FROM results)""",
+    ),
+    "page_status": with_(
+        VALID,
+        """SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN 'rejected' WHEN page_id % 6 = 0 THEN 'empty'
+                  WHEN page_id IN (SELECT page_id FROM valid) THEN 'ok' ELSE 'no_contacts' END AS status FROM pages_in""",
+    ),
     "batch_summary": with_(
         f"pages_in AS ({SHOP})",
         """SELECT count(*) AS total, count(*) FILTER (page_id % 25 <> 2 AND page_id % 9 <> 0) AS successful,
@@ -548,7 +563,7 @@ ORACLES: dict[str, str] = {
     ),
     "match_all": """SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(text, '[a-z]+ [0-9]{3,}', 0, 'i'),
                            regexp_extract_all(text, '[0-9]+ [a-z]+', 0, 'i'),
-                           regexp_extract_all(text, '\pL+ [0-9]{4}', 0, 'i'))) AS match FROM documents""",
+                           regexp_extract_all(text, '\\pL+ [0-9]{4}', 0, 'i'))) AS match FROM documents""",
     # e-mail
     "email_text_matches": with_(
         f"{STRICT}, {DOC_TEXT}",
@@ -710,4 +725,5 @@ ORACLES: dict[str, str] = {
         VALID.replace(SHOP, "SELECT page_id, url, html FROM pages"),
         f"SELECT page_id, url, {netloc('url')} AS site, kind, value FROM valid",
     ),
+    "new_contacts_from_stream": with_(VALID, f"SELECT DISTINCT {netloc('url')} AS site, kind, value FROM valid"),
 }

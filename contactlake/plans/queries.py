@@ -18,7 +18,7 @@ from contactlake.plans import derived
 from contactlake.settings import Settings
 from contactlake.sources import pages as page_source
 from contactlake.sources import sinks
-from contactlake.streaming.contacts import contacts_stream
+from contactlake.streaming.contacts import contacts_stream, new_contacts_stream
 
 SIMPLE = Settings(validate_emails=False, validate_phones=False)
 WHOLE_SITE = Settings(max_pages=None)
@@ -92,6 +92,17 @@ def exploded(df: DataFrame, column: str, name: str) -> DataFrame:
     return text.unfold(df, ["page_id"], F.col(column), name)
 
 
+def generated_at() -> Column:
+    """A fixed time in written results, so that they can be compared."""
+    return F.timestamp_seconds(F.lit(1704067200))
+
+
+def work_folder(spark, name: str) -> str:
+    """A new folder below the checkpoint folder, which all executors share."""
+    page_source.ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 # --- sources and sinks -------------------------------------------------------
 @query
 def seed_urls(spark, sf):
@@ -147,7 +158,28 @@ def page_results(spark, sf) -> DataFrame:
 
 @query
 def result_json(spark, sf):
-    return sinks.result_json(page_results(spark, sf), "url", "success", "emails", "phones").select("page_id", "json")
+    rows = sinks.with_metadata(page_results(spark, sf), generated_at())
+    return sinks.result_json(rows, "url", "success", "emails", "phones", "_metadata").select("page_id", "json")
+
+
+@query
+def written_json(spark, sf):
+    """Results as they are in the files."""
+    folder = work_folder(spark, "json")
+    rows = page_results(spark, sf).select("url", "success", "emails", "phones")
+    sinks.write_json(rows, folder, generated_at=generated_at())
+    return spark.read.text(folder).select(F.col("value").alias("json"))
+
+
+@query
+def written_partitions(spark, sf):
+    """Results read back from the partitioned table."""
+    folder = work_folder(spark, "table")
+    sinks.write_partitions(page_results(spark, sf), folder, generated_at=generated_at())
+    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
+    return spark.read.parquet(folder).select(
+        "page_id", "url", "status", "domain_slug", size("emails").alias("n_emails"), size("phones").alias("n_phones"), "_metadata.parser_version"
+    )
 
 
 @query
@@ -574,22 +606,45 @@ def batch_contacts(spark, sf):
 
 
 # --- stream ------------------------------------------------------------------
-@query
-def contacts_from_stream(spark, sf):
-    """The page table read as a stream, one run over all that is there."""
-    page_source.ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    source = os.path.join(sf, "pages.parquet")
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option(
-        "pathGlobFilter", "pages.parquet"
-    ).parquet(sf)
+def streamed(spark, stream, name: str) -> DataFrame:
+    """What one run over all that is there writes."""
+    folder = work_folder(spark, name)
     run = (
-        contacts_stream(stream)
-        .writeStream.format("parquet")
+        stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("page_id", "url", "site", "kind", "value")
+    return spark.read.parquet(f"{folder}/out")
+
+
+def page_stream(spark, sf) -> DataFrame:
+    schema = spark.read.parquet(os.path.join(sf, "pages.parquet")).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
+
+
+@query
+def contacts_from_stream(spark, sf):
+    """The page table read as a stream."""
+    return streamed(spark, contacts_stream(page_stream(spark, sf)), "stream").select("page_id", "url", "site", "kind", "value")
+
+
+@query
+def new_contacts_from_stream(spark, sf):
+    """Each contact of a site once, from a stream of pages with event time."""
+    folder = work_folder(spark, "timed")
+    timed = all_pages(spark, sf).withColumn("seen_at", F.timestamp_seconds(F.col("page_id")))
+    timed.write.parquet(folder)
+    stream = spark.readStream.schema(timed.schema).parquet(folder)
+    return streamed(spark, new_contacts_stream(stream, "seen_at", "7 days"), "new").select("site", "kind", "value")
+
+
+@query
+def page_status(spark, sf):
+    """Pages of all kinds: with an error code, without HTML, with and without contacts."""
+    pages = all_pages(spark, sf)
+    pages = pages.withColumn("status_code", F.when(F.col("page_id") % 11 == 0, 404).otherwise(200))
+    pages = pages.withColumn("html", F.when((F.col("page_id") % 6 != 0) | (F.col("page_id") % 11 == 0), F.col("html")))
+    return extract.page_results(pages).select("page_id", "url", "status")

@@ -24,20 +24,26 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return pages
 
 
-def admitted_pages(pages: DataFrame) -> DataFrame:
-    """Pages worth parsing: fetched without error, of an HTML type, at most 10 MiB.
+def admission(pages: DataFrame, max_bytes: int = MAX_PAGE_BYTES) -> Column:
+    """Whether a page is worth parsing: fetched without error, of an HTML type, not too large.
 
-    Status and content type are only checked when the table has those columns.
+    Status and content type are only checked when the table has those columns; a page
+    without HTML is let through, it has no contacts.
     """
-    keep: Column = F.octet_length("html") <= MAX_PAGE_BYTES
+    keep: Column = F.octet_length("html") <= max_bytes
     if "content_length" in pages.columns:
-        keep = (F.col("content_length") <= MAX_PAGE_BYTES) & keep
+        keep = (F.col("content_length") <= max_bytes) & keep
     if "content_type" in pages.columns:
         kind = F.lower("content_type")
         keep = (kind.contains("text/html") | kind.contains("application/xhtml+xml")) & keep
     if "status_code" in pages.columns:
         keep = (F.col("status_code") < 400) & keep
-    return pages.filter(keep | F.col("html").isNull())
+    return keep | F.col("html").isNull()
+
+
+def admitted_pages(pages: DataFrame, max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
+    """The pages worth parsing; see ``admission``."""
+    return pages.filter(admission(pages, max_bytes))
 
 
 def seed_lines(lines: DataFrame, line: str = "value") -> DataFrame:

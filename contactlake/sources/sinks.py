@@ -25,9 +25,10 @@ def result_json(results: DataFrame, *columns: str) -> DataFrame:
     return results.withColumn("json", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
 
 
-def write_json(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines with metadata, one file per task."""
-    with_metadata(results).write.mode(mode).json(path)
+def write_json(results: DataFrame, path: str, mode: str = "errorifexists", generated_at: Column | None = None) -> None:
+    """JSON lines with metadata, one file per task; absent values are written as null."""
+    rows = with_metadata(results, generated_at)
+    rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def partition_columns(results: DataFrame) -> DataFrame:
@@ -39,11 +40,16 @@ def partition_columns(results: DataFrame) -> DataFrame:
     return results.withColumn("status", status).withColumn("domain_slug", slug)
 
 
-def write_partitions(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A table partitioned by status and domain.
+def write_partitions(
+    results: DataFrame, path: str, mode: str = "errorifexists", generated_at: Column | None = None, buckets: int = 16
+) -> None:
+    """A table partitioned by status and a hash bucket of the domain, sorted by domain.
 
-    The rebalance hint brings a partition's rows together to avoid many small
-    files, and splits a domain that holds a large share of the rows.
+    The number of folders is fixed, however many domains there are. The rebalance hint
+    brings a folder's rows together to avoid many small files, and splits a bucket that
+    holds a large share of the rows.
     """
-    rows = partition_columns(with_metadata(results)).hint("rebalance", "status", "domain_slug")
-    rows.write.mode(mode).partitionBy("status", "domain_slug").parquet(path)
+    rows = partition_columns(with_metadata(results, generated_at))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("domain_slug"), F.lit(buckets)).cast("int"))
+    rows = rows.hint("rebalance", "status", "bucket").sortWithinPartitions("status", "bucket", "domain_slug")
+    rows.write.mode(mode).partitionBy("status", "bucket").parquet(path)
