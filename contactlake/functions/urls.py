@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -14,6 +15,16 @@ from contactlake.lookups import TLD_COUNTRY
 # RFC 3986, appendix B, with the scheme limited to legal characters
 SPLIT_PATTERN = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 NON_PAGE_LINK = r"^(?:#|mailto:|tel:|javascript:|data:)"
+# --- fixed values: schemes whose last path segment has parameters, and that links can be relative to
+PARAMETER_SCHEMES = ("", "ftp", "hdl", "http", "https", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "shttp", "sip", "sips", "tel")
+RELATIVE_SCHEMES = (
+    "", "file", "ftp", "gopher", "http", "https", "imap", "mms", "nntp", "prospero", "rtsp", "rtsps", "rtspu",
+    "sftp", "shttp", "svn", "svn+ssh", "wais", "ws", "wss",
+)
+# characters that become one of / ? # @ : when a host name is normalised
+DELIMITER_LIKES = "".join(
+    chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and set(unicodedata.normalize("NFKC", chr(c))) & set("/?#@:")
+)
 
 
 class UrlParts(NamedTuple):
@@ -41,8 +52,8 @@ def url_parts(url: Column) -> Column:
         lambda p: named_struct(
             scheme=F.lower(p[0]),
             netloc=p[1],
-            path=F.regexp_replace(p[2], r";[^/]*$", ""),
-            params=F.regexp_extract(p[2], r";([^/]*)$", 1),
+            path=F.when(F.lower(p[0]).isin(*PARAMETER_SCHEMES), F.regexp_replace(p[2], r";[^/]*$", "")).otherwise(p[2]),
+            params=F.when(F.lower(p[0]).isin(*PARAMETER_SCHEMES), F.regexp_extract(p[2], r";([^/]*)$", 1)).otherwise(""),
             query=p[3],
             fragment=p[4],
         ),
@@ -58,8 +69,10 @@ def netloc_of(url: Column) -> Column:
 
 
 def _well_formed(netloc: Column) -> Column:
-    """Brackets in a netloc come in pairs; otherwise the URL counts as invalid."""
-    return F.contains(netloc, F.lit("[")) == F.contains(netloc, F.lit("]"))
+    """Brackets in a netloc come in pairs, and no character stands for a delimiter;
+    otherwise the URL counts as invalid."""
+    paired = F.contains(netloc, F.lit("[")) == F.contains(netloc, F.lit("]"))
+    return paired & (F.translate(netloc, DELIMITER_LIKES, "") == netloc)
 
 
 def _fold_dots(path: Column) -> Column:
@@ -98,7 +111,7 @@ def resolve_parts(link: UrlParts, base: UrlParts) -> UrlParts:
     joined = F.when(from_root, link.path).otherwise(_rooted(beside))
     resolved = F.when(joined.rlike(r"/\.\.?(?:/|$)"), _fold_dots(joined)).otherwise(joined)
     return UrlParts(
-        scheme=F.when(link.scheme != "", link.scheme).otherwise(base.scheme),
+        scheme=F.when(link.scheme != "", link.scheme).when(base.scheme.isin(*RELATIVE_SCHEMES), base.scheme).otherwise(""),
         netloc=F.when(absolute, link.netloc).otherwise(base.netloc),
         path=F.when(absolute, _rooted(link.path))
         .when(same_page, _rooted(base.path))
@@ -142,7 +155,7 @@ def resolve_url(link: Column, base: Column) -> Column:
         other_scheme = (parts.scheme != "") & (parts.netloc == "") & (parts.scheme != base_parts.scheme)
         return (
             F.when(link_text == "", base)
-            .when((base == "") | other_scheme, link_text)
+            .when((base == "") | other_scheme | ~base_parts.scheme.isin(*RELATIVE_SCHEMES), link_text)
             .otherwise(bind(_parts_struct(resolve_parts(parts, base_parts)), lambda r: text(_fields(r))))
         )
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from html.entities import name2codepoint
 
 from contactlake import lookups
+from contactlake.functions.urls import PARAMETER_SCHEMES
 from contactlake.plans import derived
 
 SHOP = derived.ALL_PAGES.format(pages="pages", customer="customer")
@@ -156,11 +157,11 @@ def netloc(x: str) -> str:
 
 
 def split_columns(x: str, prefix: str) -> str:
-    path = part(x, 3)
+    path, listed = part(x, 3), f"lower({part(x, 1)}) IN {in_list(PARAMETER_SCHEMES)}"
     return (
         f"lower({part(x, 1)}) AS {prefix}scheme, {part(x, 2)} AS {prefix}netloc, "
-        f"regexp_replace({path}, ';[^/]*$', '') AS {prefix}path, "
-        f"regexp_extract({path}, ';([^/]*)$', 1) AS {prefix}params, "
+        f"CASE WHEN {listed} THEN regexp_replace({path}, ';[^/]*$', '') ELSE {path} END AS {prefix}path, "
+        f"CASE WHEN {listed} THEN regexp_extract({path}, ';([^/]*)$', 1) ELSE '' END AS {prefix}params, "
         f"{part(x, 4)} AS {prefix}query, {part(x, 5)} AS {prefix}fragment"
     )
 

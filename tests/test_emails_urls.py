@@ -70,3 +70,15 @@ def test_home_country(evaluate):
     cases = [("https://example.ru", "7"), ("https://a.b.CO.UK/x", "44"), ("https://a.ru:8080", None), ("http://localhost/x.ru", None), (None, None), ("https://x.zz", None)]
     rows = evaluate("u string", [(c[0],) for c in cases], h=urls.home_country(F.col("u")))
     assert [r[0] for r in rows] == [c[1] for c in cases]
+
+
+def test_schemes_that_are_not_listed(evaluate):
+    cases = [("whatsapp://send/a;b", "https://x.org/"), ("x", "myscheme://h/a/b"), ("a;b", "https://x.org/c"), ("/y", "whatsapp://h/a;b")]
+    rows = evaluate("l string, b string", cases, r=urls.resolve_url(F.col("l"), F.col("b")), n=urls.normalize_url(F.col("l"), F.col("b")))
+    assert [r[0] for r in rows] == [urljoin(b, link) for link, b in cases]
+    assert [r[1] for r in rows] == ["whatsapp://send/a;b", None, "https://x.org/a", None]
+
+
+def test_hosts_with_characters_that_stand_for_delimiters(evaluate):
+    (bad, good) = evaluate("u string", [("https://ex\u2100ample.org/",), ("https://ex\u00e4mple.org/",)], v=urls.validate_url(F.col("u")), d=urls.get_domain(F.col("u")))
+    assert bad == (False, None) and good == (True, "ex\u00e4mple.org")
