@@ -77,15 +77,20 @@ def words(data: np.ndarray, ends: np.ndarray, lower: bool = False):
 
 
 def grams(values: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` values."""
+    """Hash of each run of ``size`` values, put together from runs of powers of two."""
     n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(size):
-        h *= BASE
-        h += values[i : i + n]
-    return mixed(h)
+    out, done, block, width, power = None, 0, values, 1, BASE
+    while True:
+        if size & width:
+            out = block if out is None else out[: len(block) - done] * power + block[done:]
+            done += width
+        if done == size:
+            return mixed(out[:n])
+        block = block[:-width] * power + block[width:]
+        width *= 2
+        power = np.uint64(int(power) * int(power) & (1 << 64) - 1)
 
 
 def sliding(best, values: np.ndarray, width: int) -> np.ndarray:

@@ -32,6 +32,7 @@ class Unit(NamedTuple):
     window: int
     gram: int
     shard_anchors: int  # anchors of a shard, which bounds its memory
+    part_anchors: int = 200  # no part of a source is made smaller
 
 
 def byte_units(data: np.ndarray, ends: np.ndarray):
@@ -130,38 +131,42 @@ def runs_of(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def window_groups(values: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def window_groups(values: np.ndarray, ends: np.ndarray, window: int, key: np.ndarray | None = None, depth: int = 1):
     """Windows (by first unit) within runs and, for each, the first window equal to it.
 
-    Bucket-pointer refinement: units are put into buckets, equal ones into one. A bucket for
-    twice the length is named by sorting on the buckets at a place and at that length
-    further on; buckets of one member are final and are only looked up from then on.
+    Bucket-pointer refinement. ``key`` puts places into buckets by their first ``depth`` units
+    (by default one unit). A bucket for twice the length is found by sorting on the buckets at
+    a place and at that length further on. Places alone in their bucket are final and
+    are only looked up from then on.
     """
+    n = len(values)
     end_of = np.repeat(ends, np.diff(np.append(0, ends)))
-    place = np.arange(len(values))
-    label = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    depth, active = 1, place
-    while depth < window:
-        step = min(depth, window - depth)
-        active = active[active + depth + step <= end_of[active]]
-        if not len(active):
-            break
-        key = label[active] * np.int64(len(values) + 1) + label[active + step]
-        _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    place = np.arange(n)
+    active = place[place + depth <= end_of]
+    key = (values if key is None else key)[active]
+    label = place.copy()
+    while True:
+        order = np.argsort(key)
+        sorted_key, members = key[order], active[order]
+        head = np.append(True, sorted_key[1:] != sorted_key[:-1]) if len(order) else np.zeros(0, bool)
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(order)))
         # A bucket is named by a member, so that names of final buckets stay apart from new ones.
-        fresh = np.arange(len(values), dtype=np.int64)
-        fresh[active] = active[first][inverse]
+        fresh = place.copy()
+        fresh[members] = np.repeat(members[first], size)
         label = fresh
-        active = active[count[inverse] > 1]
+        if depth == window:
+            break
+        step = min(depth, window - depth)
+        active = np.sort(members[np.repeat(size > 1, size)])
+        active = active[active + depth + step <= end_of[active]]
+        key = label[active] * np.int64(n + 1) + label[active + step]
         depth += step
     starts = place[place + window <= end_of]
-    groups = label[starts]
-    order = np.argsort(groups, kind="stable")
-    sorted_groups = groups[order]
-    head = np.append(True, sorted_groups[1:] != sorted_groups[:-1]) if len(order) else np.zeros(0, bool)
-    first = np.empty(len(starts), np.int64)
-    first[order] = starts[order][np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else 0
-    return starts, first
+    least = np.full(n, n)
+    least[members[first]] = np.minimum.reduceat(members, first) if len(first) else 0
+    named = label[starts]
+    return starts, np.where(least[named] < n, least[named], starts)
 
 
 def shard_results(table: pa.Table, unit: Unit, judge: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -280,11 +285,12 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable, joined: bytes)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // unit.shard_anchors))
     # Parts are small against a shard, so that shards come out even.
     weights = counts.groupBy("source").agg(F.sum("n").alias("weight"))
-    parts = weights.select("source", F.ceil(F.col("weight") / F.lit(total // (4 * shards) + 200)).cast("int").alias("n_parts"))
+    parts = weights.select("source", F.ceil(F.col("weight") / F.lit(total // (4 * shards) + unit.part_anchors)).cast("int").alias("n_parts"))
     # Keys of their own: both sides are exchanged and frequent anchors can be split.
     known = counts.join(parts, "source").select(F.col("anchor").bitwiseXOR(F.lit(1)).alias("other"), "source", "n_parts")
-    known = found.select("doc_id", "anchor", F.col("anchor").bitwiseXOR(F.lit(1)).alias("other")).join(known, "other")
-    known = known.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "source", "n_parts")).alias("known"))
+    known = found.select("doc_id", F.col("anchor").bitwiseXOR(F.lit(1)).alias("other")).join(known, "other")
+    anchor = F.col("other").bitwiseXOR(F.lit(1)).alias("anchor")
+    known = known.groupBy("doc_id").agg(F.collect_list(F.struct(anchor, "source", "n_parts")).alias("known"))
     runs = runs_of(docs.join(known, "doc_id"), unit).repartition(shards, "source", "part")
 
     def shard(batches):

@@ -17,12 +17,17 @@ from pyspark.sql import DataFrame
 from contactlake.llm import repeats
 
 WINDOW_BYTES = 100
+FIRST_BYTES = 8
 UNIT = repeats.Unit("bytes", repeats.byte_units, WINDOW_BYTES, 32, 60_000)
 
 
 def judge(runs: repeats.Runs, window: int = WINDOW_BYTES):
     """For each window: its first unit, whether it is a repeat, and whether the source lacks it."""
-    starts, first = repeats.window_groups(runs.values, runs.ends, window)
+    # Eight bytes make one number: the first buckets.
+    packed = np.zeros(len(runs.values), np.uint64)
+    for i in range(FIRST_BYTES):
+        packed[: len(packed) - i] |= (runs.values[i:] - np.uint64(1)) << np.uint64(8 * i)
+    starts, first = repeats.window_groups(runs.values, runs.ends, window, packed, FIRST_BYTES)
     return starts, first < starts, ~runs.is_source[np.searchsorted(runs.ends, first, "right")]
 
 
