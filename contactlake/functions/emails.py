@@ -61,6 +61,11 @@ def first_broken_rule(email: Column) -> Column:
     return bind(parts, lambda p: _rules(p.getField("has_at"), p.getField("local"), p.getField("domain")))
 
 
+# --- fixed values: shapes of an address ----------------------------------------
+LOCAL_SHAPE = r"^[a-zA-Z0-9._%+-]+$"
+DOMAIN_SHAPE = r"^[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+
+
 def _rules(has_at: Column, local: Column, domain: Column) -> Column:
     return (
         F.when(~has_at, "no_at")
@@ -69,8 +74,8 @@ def _rules(has_at: Column, local: Column, domain: Column) -> Column:
         .when(~F.contains(domain, F.lit(".")), "domain_without_dot")
         .when(domain.startswith(".") | domain.endswith("."), "domain_edge_dot")
         .when(domain.isin(*EXCLUDED_EMAIL_DOMAINS), "excluded_domain")
-        .when(~local.rlike(r"^[a-zA-Z0-9._%+-]+$"), "bad_local")
-        .when(~domain.rlike(r"^[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"), "bad_domain")
+        .when(~local.rlike(LOCAL_SHAPE), "bad_local")
+        .when(~domain.rlike(DOMAIN_SHAPE), "bad_domain")
     )
 
 

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from contactlake.functions.text import SPACE, bind, match_all, named_struct
 from contactlake.lookups import (
-    BY_LOCAL_STARTS,
     COUNTRY_LENGTHS,
     DEFAULT_LENGTHS,
-    NOT_PHONE_SHAPES,
     ID_LIKE_PATTERNS,
+    LOCAL_FORMATS,
+    NATIONAL_FORMATS,
+    NOT_PHONE_SHAPES,
     PHONE_LENGTHS,
     PHONE_PATTERNS,
     SUSPICIOUS_STARTS,
-    UA_MOBILE_STARTS,
     country_code_pattern,
 )
 
@@ -133,26 +133,25 @@ def country_length_ok(code: Column, size: Column) -> Column:
     return F.when(code.isin(list(COUNTRY_LENGTHS)), listed).otherwise(size.between(*DEFAULT_LENGTHS))
 
 
-# Local formats per home code. The number is written "home:digits" for these.
-_LOCAL_FORMATS = (
-    r"^(?:7:(?:9.{9}|[78].{10})"
-    rf"|375:(?:375.{{9}}|(?:{'|'.join(BY_LOCAL_STARTS)}).{{7}})"
-    rf"|380:(?:380.{{9}}|(?:{'|'.join(UA_MOBILE_STARTS)}).{{7}})"
-    r"|1:1?.{10})$"
-)
-# The same for normalising, with the national number as the group. Here a
-# number of 9 digits under 380 needs no mobile prefix.
-_NATIONAL_NUMBER = (
-    r"^(?:7:(?:[78](?=.{10}$)|(?=9.{9}$))"
-    rf"|375:(?:375(?=.{{9}}$)|(?=(?:{'|'.join(BY_LOCAL_STARTS)}).{{7}}$))"
-    r"|380:(?:380(?=.{9}$)|(?=.{9}$))"
-    r"|1:(?:1(?=.{10}$)|(?=.{10}$)))(.+)$"
-)
+def _has_format(digits: Column, home: Column, n: int, starts: tuple[str, ...], code: str) -> Column:
+    fits = (home == code) & (F.length(digits) == n)
+    return fits & F.substring(digits, 1, len(starts[0])).isin(*starts) if starts else fits
 
 
 def local_format_ok(digits: Column, home: Column) -> Column:
     """Whether a number without "+" has a format of its home country."""
-    return F.concat_ws(":", F.coalesce(home, F.lit("")), digits).rlike(_LOCAL_FORMATS)
+    found = F.lit(False)
+    for code, n, starts, _ in LOCAL_FORMATS:
+        found = found | _has_format(digits, home, n, starts, code)
+    return F.coalesce(found, F.lit(False))
+
+
+def national_number(digits: Column, home: Column) -> Column:
+    """The number as it is dialled after the country's code; NULL without a known format."""
+    found = F.lit(None).cast("string")
+    for code, n, starts, cut in NATIONAL_FORMATS:
+        found = F.when(_has_format(digits, home, n, starts, code), F.substring(digits, cut + 1, n)).otherwise(found)
+    return found
 
 
 # --- composed rules ----------------------------------------------------------
@@ -179,8 +178,7 @@ def reject_reason_of(p: PhoneParts) -> Column:
 def normalized_of(p: PhoneParts) -> Column:
     """The number in international form, or NULL when its country rules do not allow it."""
     international = F.when((p.code != "") & country_length_ok(p.code, p.size), p.cleaned)
-    national = F.regexp_extract(F.concat_ws(":", p.home, p.digits), _NATIONAL_NUMBER, 1)
-    local = F.when(national != "", F.concat(F.lit("+"), p.home, national))
+    local = F.concat(F.lit("+"), p.home, national_number(p.digits, p.home))
     return F.when(length_ok(p.size), F.when(p.has_plus, international).otherwise(local))
 
 
