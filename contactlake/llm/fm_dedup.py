@@ -4,7 +4,8 @@ A shard's source text is kept as its Burrows-Wheeler transform in a wavelet matr
 packed bit vector for each bit of a word number, with a running count every 64 bits. Backward
 search takes a pattern from its last word to its first; each step maps an interval of the
 suffix order by rank queries, and the search ends where the interval is empty. The length
-reached is the matching statistic of the place where the pattern ends.
+reached is the matching statistic of the place where the pattern ends. The intervals of all
+short patterns are kept in a table, which takes the place of the first steps.
 
 Documents are streamed against the index. Only matches of a window or more count, so the search
 asks for stretches of many windows first, then for shorter ones where these fail, and at last
@@ -23,6 +24,8 @@ from contactlake.llm import byte_text, repeats
 WINDOW_WORDS = 20
 #: Windows that are asked for at once, from long stretches to single windows.
 STRETCHES = (20, 5, 1)
+#: Units of the patterns whose intervals are kept.
+KEPT_UNITS = 16
 UNIT = repeats.Unit("words", byte_text.words, WINDOW_WORDS, 5, 25_000)
 
 
@@ -89,27 +92,39 @@ class FMIndex:
         # Smallest place in the corpus of any interval of the suffix order, by powers of two.
         where = np.insert(places, ends, np.iinfo(np.int64).max)[order]
         self.least = [where]
+        closed = byte_text.mixed(np.arange(closing).astype(np.uint64) + np.uint64(1))
+        hashes = byte_text.grams(np.insert(values, ends, closed), KEPT_UNITS)
+        ranks = np.flatnonzero(order < len(hashes))
+        self.kept, at, count = np.unique(hashes[order[ranks]], return_index=True, return_counts=True)
+        self.kept_low = ranks[at]
+        self.kept_high = self.kept_low + count
         while len(where) > 1 << (len(self.least) - 1):
             half = 1 << (len(self.least) - 1)
             last = self.least[-1]
             self.least.append(np.minimum(last, np.append(last[half:], last[len(last) - half :])))
 
-    def search(self, values: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the patterns ``values[s : s + length]``; empty where there is none."""
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
-        alive = np.arange(len(starts))
-        for back in range(1, length + 1):
+    def search(self, values: np.ndarray, hashes: np.ndarray, starts: np.ndarray, length: int):
+        """Intervals of the patterns ``values[s : s + length]``; empty where there is none.
+
+        ``hashes`` are those of the runs of ``KEPT_UNITS`` values; no pattern is shorter.
+        """
+        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        tail = hashes[starts + length - KEPT_UNITS]
+        row = np.minimum(np.searchsorted(self.kept, tail), len(self.kept) - 1)
+        alive = np.flatnonzero(self.kept[row] == tail) if len(self.kept) else np.zeros(0, np.int64)
+        low[alive], high[alive] = self.kept_low[row[alive]], self.kept_high[row[alive]]
+        for back in range(KEPT_UNITS + 1, length + 1):
+            if not len(alive):
+                break
             unit = values[starts[alive] + length - back]
             name = np.minimum(np.searchsorted(self.names, unit), len(self.names) - 1)
             here = self.names[name] == unit
             high[alive[~here]] = low[alive[~here]]
             alive, name = alive[here], name[here]
-            symbol, shift = name + self.first_word, self.before[name] - self.origin[name]
-            low[alive] = self.matrix.follow(symbol, low[alive]) + shift
-            high[alive] = self.matrix.follow(symbol, high[alive]) + shift
+            both = np.concatenate([low[alive], high[alive]])
+            both = self.matrix.follow(np.tile(name + self.first_word, 2), both) + np.tile(self.before[name] - self.origin[name], 2)
+            low[alive], high[alive] = both[: len(alive)], both[len(alive) :]
             alive = alive[high[alive] > low[alive]]
-            if not len(alive):
-                break
         return low, high
 
     def first_place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -132,6 +147,7 @@ def judge(runs: repeats.Runs, window: int = WINDOW_WORDS):
     if inside.any():
         source_ends = np.cumsum((runs.ends - begins)[runs.is_source])
         index = FMIndex(runs.values[inside], source_ends, place[inside])
+        hashes = byte_text.grams(runs.values, KEPT_UNITS)
         asked = starts[runs.wanted[run_of[starts]]]
         for stretch in STRETCHES:
             # Windows still open, in groups that follow each other within a run.
@@ -146,7 +162,7 @@ def judge(runs: repeats.Runs, window: int = WINDOW_WORDS):
             missed = np.zeros(len(head), bool)
             for n in np.unique(size):
                 group = np.flatnonzero(size == n)
-                low, high = index.search(runs.values, asked[head[group]], int(n) + window - 1)
+                low, high = index.search(runs.values, hashes, asked[head[group]], int(n) + window - 1)
                 hit = high > low
                 missed[group] = ~hit
                 earlier = np.zeros(len(group), bool)
