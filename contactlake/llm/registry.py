@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from contactlake.llm import embedding_dedup, exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity
 from contactlake.llm.common import read
+from contactlake.llm.oracles import ORACLES  # noqa: F401
 
-QUERIES, ORACLES = {}, {}
+QUERIES = {}
 
 
 def query(fn):
