@@ -45,6 +45,7 @@ def name_texts(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     rows = texts.select("doc_id", *CLASS, blocks.alias("blocks")).select(
         "doc_id", *CLASS, F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("place", "block")
     )
+    rows = save(rows, "blocks")
     level = save(ranked(rows, ["block"]), "names")
     done = level.filter("n_blocks = 1")
     left = level.agg(F.max("n_blocks")).first()[0] or 1
