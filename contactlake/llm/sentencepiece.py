@@ -19,6 +19,7 @@ words are kept in a table of bounded size.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from array import array
 from typing import NamedTuple
@@ -26,13 +27,17 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+
+from contactlake.llm.byte_text import mixed
 
 #: Where the model file is; never copied into the repository.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MAX_WORDS, MAX_PAIRS = 300_000, 400_000
+MAX_WORDS, MAX_PAIRS = 700_000, 400_000
+#: Runs up to this length are searched side by side; texts that are taken together.
+SHORT, TEXTS_AT_ONCE = 32, 1024
 
 
 class Vocabulary(NamedTuple):
@@ -78,7 +83,8 @@ class Encoder:
         self.floor = min(vocabulary.scores, default=0.0) - UNKNOWN_PENALTY
         self.joined = {p[i : i + 2] for p in vocabulary.pieces for i in range(len(p) - 1)}
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.slots = None
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -103,24 +109,6 @@ class Encoder:
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
 
-    def short(self, text: str) -> list[str]:
-        """The best path of a BPE text that fits into the window: nothing is committed before its end."""
-        get, pairs, longest = self.v.pieces.get, self.pairs, self.longest
-        n = len(text)
-        last, start = [""] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for j in range(end - longest if end > longest else 0, end):
-                piece = text[j:end]
-                if get(piece) is None and j < end - 1:
-                    continue
-                if j:
-                    fits = pairs.get((last[j], piece))
-                    if not (self.fits(last[j], piece) if fits is None else fits):
-                        continue
-                last[end], start[end] = piece, j
-                break
-        return self._between(text, start, 0, n)
-
     def path(self, text: str):
         """The pieces of the best path, handed out as soon as they are final."""
         pieces, longest, bpe = self.v.pieces, self.longest, self.v.bpe
@@ -173,7 +161,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         """Ids, four bytes each, of a text that no path can leave a piece over its ends."""
         out = array("i")
-        for piece in self.short(text) if self.v.bpe and len(text) <= 4 * self.longest else self.path(text):
+        for piece in self.path(text):
             found = self.v.pieces.get(piece)
             if found is not None:
                 out.append(found)
@@ -184,58 +172,161 @@ class Encoder:
         return out.tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids of the text, four bytes each. Words are keyed without the mark before them."""
-        if not text:
-            return b""
-        parts = text.replace(SPACE, " ").split(" ")
-        if not self.v.prefix:
-            first = self.ids(parts[0]) if parts[0] else b""
-            return first + self._marked(parts[1:])
-        return self._marked(parts)
+        """Ids of one text, four bytes each."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, four bytes each. Words are keyed without the mark before them."""
+        split = [text.replace(SPACE, " ").split(" ") for text in texts]
+        met = set().union(*split)
+        met.discard("")
+        fresh = met - self.words.keys()
+        if len(self.words) + len(fresh) > MAX_WORDS:
+            # Words met since the last change are kept for one more, so that frequent ones stay.
+            self.before, self.words = self.words, {}
+            fresh = met
+        known = {part: self.before[part] for part in fresh & self.before.keys()}
+        self.words.update(known)
+        self.words.update(self._words(list(fresh - known.keys())))
+        out = []
+        for text, parts in zip(texts, split):
+            if not text:
+                out.append(b"")
+            elif not self.v.prefix:
+                out.append((self.ids(parts[0]) if parts[0] else b"") + self._marked(parts[1:]))
+            else:
+                out.append(self._marked(parts))
+        return out
 
     def _marked(self, parts: list[str]) -> bytes:
         """Ids of parts with a mark before each."""
         get = self.words.get
         if "" not in parts:
-            found = list(map(get, parts))
-            if None in found:
-                found = [self._new(part) if x is None else x for part, x in zip(parts, found)]
-            return b"".join(found)
+            return b"".join(map(get, parts))
         out, marks = [], 0
         for part in parts:
             marks += 1
             if part:
-                out.append(self.ids(SPACE * marks + part) if marks > 1 else get(part) or self._new(part))
+                out.append(self.ids(SPACE * marks + part) if marks > 1 else get(part))
                 marks = 0
         if marks:
             out.append(self.ids(SPACE * marks))
         return b"".join(out)
 
-    def _new(self, part: str) -> bytes:
-        """Ids of a new word: runs between boundaries that no piece spans are committed one by one."""
-        text, joined = SPACE + part, self.joined
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
-        if cuts:
-            runs = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-            found = b"".join([self._run(run) for run in runs])
-        else:
-            found = self.ids(text)
-        self._keep(self.words, part, found)
-        return found
-
-    def _run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            found = self.ids(run)
-            self._keep(self.runs, run, found)
-        return found
-
-    @staticmethod
-    def _keep(table: dict[str, bytes], key: str, found: bytes) -> None:
-        if len(key) <= 32:
-            if len(table) >= MAX_WORDS:
-                table.clear()
-            table[key] = found
+    def _words(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of words: the runs between boundaries that no piece spans are committed one by one."""
+        plain = [part for part in parts if part.isalpha()]
+        other = [part for part in parts if not part.isalpha()]
+        texts = [SPACE + part for part in plain]
+        runs = [self._runs(SPACE + part) for part in other]
+        need = set(texts).union(*runs)
+        known = self._together([r for r in need if len(r) <= SHORT]) if self.v.bpe else {}
+        for run in need - known.keys():
+            known[run] = self.ids(run)
+        out = dict(zip(plain, map(known.__getitem__, texts)))
+        for part, own in zip(other, runs):
+            out[part] = b"".join(map(known.__getitem__, own))
+        return out
+
+    def _runs(self, text: str) -> list[str]:
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joined]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+    def _tables(self) -> None:
+        """Pieces by the hash of their text, in two tables so that collisions find a place."""
+        names = list(self.v.pieces)
+        self.base = np.uint64(0x9E3779B97F4A7C15)
+        self.powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(SHORT, self.base)))
+        hashes = np.zeros(len(names), np.uint64)
+        for i, name in enumerate(names):
+            value = 0
+            for c in name:
+                value = (value * int(self.base) + ord(c)) & (1 << 64) - 1
+            hashes[i] = value
+        self.hash_of = np.zeros(len(self.v.scores) + 1, np.uint64)
+        ids = np.array([self.v.pieces[n] for n in names], np.int32)
+        self.hash_of[ids] = hashes
+        self.slots = []
+        for shift in (42, 20):
+            table = np.full(1 << 22, -1, np.int32)
+            slot = ((mixed(hashes) >> np.uint64(shift)) & np.uint64((1 << 22) - 1)).astype(np.int64)
+            table[slot] = ids
+            self.slots.append((shift, table))
+            left = table[slot] != ids
+            hashes, ids = hashes[left], ids[left]
+        self.rest = dict(zip(hashes.tolist(), ids.tolist()))
+        if self.rest:
+            raise ValueError("two pieces have one place in both tables")
+        self.pair_keys = np.full(1 << 22, -1, np.int64)
+        self.pair_fits = np.zeros(1 << 22, bool)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        spread = mixed(hashes)
+        out = np.full(len(hashes), -1, np.int32)
+        for shift, table in self.slots:
+            found = table[((spread >> np.uint64(shift)) & np.uint64((1 << 22) - 1)).astype(np.int64)]
+            good = (found >= 0) & (self.hash_of[found] == hashes)
+            out[good] = found[good]
+        return out
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` for pairs of ids; single characters without a piece follow behind the ids."""
+        key = left.astype(np.int64) << 21 | right
+        slot = (mixed(key.view(np.uint64)) >> np.uint64(42)).astype(np.int64)
+        good = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_keys[slot] != key)
+        if len(new):
+            good = good.copy()
+            unique, back = np.unique(key[new], return_inverse=True)
+            fits = np.array([self.fits(self._text(k >> 21), self._text(k & (1 << 21) - 1)) for k in unique.tolist()])
+            good[new] = fits[back]
+            self.pair_keys[slot[new]], self.pair_fits[slot[new]] = key[new], good[new]
+        return good
+
+    def _text(self, number: int) -> str:
+        n = len(self.v.scores)
+        return self.v.texts[number].decode() if number < n else chr(number - n)
+
+    def _together(self, runs: list[str]) -> dict[str, bytes]:
+        """The best paths of many short runs, those of one length side by side."""
+        if self.slots is None:
+            self._tables()
+        n_ids, out = len(self.v.scores), {}
+        runs.sort(key=len)
+        for size, group in itertools.groupby(runs, len):
+            for at in itertools.batched(group, 20_000):
+                codes = np.frombuffer("".join(at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), size)
+                prefix = np.zeros((size + 1, len(at)), np.uint64)
+                for i in range(size):
+                    prefix[i + 1] = prefix[i] * self.base + codes[:, i]
+                last = np.zeros((size + 1, len(at)), np.int32)
+                start = np.zeros((size + 1, len(at)), np.int8)
+                for end in range(1, size + 1):
+                    rows = np.arange(len(at))
+                    for j in range(max(0, end - self.longest), end):
+                        found = self._find(prefix[end, rows] - prefix[j, rows] * self.powers[end - j])
+                        if j == end - 1:
+                            found = np.where(found < 0, n_ids + codes[rows, j].astype(np.int32), found)
+                        good = found >= 0
+                        if j:
+                            some = np.flatnonzero(good)
+                            good[some] = self._fit(last[j, rows[some]], found[some])
+                        last[end, rows[good]] = found[good]
+                        start[end, rows[good]] = j
+                        rows = rows[~good]
+                        if not len(rows):
+                            break
+                ids = np.zeros((len(at), size), np.int32)
+                tip, count, each = np.full(len(at), size), np.zeros(len(at), np.int64), np.arange(len(at))
+                while (on := np.flatnonzero(tip)).size:
+                    count[on] += 1
+                    ids[on, size - count[on]] = last[tip[on], each[on]]
+                    tip[on] = start[tip[on], on]
+                odd = (ids >= n_ids).any(1)
+                raw, width = ids.tobytes(), 4 * size
+                for i, (run, n) in enumerate(zip(at, count.tolist())):
+                    out[run] = self.ids(run) if odd[i] else raw[(i + 1) * width - 4 * n : (i + 1) * width]
+        return out
 
 
 def decode(ids, vocabulary: Vocabulary) -> str:
@@ -270,24 +361,35 @@ def _share(frame: DataFrame, vocabulary: Vocabulary) -> _Shared:
     return _Shared(uuid.uuid4().hex, frame.sparkSession.sparkContext.broadcast(vocabulary))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = False) -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of a column of that name, one row for each row.
 
-    Null and empty texts have no ids. Nothing is cut and nothing moves between tasks.
+    Null and empty texts have no ids. Nothing is cut and nothing moves between tasks. With
+    ``check``, ``round_trip`` says whether decoding gives the text back; a white-space mark
+    that stands in a text as a character counts as the space that it is encoded as.
     """
     shared = _share(docs, vocabulary)
-    columns = [c for c in docs.columns if c != "ids"]
+    added = ["ids", "round_trip"] if check else ["ids"]
+    columns = [c for c in docs.columns if c not in added]
 
     def run(batches):
         encoder = _encoder(shared)
-        for batch in batches:
-            coded = [encoder.encode(text) for text in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, coded)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), ids], names=[*columns, "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(at, TEXTS_AT_ONCE)
+                texts = [text or "" for text in batch.column("text").to_pylist()]
+                coded = encoder.encode_all(texts)
+                ends = np.cumsum([0, *map(len, coded)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+                more = [ids]
+                if check:
+                    back = [decode(memoryview(c).cast("i"), encoder.v) for c in coded]
+                    more.append(pa.array([x == y.replace(SPACE, " ") for x, y in zip(back, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *more], names=[*columns, *added])
 
     frame = docs.select(*columns)
-    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    kinds = [StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]
+    return frame.mapInArrow(run, StructType([*frame.schema.fields, *kinds[: len(added)]]))
 
 
 def decode_ids(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
