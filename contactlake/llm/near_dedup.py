@@ -6,8 +6,8 @@ smallest hashes. Documents with equal sets are one class and go on as one.
 Candidates. Each retained value has an inverted list of the classes that retain it. Two
 sets with a similarity of 0.75 or more share at least ``MIN_SHARED`` of 64 retained values,
 but for a chance of about 1e-8, as the 64 smallest values of their union are common ones
-with that probability each. So a class with fewer values on lists of two or more has no
-partner. Of the others, with n retained values, only the n - MIN_SHARED + 1 on the shortest lists
+with that probability each; sets that are retained in full share as many as the limit asks
+for. So a class with fewer values on lists of two or more has no partner. Of the others, with n retained values, only the n - MIN_SHARED + 1 on the shortest lists
 count: two classes that share MIN_SHARED values share one of these. Values of passages that
 stand everywhere come last in that order and are left out, unless a text has little else.
 
@@ -154,8 +154,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # A key of its own, so that both sides of the join are exchanged and long lists can be split.
     lists = entries.groupBy("value").agg(F.count("*").alias("length")).filter("length > 1")
     lists = lists.select(F.col("value").bitwiseXOR(F.lit(1)).alias("other"), "length")
-    shared = entries.withColumn("other", F.col("value").bitwiseXOR(F.lit(1))).join(lists, "other").select("doc_id", "n_kept", "value", "length")
-    need = F.when(F.col("n_kept") == SKETCH, F.lit(MIN_SHARED)).otherwise(F.greatest(F.lit(1), F.floor(F.col("n_kept") * 0.4))).cast("int")
+    shared = entries.select("doc_id", "n_kept", F.col("value").bitwiseXOR(F.lit(1)).alias("other")).join(lists, "other")
+    shared = shared.select("doc_id", "n_kept", F.col("other").bitwiseXOR(F.lit(1)).alias("value"), "length")
+    # Where the partner's set is retained in full as well, the limit itself says how many are shared.
+    need = F.when(F.col("n_kept") * 100 <= SKETCH * percent, F.ceil(F.col("n_kept") * percent / 100)).otherwise(F.lit(MIN_SHARED)).cast("int")
     rare = (
         shared.groupBy("doc_id", "n_kept")
         .agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))
