@@ -133,25 +133,38 @@ def country_length_ok(code: Column, size: Column) -> Column:
     return F.when(code.isin(list(COUNTRY_LENGTHS)), listed).otherwise(size.between(*DEFAULT_LENGTHS))
 
 
-def _has_format(digits: Column, home: Column, n: int, starts: tuple[str, ...], code: str) -> Column:
-    fits = (home == code) & (F.length(digits) == n)
-    return fits & F.substring(digits, 1, len(starts[0])).isin(*starts) if starts else fits
+def _by_home(formats, home: Column, use, other: Column) -> Column:
+    """``use(digits in all, starts, cut)`` of the formats of a home code, tried in turn."""
+    result = other
+    for code in dict.fromkeys(f[0] for f in formats):
+        own = other
+        for _, n, starts, cut in reversed([f for f in formats if f[0] == code]):
+            own = use(own, n, starts, cut)
+        result = F.when(home == code, own).otherwise(result)
+    return result
+
+
+def _starts(digits: Column, starts: tuple[str, ...]) -> Column:
+    return F.substring(digits, 1, len(starts[0])).isin(*starts) if starts else F.lit(True)
 
 
 def local_format_ok(digits: Column, home: Column) -> Column:
     """Whether a number without "+" has a format of its home country."""
-    found = F.lit(False)
-    for code, n, starts, _ in LOCAL_FORMATS:
-        found = found | _has_format(digits, home, n, starts, code)
-    return F.coalesce(found, F.lit(False))
+
+    def use(other: Column, n: int, starts: tuple[str, ...], cut: int) -> Column:
+        return F.when(F.length(digits) == n, _starts(digits, starts)).otherwise(other)
+
+    return _by_home(LOCAL_FORMATS, home, use, F.lit(False))
 
 
 def national_number(digits: Column, home: Column) -> Column:
     """The number as it is dialled after the country's code; NULL without a known format."""
-    found = F.lit(None).cast("string")
-    for code, n, starts, cut in NATIONAL_FORMATS:
-        found = F.when(_has_format(digits, home, n, starts, code), F.substring(digits, cut + 1, n)).otherwise(found)
-    return found
+    nothing = F.lit(None).cast("string")
+
+    def use(other: Column, n: int, starts: tuple[str, ...], cut: int) -> Column:
+        return F.when(F.length(digits) == n, F.when(_starts(digits, starts), F.substring(digits, cut + 1, n))).otherwise(other)
+
+    return _by_home(NATIONAL_FORMATS, home, use, nothing)
 
 
 # --- composed rules ----------------------------------------------------------

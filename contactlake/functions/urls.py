@@ -46,14 +46,18 @@ def url_parts(url: Column) -> Column:
     The scheme is lower case, the netloc as written, with port. One match finds
     all parts; a line end, which a URL cannot hold any more, separates them.
     """
+
+    def has_parameters(p: Column) -> Column:
+        return F.contains(p[2], F.lit(";")) & F.lower(p[0]).isin(*PARAMETER_SCHEMES)
+
     found = F.split(F.regexp_replace(_without_controls(url), SPLIT_PATTERN, "$1\n$2\n$3\n$4\n$5"), "\n")
     return bind(
         found,
         lambda p: named_struct(
             scheme=F.lower(p[0]),
             netloc=p[1],
-            path=F.when(F.lower(p[0]).isin(*PARAMETER_SCHEMES), F.regexp_replace(p[2], r";[^/]*$", "")).otherwise(p[2]),
-            params=F.when(F.lower(p[0]).isin(*PARAMETER_SCHEMES), F.regexp_extract(p[2], r";([^/]*)$", 1)).otherwise(""),
+            path=F.when(has_parameters(p), F.regexp_replace(p[2], r";[^/]*$", "")).otherwise(p[2]),
+            params=F.when(has_parameters(p), F.regexp_extract(p[2], r";([^/]*)$", 1)).otherwise(""),
             query=p[3],
             fragment=p[4],
         ),
@@ -72,7 +76,8 @@ def _well_formed(netloc: Column) -> Column:
     """Brackets in a netloc come in pairs, and no character stands for a delimiter;
     otherwise the URL counts as invalid."""
     paired = F.contains(netloc, F.lit("[")) == F.contains(netloc, F.lit("]"))
-    return paired & (F.translate(netloc, DELIMITER_LIKES, "") == netloc)
+    plain = F.octet_length(netloc) == F.length(netloc)
+    return paired & (plain | ~netloc.rlike(f"[{DELIMITER_LIKES}]"))
 
 
 def _fold_dots(path: Column) -> Column:

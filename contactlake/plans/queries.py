@@ -35,19 +35,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
 
 
+def dealt(keys: DataFrame, key: str) -> DataFrame:
+    """Keys spread over all shuffle partitions: the long rows are made from them behind this shuffle."""
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def web_pages(spark, sf) -> DataFrame:
     return page_source.read_pages(spark, os.path.join(sf, "pages.parquet"))
 
 
 def all_pages(spark, sf) -> DataFrame:
     """Given pages and shop pages together."""
-    # keys only: the pages are made behind this shuffle
-    customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").repartition("c_custkey")
+    customer = dealt(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
     return spark.sql(derived.ALL_PAGES, pages=web_pages(spark, sf), customer=customer)
 
 
 def raw_contacts(spark, sf) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey").repartition("o_orderkey")
+    orders = dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     return spark.sql(derived.RAW_CONTACTS, orders=orders)
 
 
