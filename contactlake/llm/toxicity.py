@@ -8,7 +8,7 @@ penalty that sets the weights of uninformative words to zero. The same sentence
 then say where the offence is.
 
 Fitting happens on the driver, on a sample with fixed bounds (documents a class and words in
-all), drawn by a hash of the id. Scoring reads every whole text where it lies, moves nothing
+all), drawn by a hash of the id and cut to whole texts in that order. Scoring reads every whole text where it lies, moves nothing
 and keeps nothing of one document for the next.
 """
 
@@ -54,23 +54,60 @@ def learned(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
+def taken(sizes: list[int], most: int) -> list[int]:
+    """Places of the whole texts of one class that ``most`` characters hold, for sizes in the order of the draw.
+
+    Texts over a sixteenth of ``most`` have half of it to themselves, so that neither they nor
+    the others use up all; what the others leave is theirs too. The others are taken up to
+    the first that does not fit. Where nothing fits, the shortest text stands for the class.
+    """
+    ordinary = [i for i, n in enumerate(sizes) if n * 16 <= most]
+    long = [i for i, n in enumerate(sizes) if n * 16 > most]
+    out, used = [], 0
+
+    def fill(places: list[int], limit: int) -> None:
+        nonlocal used
+        for i in places:
+            if used + sizes[i] <= limit:
+                out.append(i)
+                used += sizes[i]
+
+    fill(long, most // 2)
+    for i in ordinary:
+        if used + sizes[i] > most:
+            break
+        out.append(i)
+        used += sizes[i]
+    else:
+        fill([i for i in long if i not in out], most)
+    return sorted(out) or sorted(range(len(sizes)), key=sizes.__getitem__)[:1]
+
+
 def sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_words: int):
-    """Texts, labels and the labelled rows of each class, within the bounds of the module."""
+    """Texts, labels and the labelled rows of each class, within the bounds of the module.
+
+    A class draws its ids by a hash and keeps those whose texts fit its part of the words:
+    one half, or more where the other class needs less. Where rows lie does not matter.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(learned(F.col("doc_id")))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     chosen = [known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(max_docs) for y in (0, 1)]
-    chosen = F.broadcast(chosen[0].union(chosen[1]))
-    texts, marks, words = [], [], 0
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").filter("text is not null").select("text", "toxic")
-    for row in rows.toLocalIterator():
-        words += len(row["text"]) // 4
-        if words > max_words and texts:
-            break
-        texts.append(row["text"])
-        marks.append(row["toxic"])
-    return texts, np.array(marks), sizes
+    chosen = chosen[0].union(chosen[1]).withColumn("draw", order)
+    rows = docs.filter("text is not null").select("doc_id", "text")
+    # Rows that repeat an id count as one text. At most max_docs ids a class come to the driver.
+    lengths = rows.join(F.broadcast(chosen), "doc_id").groupBy("toxic", "draw", "doc_id").agg(F.sum(F.length("text")).alias("size"))
+    lengths = sorted(lengths.collect())
+    classes = [[r for r in lengths if r["toxic"] == y] for y in (0, 1)]
+    weights = [sum(r["size"] for r in c) for c in classes]
+    most = [max(4 * max_words // 2, 4 * max_words - w) for w in reversed(weights)]
+    ids = [c[i]["doc_id"] for c, m in zip(classes, most) for i in taken([r["size"] for r in c], m)]
+    wanted = chosen.sparkSession.createDataFrame([(i,) for i in ids], labels.select("doc_id").schema)
+    marks = {r["doc_id"]: r["toxic"] for r in lengths}
+    # Exactly the rows counted above.
+    found = sorted(rows.join(F.broadcast(wanted), "doc_id").collect())
+    return [r["text"] for r in found], np.array([marks[r["doc_id"]] for r in found], np.int64), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS_A_CLASS, max_words: int = MAX_WORDS) -> Model:

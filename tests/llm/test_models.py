@@ -143,6 +143,48 @@ def test_toxicity_edges(documents, corpus, spark):
     assert toxicity.fit(documents(corpus), odd).weights == {}
 
 
+def test_toxicity_sample_does_not_depend_on_where_rows_lie(spark):
+    """The word bound holds in hash order and for each class, wherever a class stands in the table."""
+    rows, labels = toxic_rows(900)
+    bad = {i for i, _, t in labels if t}
+    labels = spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, toxic int")
+    tables = [sorted(rows, key=lambda r: (r[0] in bad) == last) for last in (True, False)]
+    found = [toxicity.sample(spark.createDataFrame(t, "doc_id long, text string").coalesce(1), labels, 4000, 8000) for t in tables]
+    assert sorted(found[0][0]) == sorted(found[1][0])
+    for texts, marks, _ in found:
+        for y in (0, 1):
+            size = sum(len(t) for t, m in zip(texts, marks) if m == y)
+            assert 4000 * 4 * 0.9 < size <= 4000 * 4 + 1
+    docs = dict(rows)
+    drawn = {i for i, t in docs.items() if t in set(found[0][0])}
+    # Documents of all parts of the table are in it.
+    assert {i * 6 // 900 for i in drawn & bad} == set(range(6)) == {i * 6 // 900 for i in drawn - bad}
+
+
+@pytest.mark.parametrize("giant", [0, 5, 1])
+@pytest.mark.parametrize("n", [9_000, 30_000, 200_000])
+def test_toxicity_giant_text(spark, giant, n):
+    """A giant labelled text takes neither class's place, first or last in the table."""
+    rows, labels = toxic_rows(900)
+    labels = spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, toxic int")
+    rows = [(giant, "w1 w2. " * n)] + [r for r in rows if r[0] != giant]
+    model = None
+    for table in (rows, rows[::-1]):
+        docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+        texts, marks, _ = toxicity.sample(docs, labels, 4000, 30_000)
+        assert min(np.bincount(marks, minlength=2)) > 100
+        again = toxicity.fit(docs, labels, 4000, 30_000)
+        assert {w for w, x in again.weights.items() if x > 1} == {"awful", "nasty"} and (model is None or model == again)
+        model = again
+
+
+def test_toxicity_texts_within_a_share():
+    assert toxicity.taken([], 100) == []
+    assert toxicity.taken([200, 300], 100) == [0] and toxicity.taken([1, 500, 2], 100) == [0, 2]
+    assert toxicity.taken([48] + [5] * 40, 100) == list(range(11))
+    assert toxicity.taken([48, 45, 40, 3], 100) == [0, 1, 3]
+
+
 # --- SentencePiece -----------------------------------------------------------
 @pytest.fixture(scope="module")
 def vocabulary():
