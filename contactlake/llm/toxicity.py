@@ -40,13 +40,13 @@ class Model(NamedTuple):
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of the sentences that hold a letter or digit, as code points of ``text``."""
+    """Start and end of the sentences that are not blank, as code points of ``text``."""
     spans, start = [], 0
     for end in _SENTENCE_END.finditer(text):
         spans.append((start, end.start()))
         start = end.end()
     spans.append((start, len(text)))
-    return [(a, b) for a, b in spans if any(map(str.isalnum, text[a:b]))]
+    return [(a, b) for a, b in spans if text[a:b].strip()]
 
 
 def learned(doc_id) -> F.Column:
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS_A_CLASS, ma
     if len(set(marks.tolist())) < 2:
         return Model(-40.0, {})
     # A word counts once a sentence; words of few documents are left out.
-    bags = [[set(_LETTERS.findall(s)) for s in _SENTENCE_END.split(t.lower()) if s.strip()] or [set()] for t in texts]
+    bags = [[set(_LETTERS.findall(t[a:b].lower())) for a, b in sentences(t)] or [set()] for t in texts]
     seen = Counter(w for bag in bags for w in set().union(*bag))
     names = sorted(w for w, n in seen.items() if n >= MIN_DOCS)
     place = {w: i for i, w in enumerate(names)}
@@ -158,31 +158,24 @@ def scored(text: str | None, model: Model) -> tuple[float, list[tuple[int, int,
     weights, bias = model.weights, model.bias
     total, found = 0.0, []
     plain = np.logaddexp(0, bias)
-    start = 0
-    lower = (text or "").lower()
-    for part in _SENTENCE_END.split(lower):
-        words = _LETTERS.findall(part)
-        known = [weights[w] for w in set(words) if w in weights]
+    text = text or ""
+    for start, end in sentences(text):
+        known = [weights[w] for w in set(_LETTERS.findall(text[start:end].lower())) if w in weights]
         if known:
             z = bias + sum(known)
             total += np.logaddexp(0, z)
             if z >= 0:
-                found.append((part, 1 / (1 + np.exp(-z))))
-        elif words or part.strip():
+                found.append((start, end, float(1 / (1 + np.exp(-z)))))
+        else:
             total += plain
-    return float(-np.expm1(-total)), [(*_span(lower, part), float(p)) for part, p in found]
-
-
-def _span(text: str, part: str) -> tuple[int, int]:
-    start = text.find(part)
-    return start, start + len(part)
+    return float(-np.expm1(-total)), found
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``score`` and ``offending`` (start, end, score of sentences at 0.5 or more).
 
     One row for each row of ``docs``. Null and empty texts have the score 0; ends count code
-    points of the lower-cased text; other columns are not read.
+    points of the text; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>"

@@ -185,6 +185,14 @@ def test_toxicity_texts_within_a_share():
     assert toxicity.taken([48, 45, 40, 3], 100) == [0, 1, 3]
 
 
+def test_offending_sentences_stand_where_they_are_reported():
+    model = toxicity.Model(-2.0, {"bad": 3.0})
+    text = "İİ. Badly said! bad. A bad thing. A bad thing\nbad? fine."
+    _, spans = toxicity.scored(text, model)
+    assert [text[a:b] for a, b, _ in spans] == [" bad", " A bad thing", " A bad thing", "bad"]
+    assert [a for a, _, _ in spans] == [15, 20, 33, 46]
+
+
 # --- SentencePiece -----------------------------------------------------------
 @pytest.fixture(scope="module")
 def vocabulary():
