@@ -4,7 +4,9 @@ A page is a sequence of words and tags. Words score positive, tags negative; the
 the largest total, found in one scan, is the content. How much a tag costs, and in which
 elements words count against the content instead, is learned from labelled pages: pages
 with exactly one article (or main) element, of which the inside is the label. A tag gets the log
-of how often it stands inside against outside; an element whose words are outside on
+of how often it stands inside against outside, but links, lists and tables without a class take
+after what they stand in: they cost next to nothing, unless they stand in the bare frame of the
+page and labelled pages show them there outside; an element whose words are outside on
 labelled pages makes the words in it part of the markup. Names and classes that labelled
 pages do not show fall back to a short list of what such elements usually are. A sidebar or
 advert within the article neither adds to the stretch nor ends it; its words are left out.
@@ -34,10 +36,14 @@ ASIDE_WORDS = frozenset(
 )
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg")
 #: Elements within a line or list: they take after what they stand in.
-PLAIN = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd li mark ol p q s samp small span strong sub sup td th tr tbody table time tt u ul var wbr".split())
+PLAIN = frozenset("a abbr b bdi bdo big br caption cite code col colgroup dd del dfn dl dt em font i img ins kbd li mark ol p q s samp small span strong sub sup td th tr tbody table tfoot thead time tt u ul var wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr !doctype".split())
 CONTENT = ("article", "main")
+#: What a plain tag without a class costs within content: many of them weigh less than a word.
+PLAIN_COST = -0.05
+#: Elements that say nothing about their content ("" is none at all).
+FRAME = frozenset(("", "html", "body", "div", "section"))
 
 # The inside of a tag; quotes count where a value begins. A tag without its ">" is one token to the end.
 _INSIDE = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
@@ -106,6 +112,16 @@ def guess(key: str) -> bool:
     return name in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(_WORD.findall(hints))
 
 
+def _place(piece: Piece) -> str:
+    """The name under which the cost of a tag is learned; empty for plain tags that cost next to nothing."""
+    if piece.key not in PLAIN:
+        return piece.kind + piece.key
+    if any(k.split(".", 1)[0] in CONTENT for k in piece.within):
+        return ""
+    around = next((k for k in reversed(piece.within) if k not in PLAIN), "")
+    return f"{piece.kind}{piece.key}@page" if around in FRAME else ""
+
+
 def fit_pages(pages: list[str]) -> Model:
     """Learn from pages with one content element; other pages are not looked at."""
     tags, words, nested = Counter(), Counter(), set()
@@ -125,7 +141,7 @@ def fit_pages(pages: list[str]) -> Model:
             if i == marks[0] + 1 and len(p.within) > depth:
                 inside = True
             if p.kind in ("open", "close") and i != marks[0]:
-                tags[p.kind + p.key, inside] += 1
+                tags[_place(p), inside] += 1
             if p.kind == "text":
                 n = len(p.text.split())
                 # A sidebar within the article is no part of what the label means.
@@ -155,7 +171,10 @@ def score_of(piece: Piece, model: Model, values: dict[str, float]) -> float:
         return _worth(piece, model, values) * len(piece.text.split())
     if piece.kind == "skip":
         return 0.0
-    known = model.tags.get(piece.kind + piece.key)
+    place = _place(piece)
+    if piece.key in PLAIN:
+        return model.tags.get(place, PLAIN_COST) if place else PLAIN_COST
+    known = model.tags.get(place)
     return (-2.0 if guess(piece.key) else -0.2) if known is None else known
 
 

@@ -332,3 +332,38 @@ def test_main_text_edges(spark, page_model):
     assert texts[6] == " ".join(["word"] * 50_000)
     assert main_text.main_text(frame.limit(0), main_text.fit(frame.limit(0))).count() == 0
     assert main_text.extract(PAGE.format(h="Short", a="plain text of the page", b="and its end"), main_text.fit_pages([])).startswith("Short")
+
+
+LINK = '<p>see <a href="/x">this page</a></p>'
+LINKED_WORD = '<a href="/x">link</a> '
+LIST = "<ul>" + "<li><a href='/y'>item</a></li>" * 3 + "</ul>"
+DEFINED = "<dl><dt>term</dt><dd>meaning</dd></dl>"
+TABLE = "<table><caption>sizes</caption><thead><tr><th>name</th><th></th></tr></thead><tbody><tr><td>a</td><td>5</td></tr></tbody></table>"
+
+
+@pytest.mark.parametrize("part", [LINK, LINKED_WORD, LIST, DEFINED, TABLE])
+@pytest.mark.parametrize("before, after", [(0, 60), (8, 60), (60, 8), (60, 0), (30, 300)])
+def test_links_lists_and_tables_of_an_article(part, before, after):
+    """What labelled pages only show in menus is kept within an article, wherever it stands in it."""
+    menus = PAGE.replace("</nav>", f"{part}</nav>").replace("<footer>", f"<footer>{part}")
+    model = main_text.fit_pages([menus.format(h=f"Title {i}", a="one two " * (i % 5 + 1), b="three four") for i in range(40)])
+    for open_, close in (("<p>", "</p>"), ("", "")):
+        inside = open_ + "start " * before + close + part + open_ + "end " * after + close
+        page = menus[: menus.index("<article>")] + f"<article>{inside}</article>" + menus[menus.index("</article>") + 10 :]
+        got = main_text.extract(page, model).split()
+        want = [w for p in main_text.pieces(inside) if p.kind == "text" for w in p.text.split()]
+        assert got == want
+
+
+def test_link_in_the_middle_of_a_paragraph(page_model):
+    page = PAGE.format(h="", a="", b="early " * 30 + '<a href="/x">x</a> ' + "late " * 300)
+    assert main_text.extract(page, page_model).split()[-331:] == ["early"] * 30 + ["x"] + ["late"] * 300
+
+
+def test_menu_in_the_frame_of_the_page_stays_outside():
+    menu = "<ul>" + "<li><a href='/y'>menu item</a></li>" * 9 + "</ul>"
+    for frame in (menu, f"<div>{menu}</div>"):
+        page = PAGE.replace("<article>", frame + "<article>")
+        model = main_text.fit_pages([page.format(h=f"Title {i}", a="one two " * (i % 5 + 1), b="three four") for i in range(40)])
+        got = main_text.extract(page.format(h="Head", a="plain text of the page", b="and its end " + LIST), model)
+        assert got.split() == "Head plain text of the page more and its end item item item".split()
