@@ -8,8 +8,10 @@ in that space. A text's scores are linear in its kernels with the landmarks, and
 products of its n-grams' presence with the landmarks' presence: many texts are scored by
 one product of matrices.
 
-N-grams are kept as slots of a table of fixed size, so that a text is a bit vector and the sample
-on the driver has a fixed size. Scoring moves nothing and reads every whole text.
+N-grams are kept as slots of a table of fixed size, so that a text is a bit vector. Every language is
+learned: the more there are, the fewer texts and landmarks each gets, down to a minimum, so that
+the sample on the driver is bounded up to 768 languages and grows with them beyond. Scoring moves
+nothing and reads every whole text.
 """
 
 from __future__ import annotations
@@ -26,14 +28,17 @@ from contactlake.llm import byte_text
 
 SLOT_BITS = 15
 MAX_N = 3
-#: Bounds of the sample: texts a language, languages, landmarks a language.
-MAX_TEXTS, MAX_LANGUAGES, LANDMARKS = 400, 64, 24
+#: Bounds of the sample: texts and landmarks a language, for up to so many languages.
+MAX_TEXTS, FULL_LANGUAGES, LANDMARKS = 400, 64, 24
+#: Where there are more, each gets fewer of both, but not less than this.
+MIN_TEXTS, MIN_LANDMARKS = 16, 2
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Characters of texts whose presence table is made at once.
 TEXTS_AT_ONCE = 64
 
 _LETTER = re.compile(r"[^\W\d_]")
+_LETTER_SQL = r"[\p{L}\p{Nl}\p{No}]"
 
 
 class Model(NamedTuple):
@@ -64,14 +69,24 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
+def each(most: int, least: int, languages: int) -> int:
+    """How many of ``most`` a language gets where there are so many languages."""
+    return min(most, max(least, most * FULL_LANGUAGES // max(languages, 1)))
+
+
 def sample(docs: DataFrame, max_texts: int) -> tuple[np.ndarray, list[str]]:
     """Presence of the n-grams of learned texts, up to a number for each language, by a hash of the id."""
     docs = docs.filter("doc_id is not null and text is not null and lang is not null").filter(learned(F.col("doc_id")))
-    names = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    docs = docs.filter(F.col("text").rlike(_LETTER_SQL))
+    names = docs.groupBy("lang").count().collect()
+    if not names:
+        return np.zeros((0, (1 << SLOT_BITS) // 8), np.uint8), []
+    max_texts = each(max_texts, MIN_TEXTS, len(names))
+    # More than are wanted, so that none of many languages comes out with too few.
+    draws = max(1.2 * max_texts, max_texts + 4 * max_texts**0.5 + 8)
+    rates = [(r["lang"], int((1 << 30) * min(1.0, draws / r["count"])) + 1) for r in names]
+    rates = docs.sparkSession.createDataFrame(rates, "lang string, rate long")
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
-    rate = F.lit(0)
-    for r in names:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(int((1 << 30) * min(1.0, 1.2 * max_texts / r["count"])))).otherwise(rate)
 
     def run(batches):
         for batch in batches:
@@ -81,15 +96,16 @@ def sample(docs: DataFrame, max_texts: int) -> tuple[np.ndarray, list[str]]:
                 bits = np.packbits(presence(texts).astype(np.uint8), axis=1)
                 good = [bool(_LETTER.search(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), part.column("doc_id"), pa.array([b.tobytes() if g else None for b, g in zip(bits, good)], pa.binary())],
-                    names=["lang", "doc_id", "bits"],
+                    [part.column("lang"), part.column("draw"), part.column("doc_id"), pa.array([b.tobytes() if g else None for b, g in zip(bits, good)], pa.binary())],
+                    names=["lang", "draw", "doc_id", "bits"],
                 )
 
-    drawn = docs.filter(draw < rate).select("lang", F.col("doc_id").cast("long"), "text")
-    rows = drawn.mapInArrow(run, "lang string, doc_id long, bits binary").filter("bits is not null")
+    drawn = docs.withColumn("draw", draw).join(F.broadcast(rates), "lang").filter("draw < rate")
+    drawn = drawn.select("lang", "draw", F.col("doc_id").cast("long"), "text")
+    rows = drawn.mapInArrow(run, "lang string, draw long, doc_id long, bits binary").filter("bits is not null")
     taken: dict[str, int] = {}
     bits, langs = [], []
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["bits"])):
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["bits"])):
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= max_texts:
             bits.append(np.frombuffer(r["bits"], np.uint8))
@@ -103,26 +119,37 @@ def fit(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Model:
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((1 << SLOT_BITS, 0), np.float32), np.zeros(0))
-    kind = np.array([languages.index(x) for x in langs])
-    marks = np.concatenate([np.flatnonzero(kind == k)[:LANDMARKS] for k in range(len(languages))])
+    place = {x: k for k, x in enumerate(languages)}
+    kind = np.array([place[x] for x in langs])
+    n_marks = each(LANDMARKS, MIN_LANDMARKS, len(languages))
+    starts = np.searchsorted(kind, np.arange(len(languages) + 1))  # texts come language by language
+    marks = np.concatenate([np.arange(a, min(a + n_marks, b)) for a, b in zip(starts[:-1], starts[1:])])
     landmarks = np.unpackbits(bits[marks], axis=1).astype(np.float32)
     landmarks /= np.sqrt(landmarks.sum(1, keepdims=True))
-    kernels = np.empty((len(bits), len(marks)))
-    for at in range(0, len(bits), 256):
-        rows = np.unpackbits(bits[at : at + 256], axis=1).astype(np.float32)
-        kernels[at : at + 256] = rows @ landmarks.T / np.sqrt(rows.sum(1, keepdims=True))
+
+    def kernels(which: np.ndarray) -> np.ndarray:
+        rows = np.unpackbits(bits[which], axis=1).astype(np.float32)
+        return (rows @ landmarks.T / np.sqrt(rows.sum(1, keepdims=True))).astype(np.float64)
+
+    blocks = lambda places: (places[at : at + 256] for at in range(0, len(places), 256))
     # The kernels among landmarks whiten the map; directions without weight are left out.
-    size, vectors = np.linalg.eigh(kernels[marks])
+    size, vectors = np.linalg.eigh(np.concatenate([kernels(x) for x in blocks(marks)]))
     keep = size > 1e-6 * size[-1]
     whiten = vectors[:, keep] / np.sqrt(size[keep])
-    features = kernels @ whiten
-    target = np.where(kind[:, None] == np.arange(len(languages)), 1.0, 0.0)
     share = 1 / np.bincount(kind, minlength=len(languages))[kind]  # languages count alike
     share /= share.sum()
-    centre, level = share @ features, share @ target
-    moved = (features - centre) * np.sqrt(share)[:, None]
-    ridge = moved.T @ moved + RIDGE / len(bits) * np.eye(moved.shape[1])
-    beta = np.linalg.solve(ridge, moved.T @ ((target - level) * np.sqrt(share)[:, None]))
+    level = np.bincount(kind, share, len(languages))
+    # Sums over the texts, block by block: the kernels of all of them never lie in memory.
+    centre, by_language = np.zeros(whiten.shape[1]), np.zeros((whiten.shape[1], len(languages)))
+    ridge = RIDGE / len(bits) * np.eye(whiten.shape[1])
+    for which in blocks(np.arange(len(bits))):
+        features = kernels(which) @ whiten
+        moved = features * share[which, None]
+        centre += moved.sum(0)
+        ridge += moved.T @ features
+        np.add.at(by_language.T, kind[which], moved)
+    ridge -= np.outer(centre, centre)
+    beta = np.linalg.solve(ridge, by_language - np.outer(centre, level))
     return Model(languages, (landmarks.T @ (whiten @ beta)).astype(np.float32), level - centre @ beta)
 
 

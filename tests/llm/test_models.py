@@ -273,6 +273,25 @@ def test_language_of_held_out_documents(spark):
     assert again.languages == model.languages and np.array_equal(again.weights, model.weights)
 
 
+def test_many_languages_are_all_learned(spark):
+    """More languages than get the full sample: none is left out, the rare ones neither."""
+    r = random.Random(11)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    words = [["".join(r.sample(letters[9 * k : 9 * k + 9], 3)) for _ in range(12)] for k in range(100)]
+    rows = [(n * 100 + k, " ".join(r.choices(words[k], k=10)), f"l{k}-X") for k in range(100) for n in range(40 if k % 4 else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, 20)
+    assert len(model.languages) == 100
+    found = language.predict(docs, model).join(docs, "doc_id").filter(~language.learned(F.col("doc_id"))).collect()
+    assert len({x.lang for x in found}) > 90 and all(x.lang == x.lang_pred for x in found)
+
+
+def test_sample_of_a_language():
+    assert [language.each(400, 16, n) for n in (0, 1, 64, 65, 128, 1600, 9000)] == [400, 400, 400, 393, 200, 16, 16]
+    assert [language.each(24, 2, n) for n in (64, 128, 768, 9000)] == [24, 12, 2, 2]
+    assert language.each(8, 16, 500) == 8
+
+
 def test_presence_is_exact():
     rows = language.presence(["abab", "BA", "", "a" * 600_000 + "b"])
     assert rows[0].sum() == 2 + 2 + 2 and rows[1].sum() == 3 and rows[2].sum() == 0 and rows[3].sum() == 2 + 2 + 2
