@@ -4,11 +4,11 @@ A document is the set of its word shingles, hashed by one function. Its sketch i
 smallest hashes. Documents with equal sets are one class and go on as one.
 
 Candidates. Each retained value has an inverted list of the classes that retain it. Two
-sets with a similarity of 0.75 or more share at least ``MIN_SHARED`` of 64 retained values,
-but for a chance of about 1e-8, as the 64 smallest values of their union are common ones
-with that probability each; sets that are retained in full share as many as the limit asks
-for. So a class with fewer values on lists of two or more has no partner. Of the others, with n retained values, only the n - MIN_SHARED + 1 on the shortest lists
-count: two classes that share MIN_SHARED values share one of these. Values of passages that
+sets with a similarity of the limit or more share at least ``min_shared`` of 64 retained values
+(26 at 0.75), but for a chance of about 1e-8, as the 64 smallest values of their union are
+common ones with that probability each; sets that are retained in full share as many as the limit asks
+for. So a class with fewer values on lists of two or more has no partner. Of the others, with n retained values, only the n - min_shared + 1 on the shortest lists
+count: two classes that share min_shared values share one of these. Values of passages that
 stand everywhere come last in that order and are left out, unless a text has little else.
 
 Groups. A list is known by its first member (smallest id). Lists with the same first member are
@@ -24,6 +24,8 @@ links and never all pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,13 +37,24 @@ from contactlake.llm.common import components, match, save
 
 SHINGLE = 5
 SKETCH = 64
-MIN_SHARED = 26
 PERCENT = 75
 PART = 256
 #: Hashes that one step of the verification looks up.
 VERIFIED_AT_ONCE = 1_000_000
 #: Estimates may be wrong; pairs this far under the limit are dropped (over five standard deviations).
 MARGIN = 0.30
+#: Chance that two sets at the limit share fewer retained values than are asked for.
+MISSED = 2e-9
+
+
+def min_shared(percent: int) -> int:
+    """Retained values that two sets at the limit share, but for the chance ``MISSED``; one at least."""
+    p, chance = percent / 100, 0.0
+    for n in range(SKETCH):
+        chance += math.comb(SKETCH, n) * p**n * (1 - p) ** (SKETCH - n)
+        if chance > MISSED:
+            return max(n, 1)
+    return SKETCH
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, keep: int | None = SKETCH, also: list[str] = ()) -> DataFrame:
@@ -96,7 +109,8 @@ def estimates(sketches: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, c
 def verified_links(ids: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links of a spanning forest of the pairs ``rows`` x ``columns`` of sorted sets."""
     sizes = np.array([len(x) for x in sets])
-    likely = estimates([x[:SKETCH] for x in sets], sizes, rows, columns) >= percent / 100 - MARGIN
+    margin = max(MARGIN, 5.5 * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH))
+    likely = estimates([x[:SKETCH] for x in sets], sizes, rows, columns) >= percent / 100 - margin
     parent = np.arange(len(ids))  # every member points at the root itself
     found = []
     for i, x in enumerate(rows.tolist()):
@@ -116,7 +130,7 @@ def verified_links(ids: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, co
     return found
 
 
-def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def search(key: tuple[pa.Scalar, ...], table: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Links of one pair of parts; ``side`` says in which part a member is."""
     ids = table.column("doc_id").to_numpy()
     side = table.column("side").to_numpy()
@@ -128,7 +142,7 @@ def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     low, high = key[1].as_py(), key[2].as_py()
     links = []
     if len(first) and (low == high or len(second)):
-        links = verified_links(ids, sets, first, first if low == high else second)
+        links = verified_links(ids, sets, first, first if low == high else second, percent)
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
@@ -157,7 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     shared = entries.select("doc_id", "n_kept", F.col("value").bitwiseXOR(F.lit(1)).alias("other")).join(lists, "other")
     shared = shared.select("doc_id", "n_kept", F.col("other").bitwiseXOR(F.lit(1)).alias("value"), "length")
     # Where the partner's set is retained in full as well, the limit itself says how many are shared.
-    need = F.when(F.col("n_kept") * 100 <= SKETCH * percent, F.ceil(F.col("n_kept") * percent / 100)).otherwise(F.lit(MIN_SHARED)).cast("int")
+    need = F.when(F.col("n_kept") * 100 <= SKETCH * percent, F.ceil(F.col("n_kept") * percent / 100)).otherwise(F.lit(min_shared(percent))).cast("int")
     rare = (
         shared.groupBy("doc_id", "n_kept")
         .agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))
@@ -191,7 +205,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     for c in whole:
         sets = sets.filter(F.col(c) == F.col(f"wanted.of_{c}"))
     links = sets.select("doc_id", "shingles", F.explode("wanted.places").alias("p")).select("doc_id", "shingles", "p.*")
-    links = links.groupBy("head", "low", "high").applyInArrow(search, "a long, b long").distinct()
+    verified = lambda key, table: search(key, table, percent)
+    links = links.groupBy("head", "low", "high").applyInArrow(verified, "a long, b long").distinct()
     found = components(save(links, "links"))
     named = classes.join(found, F.col("first_id") == F.col("node"), "left").select(
         *whole, F.coalesce("component", "first_id").alias("component_id")

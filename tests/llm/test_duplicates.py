@@ -81,6 +81,29 @@ def test_near_duplicates(documents, corpus, monkeypatch, part):
     assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("percent", [60, 90])
+def test_near_duplicates_of_another_limit(documents, percent):
+    """Pairs of 200 shingles that share from half to all of them: the limit given is the one that counts."""
+    sets, want = {}, {}
+    for i in range(25):
+        common = 132 + 3 * i
+        for d in (2 * i, 2 * i + 1):
+            words = [f"p{i}w{k}" for k in range(common)] + [f"d{d}w{k}" for k in range(204 - common)]
+            sets[d] = " ".join(words)
+        a, b = (shingles(sets[d]) for d in (2 * i, 2 * i + 1))
+        linked = 100 * len(a & b) >= percent * len(a | b)
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if linked else 2 * i + 1}
+    assert len(set(want.values())) not in (25, 50)
+    got = near_dedup.near_duplicates(documents(list(sets.items())), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_shared_values_follow_from_the_limit():
+    assert near_dedup.min_shared(75) == 26 and near_dedup.min_shared(100) == 64
+    shared = [near_dedup.min_shared(p) for p in range(1, 101)]
+    assert shared == sorted(shared) and shared[0] == 1
+
+
 def test_near_duplicates_of_nothing(documents):
     assert near_dedup.near_duplicates(documents([])).count() == 0
     assert {tuple(r) for r in near_dedup.near_duplicates(documents([(1, None), (2, "")])).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
