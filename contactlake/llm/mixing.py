@@ -8,7 +8,9 @@ six halvings could visit, for any number of sources, and the driver sees these p
 
 A source's budget, its weight times the token budget, is then filled from a permutation of
 its documents. Each document gets a block by a seeded hash; block order is the permutation,
-and within a block the hash decides. Whole passes over the source come first, then the
+and within a block the hash decides. Documents longer than a block or an eighth of their source
+come behind the others, by doublings of length, so that one cannot use up the budget of shorter
+ones. Whole passes over the source come first, then the
 prefix of the permutation that still fits. Running sums are taken over groups of blocks, over
 blocks and inside a block, so that no task holds a source.
 """
@@ -133,12 +135,14 @@ def mix_sources(
         .withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)))
         .withColumn("rest", F.col("budget") - F.col("passes") * F.col("tokens"))
         .withColumn("n_blocks", F.ceil((F.col("tokens") + F.col("rows")) / F.lit(block_tokens)))
-        .select("mix_source", "weight", "passes", "rest", "n_blocks")
+        .withColumn("ordinary", F.greatest(F.least(F.lit(float(block_tokens)), F.col("tokens") / 8), F.lit(1.0)))
+        .select("mix_source", "weight", "passes", "rest", "n_blocks", "ordinary")
     )
     rows = match(rows, plan, ["mix_source"])
     # The 53 highest bits of the hash, as a number in [0, 1), pick the block.
     unit = F.shiftrightunsigned("draw", 11).cast("double") / F.lit(float(2**53))
-    rows = rows.withColumn("block", F.floor(unit * F.col("n_blocks")).cast("long"))
+    behind = F.when(F.col("n_tokens") > F.col("ordinary"), 1 + F.floor(F.log2(F.col("n_tokens") / F.col("ordinary")))).otherwise(F.lit(0))
+    rows = rows.withColumn("block", (behind * F.col("n_blocks") + F.floor(unit * F.col("n_blocks"))).cast("long"))
     blocks = (
         rows.groupBy("mix_source", "block")
         .agg(F.sum("n_tokens").alias("block_tokens"))

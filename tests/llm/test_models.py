@@ -88,6 +88,18 @@ def test_mixture_of_nothing_and_realised(sources):
     assert all(got[d] == n for d, n in copies.items())
 
 
+@pytest.mark.parametrize("block", [65536, 50])
+def test_long_documents_do_not_use_up_the_budget(spark, block):
+    """One document with most of a source comes behind the others, wherever the hash puts it."""
+    for seed in range(6):
+        rows = [(0, "w " * 900, "a"), (99, "w " * 2000, "a"), *((i, "w " * 5, "a") for i in range(1, 81))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        copies = {r.doc_id: r.n_copies for r in mixing.mix_sources(docs, budget_ratio=0.1, seed=seed, block_tokens=block).collect()}
+        assert copies.pop(0) == copies.pop(99) == 0 and sum(copies.values()) * 5 == 330
+        most = {r.doc_id: r.n_copies for r in mixing.mix_sources(docs, budget_ratio=0.4, seed=seed, block_tokens=block).collect()}
+        assert most[99] == 0 and all(n == 1 for d, n in most.items() if d != 99)
+
+
 # --- toxicity ----------------------------------------------------------------
 def toxic_rows(n):
     r = random.Random(4)
