@@ -72,10 +72,35 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y
 SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, vec_id = component AS kept
 FROM embeddings JOIN components ON node = vec_id LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)"""
 
+
+
+def codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds written out: assignment ``a<i>`` by codebook ``c<i>``, which gives codebook ``c<i + 1>``."""
+    steps = [f"""good AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM good, range({parts}) r(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM good ORDER BY vec_id LIMIT {entries}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p, any_value(x) AS x, min(d * {entries} + e) % {entries} AS e, min(d) AS d
+  FROM (SELECT vec_id, label, p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM parts JOIN c{i} USING (p)) GROUP BY vec_id, p)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, len(x) + 1) r(i) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    ctes = ",\n".join(steps)
+    return f"""WITH {ctes},
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(e AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book"""
+
+
 ORACLES = {
     "op1_near_dedup": NEAR,
     "op3_exact_dedup": EXACT,
     "op5_substring_dedup": WORDS,
     "op6_embedding_dedup": VECTORS,
     "op10_suffix_array_dedup": BYTES,
+    "op11_vector_codes": codes(),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactlake.llm import embedding_dedup, exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity
+from contactlake.llm import embedding_dedup, exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity, vector_codes
 from contactlake.llm.common import read
 from contactlake.llm.oracles import ORACLES  # noqa: F401
 
@@ -82,3 +82,8 @@ def op9_html_extraction(spark, sf_dir):
 def op10_suffix_array_dedup(spark, sf_dir):
     result = suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"))
     return result.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(read(spark, sf_dir, "embeddings")).drop("n_tried")
