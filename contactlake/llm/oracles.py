@@ -96,6 +96,30 @@ book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) A
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book"""
 
 
+CRC = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda b: CAST(ord(b) AS BIGINT)),
+  lambda a, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+TRIE = f"""WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS d FROM conversations),
+sizes AS (SELECT conv_id, count(*) AS n, {CRC} % 4 AS h, conv_id - conv_id % 20 AS base FROM turns GROUP BY conv_id),
+convs AS (SELECT s.*, least(s.h, coalesce(b.n, 0)) AS taken FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base),
+built AS (SELECT c.conv_id, t.d, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.d <= c.h
+          UNION ALL SELECT c.conv_id, t.d - c.h + c.taken, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.d > c.h),
+named AS (SELECT conv_id, d, text, string_agg(sha256(concat(length(role), ':', role, text)), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d) AS node FROM built),
+members AS MATERIALIZED (SELECT conv_id, d, md5(node) AS node, len(regexp_extract_all(text, '{WORD}')) AS words, md5(left(node, -64)) AS parent FROM named
+          UNION ALL SELECT conv_id, 0, md5(''), 0, NULL FROM convs),
+nodes AS MATERIALIZED (SELECT node, any_value(parent) AS parent, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(words) AS saving
+          FROM members GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (SELECT m.node, count(*) FILTER (c.node IS NULL) AS n_leaves, CAST(sum(v.saving) AS BIGINT) AS saved_tokens
+         FROM nodes v JOIN members m ON m.conv_id = v.conv_id AND m.d <= v.d LEFT JOIN children c ON c.node = v.node GROUP BY m.node),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, node FROM members QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) = 1) GROUP BY node)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes v LEFT JOIN nodes p ON p.node = v.parent LEFT JOIN children c ON c.node = v.node JOIN sums s ON s.node = v.node LEFT JOIN ends e ON e.node = v.node"""
+
+
 ORACLES = {
     "op1_near_dedup": NEAR,
     "op3_exact_dedup": EXACT,
@@ -103,4 +127,5 @@ ORACLES = {
     "op6_embedding_dedup": VECTORS,
     "op10_suffix_array_dedup": BYTES,
     "op11_vector_codes": codes(),
+    "op13_conversation_trie": TRIE,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactlake.llm import embedding_dedup, exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity, vector_codes
+from contactlake.llm import conversation_trie, embedding_dedup, exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity, vector_codes
 from contactlake.llm.common import read
 from contactlake.llm.oracles import ORACLES  # noqa: F401
 
@@ -87,3 +87,8 @@ def op10_suffix_array_dedup(spark, sf_dir):
 @query
 def op11_vector_codes(spark, sf_dir):
     return vector_codes.compress(read(spark, sf_dir, "embeddings")).drop("n_tried")
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie.rebuilt_trie(read(spark, sf_dir, "conversations")).drop("key")
