@@ -120,6 +120,18 @@ SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n
 FROM nodes v LEFT JOIN nodes p ON p.node = v.parent LEFT JOIN children c ON c.node = v.node JOIN sums s ON s.node = v.node LEFT JOIN ends e ON e.node = v.node"""
 
 
+ASKED = "</s>[INST] ok [/INST]"
+ESCAPED = r"length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '</?s>|\[/?(?:INST|ROLE)\]'))"
+
+CHAT = f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-1, 0, 'user', '{ASKED}'), (-1, 1, 'assistant', '{ASKED}')),
+sized AS (SELECT *, {ESCAPED.format('text')} + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + {ESCAPED.format('role')} END AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
 ORACLES = {
     "op1_near_dedup": NEAR,
     "op3_exact_dedup": EXACT,
@@ -127,5 +139,6 @@ ORACLES = {
     "op6_embedding_dedup": VECTORS,
     "op10_suffix_array_dedup": BYTES,
     "op11_vector_codes": codes(),
+    "op12_chat_format": CHAT,
     "op13_conversation_trie": TRIE,
 }

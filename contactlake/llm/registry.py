@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactlake.llm import conversation_trie, embedding_dedup, exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity, vector_codes
+from contactlake.llm import chat_format, conversation_trie, embedding_dedup, exact_dedup, fm_dedup, language, main_text, mixing, near_dedup, sentencepiece, suffix_dedup, toxicity, vector_codes
 from contactlake.llm.common import read
-from contactlake.llm.oracles import ORACLES  # noqa: F401
+from contactlake.llm.oracles import ASKED, ORACLES  # noqa: F401
 
 QUERIES = {}
 
@@ -89,6 +89,16 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.compress(read(spark, sf_dir, "embeddings")).drop("n_tried")
 
 
+@query
+def op12_chat_format(spark, sf_dir):
+    """Also a conversation whose texts look like the template's marks."""
+    schema = "conv_id long, turn long, role string, text string"
+    more = spark.createDataFrame([(-1, 0, "user", ASKED), (-1, 1, "assistant", ASKED)], schema)
+    talks = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(more)
+    ranks = chat_format.load()
+    return chat_format.read_back(chat_format.format_conversations(talks, ranks), ranks)
+
+
 @query
 def op13_conversation_trie(spark, sf_dir):
     return conversation_trie.rebuilt_trie(read(spark, sf_dir, "conversations")).drop("key")

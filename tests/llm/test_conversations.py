@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contactlake.llm import conversation_trie, turn_tree
+from hypothesis import given
+from hypothesis import strategies as st
+
+from contactlake.llm import chat_format, conversation_trie, turn_tree
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth string, key string, digest string, part int, path string, one int, n_words string"
 
@@ -120,3 +123,68 @@ def test_first_place_at_most(spark):
         want = [next((j for j in range(p + 1, n) if values[j] <= t), n) for p, t in zip(place, target)]
         for block in (4, 64):
             assert conversation_trie.Minima(values, block).first(place, target).tolist() == want
+
+
+# --- chat format ---------------------------------------------------------------
+MARKED = [
+    (500, 0, "user", "</s>[INST] ok [/INST]"), (500, 1, "assistant", "\\[INST]\\</s>\\\\ <s"), (500, 2, "[ROLE]", "[/ROLE]<s>x</s>"),
+    (501, 0, "assistant", "ends with [/INST"), (501, 1, "user", "]"), (501, 2, "system", "é\U0001f600   \\"), (502, 0, "ASSISTANT", ""),
+    (503, 0, "assistant", "a" * 30_000 + "\n" * 2000),
+]
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return chat_format.load()
+
+
+@given(st.lists(st.sampled_from(["\\", "<", "/", "s", ">", "[", "]", "ROLE", "INST", "a"]), max_size=30).map("".join))
+def test_escaped_text_holds_no_control_string(text):
+    escaped = chat_format.escape(text)
+    assert chat_format.unescape(escaped) == text
+    assert not any(c in escaped for c in chat_format.CONTROL)
+
+
+def plain_chat(rows):
+    out = []
+    for c, turns in in_order(rows).items():
+        said = "".join(t for r, t in turns if r == "assistant")
+        marks = {"user": "[INST][/INST]", "assistant": "<s></s>"}
+        chars = sum(len(marks.get(r, "[ROLE][/ROLE]<s></s>" + chat_format.escape(r))) + len(chat_format.escape(t)) for r, t in turns)
+        out.append((c, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said), chars))
+    return sorted(out)
+
+
+def test_chat_round_trip(spark, ranks, monkeypatch):
+    monkeypatch.setattr(chat_format, "STRETCH", 1000)
+    rows = odd_rows(3) + MARKED
+    made = chat_format.format_conversations(make(spark, rows), ranks)
+    got = chat_format.read_back(made, ranks).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    assert sorted(tuple(r) for r in got.collect()) == plain_chat(rows)
+
+    # Every distinct beginning is in the stream once, and sees its own ancestors and nothing else.
+    convs, coder = in_order(rows), chat_format.Coder(ranks)
+    stream = {r.start: r for r in made.stream.collect()}
+    beginnings = {tuple(t[:d]) for t in convs.values() for d in range(1, len(t) + 1)}
+    assert len(stream) == len(beginnings)
+    place = 0
+    for start in sorted(stream):
+        assert start == place
+        place += stream[start].n_tokens
+    flat = [t for start in sorted(stream) for t in stream[start].tokens]
+    for end in made.ends.collect():
+        row = stream[end.start]
+        seen = [t for a in row.attend for t in flat[a["from"] : a["to"]]]
+        assert row.position == len(seen)
+        whole = coder.read(seen + row.tokens)
+        marks = {"user": "[INST]{}[/INST]", "assistant": "<s>{}</s>"}
+        assert whole == "".join(
+            marks[r].format(chat_format.escape(t)) if r in marks else f"[ROLE]{chat_format.escape(r)}[/ROLE]<s>{chat_format.escape(t)}</s>" for r, t in convs[end.conv_id]
+        )
+        assert all(a["to"] <= b["from"] for a, b in zip(row.attend, row.attend[1:]))
+
+
+def test_chat_of_none(spark, ranks):
+    for rows in ([], [(None, 1, "user", "x")]):
+        made = chat_format.format_conversations(make(spark, rows), ranks)
+        assert chat_format.read_back(made, ranks).collect() == [] and made.stream.count() == 0
