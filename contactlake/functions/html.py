@@ -1,10 +1,12 @@
 """HTML as columns: one tokenising pattern, then array expressions over the tokens.
 
 The pattern only uses possessive and lazy quantifiers that Java runs in a loop,
-so long pages neither overflow the stack nor backtrack. An unclosed comment,
-script or style element reaches to the end of the page. So does a tag that is never
-closed: it is one token, which is markup and holds no attribute, and nothing behind it
-is tried again as the start of a tag.
+so long pages neither overflow the stack nor backtrack. A tag is a name and a list of
+attributes: a quote only opens a value behind "=", so stray quotes in names and unquoted
+values are harmless, and a value whose quote never closes is read as if it had none. An
+unclosed comment, script or style element reaches to the end of the page. So does a tag
+without ">": it is one token, which is markup and holds no attribute, and nothing
+behind it is tried again as the start of a tag.
 """
 
 from __future__ import annotations
@@ -17,24 +19,31 @@ from pyspark.sql import functions as F
 from contactlake.functions.text import bind, collapse_spaces, strip
 from contactlake.lookups import named_entities
 
-_INSIDE_TAG = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+# attribute by attribute: a quote opens a value only behind "="; elsewhere, and where it never
+# closes, it is a character like any other
+_ATTRIBUTE_LIST = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+"
+_NAME_ENDS = r"(?![^\s/>])"
 _ENTITY = r"&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);?"
-# what follows the name of a tag that never closes, because its ">" or a quote is missing
-_CUT_TAG = r"(?:[\"'].*+)?+\z"
+
+
+def _element(name: str) -> str:
+    """An element from its start tag to its end tag or the end of the page."""
+    return rf"<{name}{_NAME_ENDS}{_ATTRIBUTE_LIST}(?:>.*?(?:</{name}\s*>|\z)|\z)"
+
+
 TOKEN_PATTERN = (
     r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<script\b{_INSIDE_TAG}(?:>.*?(?:</script\s*>|\z)|{_CUT_TAG})"
-    rf"|<style\b{_INSIDE_TAG}(?:>.*?(?:</style\s*>|\z)|{_CUT_TAG})"
-    rf"|</?[a-z!?]{_INSIDE_TAG}(?:>|{_CUT_TAG})"
+    rf"|{_element('script')}|{_element('style')}"
+    rf"|</?[a-z][^\s/>]*+{_ATTRIBUTE_LIST}(?:>|\z)"
+    r"|<[!?][^>]*+(?:>|\z)"
     rf"|{_ENTITY}"
     r"|[^<&]++|[<&]"
 )
-_RAW_ELEMENT = rf"(?is)^<(?:script|style)\b{_INSIDE_TAG}>(.*?)(?:</(?:script|style)\s*>)?\z"
-_REMOVED_ELEMENTS = "(?is)" + "|".join(
-    rf"<{name}\b{_INSIDE_TAG}(?:>.*?(?:</{name}\s*>|\z)|{_CUT_TAG})" for name in ("script", "style", "noscript")
-)
+_RAW_ELEMENT = rf"(?is)^<(?:script|style){_NAME_ENDS}{_ATTRIBUTE_LIST}>(.*?)(?:</(?:script|style)\s*>)?\z"
+_REMOVED_ELEMENTS = "(?is)" + "|".join(_element(name) for name in ("script", "style", "noscript"))
 # tags that can carry a contact or a link; a tag that never closes carries nothing
-MARKUP_PATTERN = r"(?is)^<(?:(?:a|meta|link)[\s/]|[a-z].*?data-(?:email|phone)).*>"
+MARKUP_PATTERN = r"(?is)^<(?:(?:a|meta|link)[\s/]|[a-z].*?data-(?:email|phone)).*>\z"
 
 
 def html_tokens(html: Column) -> Column:
@@ -79,7 +88,7 @@ def tokens_text(tokens: Column, block_separator: str = "") -> Column:
     """
 
     def piece(token: Column) -> Column:
-        raw_element = token.rlike(r"(?i)^<(?:script|style)\b")
+        raw_element = token.rlike(rf"(?i)^<(?:script|style){_NAME_ENDS}")
         markup = token.rlike(r"^<[A-Za-z/!?]")
         return (
             F.when(~token.rlike("^[<&]"), token)
@@ -103,9 +112,8 @@ _ATTRIBUTES = ("href", "rel", "content", "name", "property", "http-equiv", "data
 def _attribute_pattern(name: str) -> str:
     """Reads attribute by attribute from the tag name on, so a name that only occurs
     inside another attribute's value is not taken."""
-    value = r"""("[^"]*+"|'[^']*+'|[^\s>"']++)"""
-    other = rf"(?!{name}\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+{value.replace('(', '(?:', 1)})?+"
-    return rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++|{other})*+{name}\s*+=\s*+{value}"
+    other = rf"(?!{name}\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
+    return rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++|{other})*+{name}\s*+=\s*+({_VALUE})"
 
 
 def _attribute_text(raw: Column) -> Column:

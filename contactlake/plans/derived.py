@@ -1,7 +1,7 @@
 """Inputs derived from the given tables, as SQL that Spark and DuckDB both run.
 
 ``shop_pages`` makes one page per customer: eight country domains, every attribute
-a contact can sit in, decoys, and a tree of links per site. ``raw_contacts`` makes
+a contact can sit in, stray quotes, decoys, and a tree of links per site. ``raw_contacts`` makes
 one row per order with phone, e-mail and link texts of many shapes. Both grow
 with the tables they come from.
 """
@@ -17,6 +17,11 @@ SELECT k AS page_id,
        || '<script>var m="js' || CAST(k AS STRING) || '@mail.ru";</script></head><body><!-- no' || CAST(k AS STRING) || '@mail.ru -->'
        || '<a href="/c/' || CAST(i * 2 + 1 AS STRING) || '?ref=x">l</a> <a href="' || CAST(i * 2 + 2 AS STRING) || '#top">r</a>'
        || '<a href="https://other.example.net/x">out</a> '
+       || CASE k % 6 WHEN 0 THEN '<div class=o' || chr(39) || 'neil data-size=5"><p>at q' || CAST(k AS STRING) || '@oneil.org </p></div>'
+                     WHEN 1 THEN '<p title=it' || chr(39) || 's "draft" lang = en>its' || CAST(k AS STRING) || '@' || seg || '.net </p>'
+                     WHEN 2 THEN '<a href=/q"' || CAST(i AS STRING) || '>q</a> '
+                     WHEN 3 THEN '<img alt=' || chr(39) || '5" > 4"' || chr(39) || 'class=a/> '
+                     ELSE '' END
        || CASE k % 4 WHEN 0 THEN '<a href="mailto:Info' || CAST(k AS STRING) || '@Shop.' || tld || '?subject=hi">m</a> '
                      WHEN 1 THEN '<p data-email="sales@test.com">x</p> '
                      WHEN 2 THEN '<p>Mail u' || CAST(k AS STRING) || '&#64;' || seg || '.org now</p> '

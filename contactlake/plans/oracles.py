@@ -30,13 +30,14 @@ def values(rows) -> str:
 
 
 # --- HTML --------------------------------------------------------------------
-INSIDE = r"""(?:[^"'>]|"[^"]*"|'[^']*')*"""
+# "=" opens a quoted value or stands before an unquoted one; any other quote is a plain character.
+INSIDE = r"""(?:[^=>]|=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s"'>=])*(?:=\s*)?"""
 ENTITY = r"&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);?"
 TOKEN = text(
     r"<!--.*?(?:-->|\z)"
-    rf"|<script\b{INSIDE}>.*?(?:</script\s*>|\z)"
-    rf"|<style\b{INSIDE}>.*?(?:</style\s*>|\z)"
-    rf"|</?[a-z!?]{INSIDE}>|</?[a-z!?].*\z|{ENTITY}|[^<&]+|[<&]"
+    rf"|<script(?:[\s/]{INSIDE})?>.*?(?:</script\s*>|\z)"
+    rf"|<style(?:[\s/]{INSIDE})?>.*?(?:</style\s*>|\z)"
+    rf"|</?[a-z]{INSIDE}>|<[!?][^>]*>|</?[a-z!?][^>]*\z|{ENTITY}|[^<&]+|[<&]"
 )
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -73,7 +74,7 @@ page_text AS (
 
 
 def attr(name: str) -> str:
-    value = f"""regexp_extract(tag, {text(rf'''[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)''')}, 1, 'is')"""
+    value = f"""regexp_extract(tag, {text(rf'''[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)''')}, 1, 'is')"""
     return f"""regexp_replace({value}, '^["''](.*)["'']$', '\\1', 's')"""
 
 

@@ -6,6 +6,8 @@ import time
 from html.parser import HTMLParser
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from contactlake import Settings, lookups
@@ -182,3 +184,93 @@ def test_tags_that_never_close_take_linear_time(spark, piece):
 def test_cut_tag_is_markup_without_attributes(spark):
     emails_found, phones_found = contacts(spark, '<p>x</p><a href="mailto:a@b-c.org"')[:2]
     assert emails_found == [] and phones_found == []
+
+
+# --- stray quotes --------------------------------------------------------------
+STRAY = {
+    "<div class=o'neil><p>mail x@shop.org</p></div>": "mail x@shop.org",
+    "<p>first f@shop.org</p><p title=it's>mail x@shop.org</p>..": "first f@shop.orgmail x@shop.org..",
+    '<a href=/x"><p>mail x@shop.org</p>': "mail x@shop.org",
+    '<p "quoted name">a</p>': "a",
+    "<p it's='a > b'>c</p>": "c",
+    "<p a=b\"c title='x > y'>d</p>": "d",
+    '<p a="x"b="y > z"c>e</p>': "e",
+    '<p a = "x > y" = >f</p>': "f",
+    '<p ="x">g</p>': "g",
+    '<p ="x > y">h</p>': 'y">h',
+    '<a href="/never closed><p>i j@shop.org</p>': "i j@shop.org",
+    "<p class=>k</p>": "k",
+    "<!DOCTYPE html PUBLIC \"it's\"><p>l</p><?php echo \"x' ?>m": "lm",
+    "<script src=o'neil>n</script>o": "no",
+    "<style a='>'>p</style>q": "pq",
+    "<scripts>r</scripts>": "r",
+    "1 </ 2 <3": "1 </ 2 <3",
+}
+
+
+def test_stray_quotes_do_not_hide_text(spark):
+    frame = spark.createDataFrame([(k,) for k in STRAY], "h string")
+    assert {r.h: r.t for r in frame.select("h", html.html_text(F.col("h")).alias("t")).collect()} == STRAY
+
+
+def test_stray_quotes_do_not_hide_contacts(spark):
+    page = "<p>first f@shop.org </p><div class=o'neil data-email=x@shop.org><a title=it's href=mailto:y@shop.org>m</a> <a href=/z\"x>z</a></div>"
+    emails_found, _, links = contacts(spark, page)
+    assert emails_found == ["f@shop.org", "x@shop.org", "y@shop.org"] and links == ['/z"x']
+
+
+def plain_tags(page):
+    """``(start tag names and attributes, text)`` by walking the page character by character."""
+    space, tags, out, i = " \t\n\r\f\x0b", [], [], 0
+    while i < len(page):
+        closing = page[i : i + 2] == "</"
+        at = i + 1 + closing
+        if page[i] != "<" or not page[at : at + 1].isalpha():
+            out.append(page[i])
+            i += 1
+            continue
+        j = at
+        while j < len(page) and page[j] not in space + "/>":
+            j += 1
+        name, attributes = page[at:j].lower(), {}
+        while j < len(page) and page[j] != ">":
+            if page[j] in space + "/":
+                j += 1
+                continue
+            k = j + 1
+            while k < len(page) and page[k] not in space + "/>=":
+                k += 1
+            key, j, value = page[j:k].lower(), k, None
+            while k < len(page) and page[k] in space:
+                k += 1
+            if page[k : k + 1] == "=":
+                k += 1
+                while k < len(page) and page[k] in space:
+                    k += 1
+                j = k
+                if page[k : k + 1] in ('"', "'") and page[k : k + 1]:
+                    end = page.find(page[k], k + 1)
+                    if end >= 0:
+                        value, j = page[k + 1 : end], end + 1
+                else:
+                    while j < len(page) and page[j] not in space + ">":
+                        j += 1
+                    value = page[k:j] or None
+            if value is not None:
+                attributes.setdefault(key, value)
+        if j < len(page) and not closing:
+            tags.append((name, attributes))
+        i = j + 1
+    return tags, "".join(out)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["<a", "<p", "</p", " ", ">", "/", "=", '"', "'", "href", " href=", "x", "y@z.org"]), max_size=25).map("".join), min_size=40, max_size=40))
+def test_tags_against_a_plain_walk(spark, pages):
+    tags = html.markup_tags(html.html_tokens(F.col("h")))
+    frame = spark.createDataFrame([(p,) for p in pages], "h string")
+    rows = frame.select("h", html.html_text(F.col("h")).alias("t"), html.raw_hrefs(tags).alias("hrefs")).collect()
+    for row in rows:
+        found, plain = plain_tags(row.h)
+        assert row.t == re.sub(r"\s+", " ", plain).strip(" "), row.h
+        assert row.hrefs == [a["href"] for name, a in found if name == "a" and a.get("href")], row.h
