@@ -17,6 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -34,6 +36,7 @@ CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]"]
 TEXT_START, TEXT_END, ASKED, ASKED_END, ROLE, ROLE_END = range(len(CONTROL))
 #: Longer texts are encoded in stretches of this many characters.
 STRETCH = 1 << 20
+ROWS_AT_ONCE = 64
 
 _BREAK = re.compile(r"\\|<(?=/?s>)|\[(?=/?(?:INST|ROLE)\])")
 _SEGMENT = re.compile(r"(?s)\[INST\](.*)\[/INST\]|(?:\[ROLE\](.*?)\[/ROLE\])?<s>(.*)</s>")
@@ -90,6 +93,24 @@ class Coder:
         return b"".join([*out, self.own.decode_bytes(held)]).decode("utf-8", "surrogateescape")
 
 
+_coders: dict[str, Coder] = {}
+
+
+def coder_of(name: str, ranks) -> Coder:
+    """The coder of broadcast ``ranks``, made once in a worker process."""
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = Coder(ranks.value)
+    return _coders[name]
+
+
+def few_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: texts and tokens take far more room as Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)
+
+
 def turn_of(formatted: str) -> tuple[str, str]:
     """Role and text of one formatted turn."""
     asked, role, said = _SEGMENT.fullmatch(formatted).groups()
@@ -108,10 +129,11 @@ def segments(nodes: DataFrame, turns: DataFrame, ranks: dict[bytes, int]) -> Dat
     texts = turns.select("conv_id", "digest", "role", "text").dropDuplicates(["conv_id", "digest"])
     rows = match(nodes.select("key", "conv_id", "digest"), texts, ["conv_id", "digest"]).select("key", "role", "text")
     shared = nodes.sparkSession.sparkContext.broadcast(ranks)
+    name = uuid.uuid4().hex
 
     def run(batches):
-        coder = Coder(shared.value)
-        for batch in batches:
+        coder = coder_of(name, shared)
+        for batch in few_rows(batches):
             made = [coder.segment(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_pydict({
                 "key": batch.column("key"), "tokens": pa.array([m[0] for m in made], pa.list_(pa.int32())),
@@ -195,21 +217,22 @@ def read_back(formatted: Formatted, ranks: dict[bytes, int]) -> DataFrame:
     own = F.array(F.struct(F.col("run_start").alias("from"), (F.col("start") + F.col("n_tokens")).alias("to")))
     seen = last.select(F.col("start").alias("end"), F.explode(F.concat(earlier, own)).alias("seen"))
     seen = seen.select("end", F.struct(F.col("seen.from").alias("run")).alias("run"), F.col("seen.to").alias("to"))
+    # The narrow side stands on the right: a join holds the rows of one key of that side.
     rows = stream.select(F.struct(F.col("run_start").alias("run")).alias("run"), "start", "tokens", "loss_from", "loss_to")
-    rows = seen.join(rows, "run").filter("start < to").select("end", "start", "tokens", "loss_from", "loss_to")
+    rows = rows.join(seen, "run").filter("start < to").select("end", "start", "tokens", "loss_from", "loss_to")
     rows = rows.repartition(n, "end").sortWithinPartitions("end", "start")
-    shared = spark.sparkContext.broadcast(ranks)
+    shared, name = spark.sparkContext.broadcast(ranks), uuid.uuid4().hex
     names = ["end", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
-        coder, end, state = Coder(shared.value), None, None
+        coder, end, state = coder_of(name, shared), None, None
 
         def finished():
             n_turns, turns, loss_chars, loss, chars = state
             return dict(zip(names, (end, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)))
 
         schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])))
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for row in batch.to_pylist():
                 if row["end"] != end:
