@@ -7,17 +7,15 @@ pass, and the walk runs on the small edge table that comes out of it.
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake.functions import urls
 from contactlake.functions.text import unfold
+from contactlake.operators.run_tables import RunTables
 from contactlake.settings import Settings
-from contactlake.sources.pages import ensure_checkpoint_dir
-
-# levels after which the visited set is written afresh instead of growing as a union
-COMPACT_EVERY = 8
 
 
 def page_key(url):
@@ -91,21 +89,6 @@ def seed_states(seeds: DataFrame) -> DataFrame:
     )
 
 
-def co_located(rows: DataFrame, key: str) -> DataFrame:
-    """Rows partitioned and sorted by a key once, for joins on it in every round.
-
-    A checkpoint keeps its partitioning known to later plans only when adaptive
-    execution did not pick it at run time, so that is off for this one write.
-    """
-    conf = rows.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return rows.repartition(key).sortWithinPartitions(key).checkpoint()
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
-
-
 def within_budget(found: DataFrame, max_pages: int) -> DataFrame:
     """The first URLs (in order) of each seed's new level that its budget still allows.
 
@@ -120,51 +103,135 @@ def within_budget(found: DataFrame, max_pages: int) -> DataFrame:
     return allowed.withColumn("used", F.col("used") + F.count("*").over(seed)).drop("_rank")
 
 
-def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int | None = Settings().max_pages) -> DataFrame:
+def steps_from(level: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges that a level follows, with the level's other columns: ``seed_url, dst_url, ...``.
+
+    The edges of the level's distinct pages are picked where they lie. Only these few are
+    joined with the level, where adaptive execution can split a page that many seeds reach.
+    """
+    wanted = level.select(F.col("url").alias("src_url")).distinct()
+    followed = edges.join(wanted, "src_url", "left_semi")
+    sources = level.withColumnRenamed("url", "src_url").withColumn("domain", urls.netloc_of(F.col("seed_url")))
+    return sources.join(followed, "src_url").filter(urls.netloc_in_domain(F.col("host"), F.col("domain")))
+
+
+def new_in_level(level: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
+    """``seed_url, url, used`` of the pages that a level leads to and no seed has visited.
+
+    ``visited`` in buckets of seed and URL is read where it lies; only the found pages move.
+    """
+    found = steps_from(level, edges).groupBy("seed_url", F.col("dst_url").alias("url")).agg(F.max("used").alias("used"))
+    return found.join(visited.select("seed_url", "url"), ["seed_url", "url"], "left_anti")
+
+
+def closer_pages(step: DataFrame, hops: DataFrame, best: DataFrame) -> DataFrame:
+    """``seed_url, url, depth`` of the pages that a step reaches at a smaller depth than known so far."""
+    found = steps_from(step, hops).groupBy("seed_url", F.col("dst_url").alias("url")).agg(F.min(F.col("depth") + F.col("length")).alias("depth"))
+    known = best.groupBy("seed_url", "url").agg(F.min("depth").alias("known"))
+    closer = found.join(known, ["seed_url", "url"], "left").filter("known is null or depth < known")
+    return closer.drop("known")
+
+
+class Chains(NamedTuple):
+    hops: DataFrame  # src_url, dst_url, host, length: edges, and whole chains as one
+    members: DataFrame | None  # head_url, url, offset: pages of a chain and their distance from its head
+    rounds: int
+
+
+def contract_chains(edges: DataFrame, starts: DataFrame, run: RunTables) -> Chains:
+    """Runs of pages with one link in and one link out become one hop.
+
+    A page belongs to a chain when its only link comes from a page of its own host, it has one
+    link itself, and no seed starts there: whoever visits the page before it visits it, too. Each page learns
+    the distance to the first page of its chain by doubling, in as many rounds as the length has
+    binary digits. Circles that nothing leads into have no first page and are left out.
+    """
+    own = edges.groupBy("src_url").agg(F.count("*").alias("n_out"), F.min("dst_url").alias("next_url"), F.min("host").alias("next_host"))
+    into = edges.groupBy("dst_url").agg(F.count("*").alias("n_in"), F.min("src_url").alias("up_url"), F.min("host").alias("host"))
+    inner = into.filter((F.col("n_in") == 1) & (F.col("host") == urls.netloc_of(F.col("up_url")))).withColumnRenamed("dst_url", "url")
+    inner = inner.join(own.filter("n_out = 1").withColumnRenamed("src_url", "url"), "url").join(starts, "url", "left_anti")
+    inner = run.save(inner.select("url", "up_url", "next_url", "next_host"), "chain_pages")
+    n_inner = inner.count()
+    if not n_inner:
+        return Chains(edges.withColumn("length", F.lit(1)), None, 0)
+    inside = inner.select(F.col("url").alias("up_url"), F.lit(True).alias("inside"))
+    jumps = inner.join(inside, "up_url", "left").select(
+        "url",
+        F.when(F.col("inside"), F.col("up_url")).otherwise(F.col("url")).alias("to_url"),
+        F.when(F.col("inside"), 1).otherwise(0).cast("bigint").alias("offset"),
+        F.col("inside").isNull().alias("done"),
+    )
+    jumps, rounds = run.save(jumps, "jumps_0"), 0
+    while 2**rounds <= n_inner and not jumps.filter(~F.col("done")).isEmpty():
+        ahead = jumps.select(F.col("url").alias("to_url"), F.col("to_url").alias("next_to"), F.col("offset").alias("more"), F.col("done").alias("ends"))
+        moved = jumps.filter(~F.col("done")).join(ahead, "to_url")
+        moved = moved.select("url", F.col("next_to").alias("to_url"), (F.col("offset") + F.col("more")).alias("offset"), F.col("ends").alias("done"))
+        rounds += 1
+        jumps = run.save(jumps.filter("done").unionByName(moved), f"jumps_{rounds}")
+    first = inner.select(F.col("url").alias("to_url"), F.col("up_url").alias("head_url"))
+    members = jumps.filter("done").join(first, "to_url").select("head_url", "url", (F.col("offset") + 1).alias("offset"))
+    members = run.save(members, "chains")
+    inside = inner.select(F.col("url").alias("dst_url"))
+    last = inner.join(inside.withColumnRenamed("dst_url", "next_url"), "next_url", "left_anti")
+    whole = members.join(last, "url").select(
+        F.col("head_url").alias("src_url"), F.col("next_url").alias("dst_url"), F.col("next_host").alias("host"), (F.col("offset") + 1).cast("int").alias("length")
+    )
+    plain = edges.join(inside, "dst_url", "left_anti").join(inside.withColumnRenamed("dst_url", "src_url"), "src_url", "left_anti")
+    hops = plain.select("src_url", "dst_url", "host", F.lit(1).alias("length")).unionByName(whole)
+    return Chains(run.save_bucketed(hops, "hops", "src_url"), members, rounds)
+
+
+class Walk(NamedTuple):
+    visited: DataFrame  # seed_url, url, depth
+    rounds: int
+
+
+def walk(seeds: DataFrame, edges: DataFrame, max_pages: int | None, run: RunTables) -> Walk:
+    """The walk behind ``reachable_pages`` and how many rounds it took, those for chains included."""
+    edges = edges_on_sites(edges, seeds).filter("src_url <> dst_url")
+    edges = run.save_bucketed(edges, "edges", "src_url")
+    states = seed_states(seeds)
+    key = ["seed_url", "url"]
+    if max_pages is None:
+        chains = contract_chains(edges, states.select("url").distinct(), run)
+        first = states.select(*key, F.lit(0).cast("bigint").alias("depth"), F.lit(0).alias("step"))
+        run.append(first.repartition(run.n_buckets, *key), "reached", "step", *key)
+        for step in itertools.count(1):
+            reached = run.table("reached")
+            found = closer_pages(reached.filter(F.col("step") == step - 1).drop("step"), chains.hops, reached)
+            if not run.append(found.withColumn("step", F.lit(step)), "reached", "step", *key):
+                break
+        visited = run.table("reached").groupBy(*key).agg(F.min("depth").alias("depth"))
+        if chains.members is not None:
+            heads = visited.withColumnRenamed("url", "head_url")
+            inner = heads.join(chains.members, "head_url").select(*key, (F.col("depth") + F.col("offset")).alias("depth"))
+            visited = run.save(visited.unionByName(inner), "visited")
+        return Walk(visited, chains.rounds + step)
+    first = states.select(*key, F.lit(1).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("depth"))
+    run.append(first.repartition(run.n_buckets, *key), "visited", "depth", *key)
+    for depth in itertools.count(1):
+        visited = run.table("visited")
+        level = visited.filter((F.col("depth") == depth - 1) & (F.col("used") < max_pages)).drop("depth")
+        found = within_budget(new_in_level(level, edges, visited), max_pages).withColumn("depth", F.lit(depth).cast("bigint"))
+        if not run.append(found.repartition(run.n_buckets, *key), "visited", "depth", *key):
+            return Walk(run.table("visited").select(*key, "depth"), depth)
+
+
+def reachable_pages(seeds: DataFrame, edges: DataFrame, max_pages: int | None = Settings().max_pages, run: RunTables | None = None) -> DataFrame:
     """``(seed_url, url, depth)`` of the pages visited from each seed, breadth first.
 
-    All seeds advance together, one level per round, until no seed finds a new page. Each
+    All seeds advance together, one round per level, until no seed finds a new page. Each
     URL is visited once per seed; a URL without a page counts as visited. With a budget,
     URLs of a level are taken in order until ``max_pages`` are used up, and a seed that has
-    used them is not followed any further; with None the whole site is visited.
-
-    Edges that lead to no seed's domain are dropped first. The others are partitioned and
-    sorted by source once. A round first picks the edges of the level's distinct pages,
-    without moving the others, and then joins those few with the level, where adaptive
-    execution may split a page that many seeds reach. Repeats are combined before the
-    shuffle by seed and URL. Every level is checkpointed: that cuts the lineage and survives
-    the loss of an executor. Only whether a level has rows comes to the driver.
+    used them is not followed any further. With None the whole site is visited; chains of
+    pages are then one step of a round, so that a deep site takes few.
+
+    Edges that lead to no seed's domain are dropped first; the others lie in buckets of their
+    source, the visited pages in buckets of seed and URL. A round reads both where they lie, moves
+    what it found and adds it to the visited table of ``run``. Only the number of
+    new pages comes to the driver. The tables stay until ``run.drop()``.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = co_located(edges_on_sites(edges, seeds), "src_url")
-    level = (
-        seed_states(seeds)
-        .select("seed_url", "url", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("used"))
-        .checkpoint()
-    )
-    visited = level.select("seed_url", "url", "depth")
-    for depth in itertools.count(1):
-        live = level if max_pages is None else level.filter(F.col("used") < max_pages)
-        wanted = live.select(F.col("url").alias("src_url")).distinct()
-        followed = edges.join(wanted, "src_url", "left_semi")
-        sources = live.select(
-            "seed_url", F.col("url").alias("src_url"), urls.netloc_of(F.col("seed_url")).alias("domain"), "used"
-        )
-        found = (
-            sources.join(followed, "src_url")
-            .filter(urls.netloc_in_domain(F.col("host"), F.col("domain")))
-            .groupBy("seed_url", F.col("dst_url").alias("url"))
-            .agg(F.max("used").alias("used"))
-            .join(visited.select("seed_url", "url"), ["seed_url", "url"], "left_anti")
-        )
-        if max_pages is not None:
-            found = within_budget(found, max_pages)
-        level = found.select("seed_url", "url", F.lit(depth).alias("depth"), "used").checkpoint()
-        if level.isEmpty():
-            return visited
-        visited = visited.unionByName(level.select("seed_url", "url", "depth"))
-        if depth % COMPACT_EVERY == 0:
-            visited = visited.checkpoint()
+    return walk(seeds, edges, max_pages, run or RunTables(edges.sparkSession)).visited
 
 
 def unvisited_links(targets: DataFrame, visited: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake.functions import emails, phones
 from contactlake.functions.text import named_struct, strip, unfold
+from contactlake.operators.run_tables import RunTables
 
 
 def contact_rows(contacts: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,22 +48,40 @@ def validation_funnel(checked: DataFrame) -> DataFrame:
     )
 
 
+def site_values(visited_contacts: DataFrame) -> DataFrame:
+    """Distinct ``(seed_url, kind, value)`` that pass the result-level checks, in their final form."""
+    distinct = visited_contacts.select("seed_url", "kind", "value").distinct()
+    value = F.col("value")
+    is_email = F.col("kind") == "email"
+    kept = distinct.filter((is_email & emails.site_email_ok(value)) | (~is_email & phones.site_phone_ok(value)))
+    return kept.withColumn("value", F.when(is_email, emails.normalize_email(value)).otherwise(strip(value))).distinct()
+
+
+def contact_parts(visited_contacts: DataFrame, run: RunTables, values_a_part: int) -> DataFrame:
+    """Sorted distinct contacts in rows of a bounded size: ``seed_url, kind, part, values``.
+
+    Values are put in order across partitions. Each partition numbers its own; what earlier
+    partitions hold of a site and kind is added, which concerns one site a partition at most.
+    """
+    site = ["seed_url", "kind"]
+    ordered = site_values(visited_contacts).repartitionByRange(run.n_buckets, *site, "value")
+    rows = run.save(ordered.withColumn("piece", F.spark_partition_id()), "site_values")
+    pieces = Window.partitionBy(*site).orderBy("piece")
+    sizes = rows.groupBy(*site, "piece").agg(F.count("*").alias("n"))
+    before = sizes.select(*site, "piece", F.row_number().over(pieces).alias("nth"), (F.sum("n").over(pieces) - F.col("n")).alias("before"))
+    before = F.broadcast(before.filter("nth > 1").drop("nth"))
+    place = F.row_number().over(Window.partitionBy("piece", *site).orderBy("value")) + F.coalesce("before", F.lit(0)) - 1
+    rows = rows.join(before, [*site, "piece"], "left").withColumn("part", F.floor(place / values_a_part))
+    return rows.groupBy(*site, "part").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
 def site_results(visited_contacts: DataFrame, seeds: DataFrame) -> DataFrame:
     """One row per seed: sorted distinct contacts over its visited pages.
 
-    ``visited_contacts`` is flat ``(seed_url, kind, value)``. A walk visits at most
-    ``max_pages`` pages per seed, which bounds the arrays. Repeats are dropped
-    before the grouping. Result-level checks follow, as a last filter.
+    ``visited_contacts`` is flat ``(seed_url, kind, value)`` of a walk with a page budget, which
+    bounds the arrays; for whole sites there is ``contact_parts``.
     """
-    distinct = visited_contacts.select("seed_url", "kind", "value").distinct()
-    value = F.col("value")
-    kept = distinct.filter(
-        ((F.col("kind") == "email") & emails.site_email_ok(value))
-        | ((F.col("kind") == "phone") & phones.site_phone_ok(value))
-    ).withColumn(
-        "value",
-        F.when(F.col("kind") == "email", emails.normalize_email(value)).otherwise(strip(value)),
-    )
+    kept = site_values(visited_contacts)
     grouped = kept.groupBy("seed_url").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "email", F.col("value")))).alias("emails"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "phone", F.col("value")))).alias("phones"),

@@ -403,11 +403,23 @@ levels AS (SELECT seed_url, url, min(depth) AS depth FROM steps GROUP BY seed_ur
 
 
 WALK = f"RECURSIVE {VALID}, {EDGES}, {walk(None)}"
+BUDGET_WALK = f"RECURSIVE {VALID}, {EDGES}, {walk(50)}"
 WHOLE_WALK = f"RECURSIVE {STRICT}, {LINKS}, {EDGES}, {walk(None)}"
 SITE_VALID = """kept_pages AS (SELECT url, min(page_id) AS page_id FROM keyed GROUP BY url),
 site_valid AS (SELECT v.seed_url, c.kind, c.value FROM visited v JOIN kept_pages k ON k.url = v.url
                JOIN valid c ON c.page_id = k.page_id)"""
 
+
+def site_states(limit: int | None) -> str:
+    """``states(seed_url, status, visited, results, limit_reached)`` of the distinct seeds."""
+    return f"""states AS (
+  SELECT seed_url, coalesce(n, 0) AS visited, coalesce(have, 0) AS results, {f'coalesce(n, 0) >= {limit}' if limit else 'false'} AS limit_reached,
+         CASE WHEN {part('seed_url', 1)} = '' OR {netloc('seed_url')} = '' THEN 'not_a_url' WHEN coalesce(have, 0) = 0 THEN 'no_page'
+              WHEN seed_url NOT IN (SELECT seed_url FROM site_valid) THEN 'no_contacts' ELSE 'ok' END AS status
+  FROM (SELECT DISTINCT seed_url FROM seed_lines)
+  LEFT JOIN (SELECT seed_url, count(*) AS n, count(k.url) AS have FROM visited LEFT JOIN kept_pages k USING (url) GROUP BY seed_url) USING (seed_url))"""
+
+
 PAGE_RESULTS = f"""{VALID},
 results AS (
   SELECT page_id, CASE WHEN page_id % 21 = 1 THEN 'no-domain' ELSE url END AS url,
@@ -708,20 +720,30 @@ ORACLES: dict[str, str] = {
                   count(*) >= 50 AS limit_reached, max(depth) AS depth FROM visited GROUP BY seed_url""",
     ),
     "site_contacts": with_(
-        f"{WALK}, {SITE_VALID}",
-        f"""SELECT seed_url, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones
-            FROM (SELECT DISTINCT seed_url FROM seed_lines)
+        f"{BUDGET_WALK}, {SITE_VALID}, {site_states(50)}",
+        f"""SELECT seed_url, status, limit_reached, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones
+            FROM states
             LEFT JOIN {listed('email', 'site_valid', 'seed_url')} USING (seed_url)
             LEFT JOIN {listed('phone', 'site_valid', 'seed_url')} USING (seed_url)""",
     ),
     "batch_contacts": with_(
-        f"{WALK}, {SITE_VALID}",
-        f"""SELECT seq, seed_url AS url, seed_url IN (SELECT v.seed_url FROM visited v JOIN kept_pages USING (url)) AS success,
-                   coalesce(emails, '') AS emails, coalesce(phones, '') AS phones FROM seed_lines
+        f"{BUDGET_WALK}, {SITE_VALID}, {site_states(50)}",
+        f"""SELECT seq, seed_url AS url, results > 0 AS success, status,
+                   coalesce(emails, '') AS emails, coalesce(phones, '') AS phones FROM seed_lines JOIN states USING (seed_url)
             LEFT JOIN {listed('email', 'site_valid', 'seed_url')} USING (seed_url)
             LEFT JOIN {listed('phone', 'site_valid', 'seed_url')} USING (seed_url)
             ORDER BY seq""",
     ),
+    "site_contact_parts": with_(
+        f"{WALK}, {SITE_VALID}",
+        """SELECT seed_url, kind, part, count(*) AS n_values, string_agg(value, '|' ORDER BY value) AS values
+           FROM (SELECT *, (row_number() OVER (PARTITION BY seed_url, kind ORDER BY value) - 1) // 50 AS part
+                 FROM (SELECT DISTINCT seed_url, kind, value FROM site_valid)) GROUP BY seed_url, kind, part""",
+    ),
+    "batch_status": with_(
+        f"{WALK}, {SITE_VALID}, {site_states(None)}",
+        "SELECT seq, seed_url AS url, results > 0 AS success, status, visited, results, limit_reached FROM seed_lines JOIN states USING (seed_url)",
+    ),
     # stream
     "contacts_from_stream": with_(
         VALID.replace(SHOP, "SELECT page_id, url, html FROM pages"),

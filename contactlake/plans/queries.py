@@ -103,8 +103,7 @@ def generated_at() -> Column:
 
 def work_folder(spark, name: str) -> str:
     """A new folder below the checkpoint folder, which all executors share."""
-    page_source.ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{page_source.checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -599,14 +598,27 @@ def crawl_progress(spark, sf):
 
 @query
 def site_contacts(spark, sf):
-    found = sites.site_contacts(all_pages(spark, sf), seeds(spark, sf), WHOLE_SITE)
-    return found.select("seed_url", joined("emails").alias("emails"), joined("phones").alias("phones"))
+    found = sites.site_contacts(all_pages(spark, sf), seeds(spark, sf))
+    return found.select("seed_url", "status", "limit_reached", joined("emails").alias("emails"), joined("phones").alias("phones"))
 
 
 @query
 def batch_contacts(spark, sf):
-    found = sites.batch_contacts(all_pages(spark, sf), seeds(spark, sf), WHOLE_SITE)
-    return found.select("seq", "url", "success", joined("emails").alias("emails"), joined("phones").alias("phones"))
+    found = sites.batch_contacts(all_pages(spark, sf), seeds(spark, sf))
+    return found.select("seq", "url", "success", "status", joined("emails").alias("emails"), joined("phones").alias("phones"))
+
+
+@query
+def site_contact_parts(spark, sf):
+    """Whole sites, in rows of at most 50 values."""
+    parts = sites.site_contact_parts(walk(spark, sf, WHOLE_SITE), 50)
+    return parts.select("seed_url", "kind", "part", F.size("values").cast("bigint").alias("n_values"), joined("values").alias("values"))
+
+
+@query
+def batch_status(spark, sf):
+    """Whole sites, a row for every input line."""
+    return sites.batch_status(walk(spark, sf, WHOLE_SITE), seeds(spark, sf), WHOLE_SITE).withColumnRenamed("seed_url", "url")
 
 
 # --- stream ------------------------------------------------------------------

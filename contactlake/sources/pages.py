@@ -71,16 +71,14 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return seeds
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; in local mode fall back to one of our own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder in ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="contactlake-")
-    context.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from contactlake.operators import extract, graph
+from contactlake.operators import extract, graph, reports
+from contactlake.operators.run_tables import RunTables
 from contactlake.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -47,12 +48,48 @@ def test_link_targets_are_narrow(spark):
     assert "Exchange" not in plan(graph.link_targets(extract.page_contacts(scan(spark))))
 
 
-def test_edges_stay_where_they_are(spark):
-    graph.ensure_checkpoint_dir(spark)
-    edges = graph.co_located(spark.range(1000).select(F.col("id").cast("string").alias("src_url"), F.lit("x").alias("dst_url")), "src_url")
-    level = spark.range(10).select(F.col("id").cast("string").alias("src_url")).hint("merge").distinct()
-    joined = edges.join(level.hint("merge"), "src_url", "left_semi")
-    text = plan(joined)
-    side = text[text.index("SortMergeJoin"):]
-    assert side.count("Exchange hashpartitioning") == 1
-    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def above(text: str, table: str) -> list[str]:
+    """Operators from the top of a plan down to the scan of a table."""
+    lines = [line for line in text.split("\n") if line.strip()]
+    at = next(i for i, line in enumerate(lines) if f".{table}[" in line)
+    found, width = [], len(lines[at])
+    for line in reversed(lines[: at + 1]):
+        indent = len(line) - len(line.lstrip(" :+-*"))
+        if indent < width:
+            found.append(line)
+            width = indent
+    return found
+
+
+def test_a_round_moves_neither_visited_pages_nor_edges(spark, no_broadcast):
+    with RunTables(spark) as run:
+        row = spark.range(1000).select(F.concat(F.lit("https://s"), F.col("id") % 3, F.lit(".ru")).alias("seed_url"), F.concat(F.lit("https://s.ru/"), "id").alias("url"))
+        key = ["seed_url", "url"]
+        rows = row.withColumns({"used": F.lit(1).cast("bigint"), "depth": F.lit(0).cast("bigint"), "step": F.lit(0)}).repartition(run.n_buckets, *key)
+        assert run.append(rows, "visited", "step", *key) == 1000
+        edges = row.select(F.col("url").alias("src_url"), F.concat("url", F.lit("/x")).alias("dst_url"), F.lit("s.ru").alias("host"), F.lit(1).alias("length"))
+        edges = run.save_bucketed(edges, "edges", "src_url")
+        visited = run.table("visited")
+        for found in (
+            graph.closer_pages(row.withColumn("depth", F.lit(0).cast("bigint")), edges, visited),
+            graph.new_in_level(row.withColumn("used", F.lit(1)), edges, visited),
+        ):
+            path = above(plan(found), "visited")
+            assert any("Join" in line for line in path) and not any("Exchange" in line for line in path)
+            path = above(plan(found), "edges")
+            assert not any("Exchange" in line for line in path[: next(i for i, line in enumerate(path) if "LeftSemi" in line)])
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_parts_of_sites_need_no_array_of_a_site(spark, no_broadcast):
+    with RunTables(spark) as run:
+        rows = spark.range(10).select(F.lit("s").alias("seed_url"), F.lit("email").alias("kind"), F.lit("a@b.cd").alias("value"))
+        text = plan(reports.contact_parts(rows, run, 100))
+        assert "collect_set" not in text and "keys=[seed_url" in text

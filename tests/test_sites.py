@@ -2,12 +2,15 @@
 
 import datetime
 import json
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from contactlake import Settings
 from contactlake.operators import dedup, graph, reports, sites
+from contactlake.operators.run_tables import RunTables
 from contactlake.sources import pages as page_source
 from contactlake.sources import sinks
 from contactlake.streaming.contacts import contacts_stream, new_contacts_stream
@@ -67,6 +70,100 @@ def test_whole_site_of_a_deep_chain(spark):
     assert sorted(r.depth for r in visited.collect()) == list(range(61))
 
 
+def edge_table(spark, pairs):
+    return spark.createDataFrame([(f"https://c.ru/{a}", f"https://c.ru/{b}") for a, b in pairs], "src_url string, dst_url string")
+
+
+def plain_depths(pairs, start):
+    nearest, level, out = {start: 0}, [start], {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    while level:
+        level = sorted({b for a in level for b in out.get(a, []) if b not in nearest} - set(nearest))
+        nearest.update({b: nearest[next(a for a in nearest if b in out.get(a, []))] + 1 for b in level})
+    return nearest
+
+
+def test_five_thousand_pages_in_a_row_take_few_rounds(spark):
+    pairs = [(i, i + 1) for i in range(5000)] + [(i, i) for i in range(0, 5000, 7)]
+    with RunTables(spark) as run:
+        walk = graph.walk(seeds(spark, "https://c.ru/0", "https://c.ru/2500"), edge_table(spark, pairs), None, run)
+        depths = {(r.seed_url, r.url): r.depth for r in walk.visited.collect()}
+    assert walk.rounds < 20
+    want = {("https://c.ru/0", f"https://c.ru/{i}"): i for i in range(5001)}
+    want |= {("https://c.ru/2500", f"https://c.ru/{i}"): i - 2500 for i in range(2500, 5001)}
+    assert depths == want
+
+
+@pytest.mark.parametrize("case", range(6))
+def test_chains_in_graphs_against_a_plain_walk(spark, case):
+    r = random.Random(case)
+    pairs, n = [], 0
+    knots = list(range(12))
+    for _ in range(25):  # knots joined by chains of all lengths, loops and chains that end included
+        a, b, length = r.choice(knots), r.choice(knots), r.choice([0, 0, 1, 2, 5, 9])
+        inner = [f"x{n + i}" for i in range(length)]
+        n += length
+        row = [f"k{a}", *inner] + ([f"k{b}"] if r.random() < 0.8 else [])
+        pairs += list(zip(row, row[1:]))
+    pairs += [("o0", "o1"), ("o1", "o2"), ("o2", "o0"), ("p0", "p0")]  # circles that nothing leads into
+    starts = ["k0", "k5", "x3", "o1"]
+    with RunTables(spark) as run:
+        walk = graph.walk(seeds(spark, *[f"https://c.ru/{s}" for s in starts]), edge_table(spark, pairs + pairs[:5]), None, run)
+        got = {(r.seed_url, r.url, r.depth) for r in walk.visited.collect()}
+    want = {(f"https://c.ru/{s}", f"https://c.ru/{u}", d) for s in starts for u, d in plain_depths(pairs, s).items()}
+    assert got == want
+
+
+def test_chains_across_hosts_keep_to_the_sites(spark):
+    rows = [("https://a.ru/1", "https://x.a.ru/1"), ("https://x.a.ru/1", "https://x.a.ru/2"), ("https://x.a.ru/2", "https://a.ru/2"), ("https://a.ru/2", "https://a.ru/3")]
+    edges = spark.createDataFrame(rows, "src_url string, dst_url string")
+    with RunTables(spark) as run:
+        walk = graph.walk(seeds(spark, "https://a.ru/1", "https://x.a.ru/1"), edges, None, run)
+        got = {(r.seed_url, r.url, r.depth) for r in walk.visited.collect()}
+    a, x = "https://a.ru/1", "https://x.a.ru/1"
+    assert got == {(a, a, 0), (a, x, 1), (a, "https://x.a.ru/2", 2), (a, "https://a.ru/2", 3), (a, "https://a.ru/3", 4), (x, x, 0), (x, "https://x.a.ru/2", 1)}
+
+
+def test_a_site_with_a_million_contacts(spark):
+    with RunTables(spark) as run:
+        number = F.lpad(F.col("id").cast("string"), 7, "0")
+        rows = spark.range(1_000_000).select(F.lit("https://hot.ru").alias("seed_url"), F.lit("email").alias("kind"), F.concat(F.lit("u"), number, F.lit("@hot.ru")).alias("value"))
+        small = spark.createDataFrame([("https://b.ru", "phone", "+79991234567"), ("https://b.ru", "phone", "+79991234567 "), ("https://b.ru", "email", "A@b.ru"), ("https://b.ru", "email", "bad")], rows.schema)
+        parts = run.save(reports.contact_parts(rows.union(rows.limit(1000)).union(small), run, 1000), "parts")
+        hot = parts.filter("seed_url = 'https://hot.ru'")
+        assert hot.agg(F.count("*"), F.sum(F.size("values")), F.max(F.size("values")), F.max("part")).first() == (1000, 1_000_000, 1000, 999)
+        assert hot.filter("part = 17").first()["values"] == [f"u{i:07d}@hot.ru" for i in range(17_000, 18_000)]
+        assert sorted((r.kind, r.part, r["values"]) for r in parts.filter("seed_url = 'https://b.ru'").collect()) == [
+            ("email", 0, ["a@b.ru"]), ("phone", 0, ["+79991234567"])
+        ]
+
+
+def test_whole_sites_come_in_parts_only(spark, pages):
+    with pytest.raises(ValueError, match="site_contact_parts"):
+        sites.site_contacts(pages, seeds(spark, "https://example.com"), Settings(max_pages=None))
+
+
+def test_status_of_sites(spark):
+    rows = [(1, "https://a.ru/", '<p>x@mail.ru </p><a href="/b">b</a>'), (2, "https://b.ru/", "<p>nothing</p>"), (3, "https://a.ru/b", "")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    lines = seeds(spark, "https://a.ru", "https://b.ru", "https://c.ru", "no url", "https://a.ru")
+    whole = Settings(max_pages=None)
+    with RunTables(spark) as run:
+        rows = sites.batch_status(sites.walk_sites(table, lines, whole, run), lines, whole).orderBy("seq").collect()
+    assert [(r.success, r.status, r.visited, r.results) for r in rows] == [
+        (True, "ok", 2, 2), (True, "no_contacts", 1, 1), (False, "no_page", 1, 0), (False, "not_a_url", 0, 0), (True, "ok", 2, 2)
+    ]
+
+
+def test_tables_of_a_run_go_with_it(spark, pages):
+    with RunTables(spark) as run:
+        assert sites.site_contacts(pages, seeds(spark, "https://example.com"), SIMPLE, run).count() == 1
+        folder = Path(run.folder.removeprefix("file:"))
+        assert any(folder.iterdir())
+    assert not folder.exists() and run.name not in [d.name for d in spark.catalog.listDatabases()]
+
+
 def test_pages_without_ids(spark, pages):
     found = sites.site_contacts(pages.drop("page_id"), seeds(spark, "https://example.com"), Settings(max_pages=2))
     assert found.first().limit_reached is True
