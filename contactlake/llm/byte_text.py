@@ -37,18 +37,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = np.ones(4096, np.uint64)
-np.multiply.accumulate(np.full(4095, BASE, np.uint64), out=_POWERS[1:])
+def blanks(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ALL = np.uint64(2**64 - 1)
+
+
+def _sub_keys(key: int) -> list[np.uint64]:
+    return [mixed(np.array([(key + i * int(BASE)) % 2**64], np.uint64))[0] for i in range(3)]
 
 
-def words(data: np.ndarray, ends: np.ndarray, lower: bool = False):
+def words(data: np.ndarray, ends: np.ndarray, lower: bool = False, key: int = 0):
     """``hash, text number, start, end`` of the words between white-space bytes.
 
-    The hash is a polynomial over the word's bytes; long words take their powers by squaring.
+    A word is hashed in lanes of eight bytes: each is mixed with the key and its place, then the
+    lanes are summed and mixed with the length. Who does not know the key, which is drawn anew for every
+    run, cannot write down words with equal hashes.
     """
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    blank = blanks(data)
     inside = np.concatenate([[False], ~blank, [False]])
     edge = np.zeros(len(data) + 1, bool)
     edge[ends] = True
@@ -58,30 +67,28 @@ def words(data: np.ndarray, ends: np.ndarray, lower: bool = False):
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, empty
     size = stop - start
-    if lower:
-        data = _LOWER[data]
-    # A byte's power is counted from the start of its word.
-    owner_start = np.zeros(len(data), np.int64)
-    owner_start[start] = start
-    place = np.arange(len(data)) - np.maximum.accumulate(owner_start)
-    if int(size.max()) < len(_POWERS):
-        power = _POWERS[np.minimum(place, len(_POWERS) - 1)]
-    else:
-        table = np.ones(int(size.max()), np.uint64)
-        np.multiply.accumulate(np.full(len(table) - 1, BASE, np.uint64), out=table[1:])
-        power = table[np.minimum(place, len(table) - 1)]
-    value = (data.astype(np.uint64) + np.uint64(1)) * power
-    value[blank] = 0
-    h = mixed(np.add.reduceat(value, start))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = _LOWER[data] if lower else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    n_lanes = (size + 7) >> 3
+    first = np.cumsum(n_lanes) - n_lanes
+    word = np.repeat(np.arange(len(start)), n_lanes)
+    nth = np.arange(len(word)) - first[word]
+    left = np.minimum(size[word] - 8 * nth, 8).astype(np.uint64)
+    lanes = eight[start[word] + 8 * nth] & (_ALL >> (np.uint64(64) - np.uint64(8) * left))
+    with_key, with_place, with_size = _sub_keys(key)
+    lanes = mixed((lanes ^ with_key) + (nth.astype(np.uint64) + np.uint64(1)) * (with_place | np.uint64(1)))
+    h = mixed(np.add.reduceat(lanes, first) ^ (size.astype(np.uint64) * BASE + with_size))
     return h, np.searchsorted(ends, start, "right") - 1, start, stop
 
 
-def grams(values: np.ndarray, size: int) -> np.ndarray:
+def grams(values: np.ndarray, size: int, key: int = 0) -> np.ndarray:
     """Hash of each run of ``size`` values, put together from runs of powers of two."""
     n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, done, block, width, power = None, 0, values, 1, BASE
+    base = np.uint64((int(BASE) + 2 * int(_sub_keys(key)[0])) % 2**64)
+    out, done, block, width, power = None, 0, values, 1, base
     while True:
         if size & width:
             out = block if out is None else out[: len(block) - done] * power + block[done:]

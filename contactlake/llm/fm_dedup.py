@@ -26,7 +26,7 @@ WINDOW_WORDS = 20
 STRETCHES = (20, 5, 1)
 #: Units of the patterns whose intervals are kept.
 KEPT_UNITS = 16
-UNIT = repeats.Unit("words", byte_text.words, WINDOW_WORDS, 5, 25_000)
+UNIT = repeats.Unit("words", repeats.word_units, repeats.word_border, WINDOW_WORDS, 5, 25_000, 8192)
 
 
 class WaveletMatrix:

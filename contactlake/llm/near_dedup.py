@@ -1,6 +1,7 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-A document is the set of its word shingles, hashed by one function. Its sketch is the k
+A document is the set of its word shingles, hashed by one function under a key that is drawn for
+each run. Its sketch is the k
 smallest hashes. Documents with equal sets are one class and go on as one.
 
 Candidates. Each retained value has an inverted list of the classes that retain it. Two
@@ -25,6 +26,7 @@ links and never all pairs.
 from __future__ import annotations
 
 import math
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +59,18 @@ def min_shared(percent: int) -> int:
     return SKETCH
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, keep: int | None = SKETCH, also: list[str] = ()) -> DataFrame:
-    """``doc_id, n_shingles, print_a, print_b, shingles`` (sorted, the smallest ``keep``), and columns to pass on."""
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, keep: int | None = SKETCH, also: list[str] = (), key: int = 0) -> DataFrame:
+    """``doc_id, n_shingles, print_a, print_b, shingles`` (sorted, the smallest ``keep``), and columns to pass on.
+
+    Shingles are 64-bit hashes under ``key``.
+    """
     fields = [StructField(n, LongType()) for n in ("doc_id", "n_shingles", "print_a", "print_b")]
     fields = [*fields, StructField("shingles", ArrayType(LongType())), *(docs.schema[c] for c in also)]
 
     def run(batches):
         for batch in batches:
             for first, end, data, ends in byte_text.chunks(batch.column("text")):
-                h, owner, _, _ = byte_text.words(data, ends, lower=True)
+                h, owner, _, _ = byte_text.words(data, ends, True, key)
                 counts = np.bincount(owner, minlength=end - first)
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 sets = []
@@ -154,7 +159,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     linked with nothing. Other columns are not read; an empty table gives an empty result.
     """
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    sketches = save(shingle_sets(docs, shingle), "sketches")
+    secret = secrets.randbits(63)
+    sketches = save(shingle_sets(docs, shingle, key=secret), "sketches")
     whole = ["n_shingles", "print_a", "print_b"]
     one = sketches.groupBy("doc_id").agg(F.max(F.struct(*whole)).alias("best")).select("doc_id", "best.*")
     one = save(one, "documents")
@@ -200,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     wanted = wanted.join(classes.withColumnRenamed("first_id", "doc_id"), "doc_id").select(
         "doc_id", F.struct("places", *(F.col(c).alias(f"of_{c}") for c in whole)).alias("wanted")
     )
-    sets = shingle_sets(docs.join(wanted, "doc_id"), shingle, None, ["wanted"])
+    sets = shingle_sets(docs.join(wanted, "doc_id"), shingle, None, ["wanted"], secret)
     # Of rows that repeat an id, the one that counts.
     for c in whole:
         sets = sets.filter(F.col(c) == F.col(f"wanted.of_{c}"))

@@ -5,6 +5,7 @@ import itertools
 
 import numpy as np
 import pytest
+from conftest import prose
 from conftest_llm import lowered, words_of
 
 from contactlake.llm import byte_text, exact_dedup, fm_dedup, near_dedup, repeats, suffix_dedup
@@ -129,19 +130,58 @@ def without_repeats(rows, window, split, join):
     (fm_dedup.remove_repeated_words, 20, words_of, b" ".join),
     (suffix_dedup.remove_repeated_bytes, 100, lambda t: list((t or "").encode()), bytes),
 ])
-@pytest.mark.parametrize("anchors", [None, 40])
-def test_repeats(documents, corpus, operator, window, split, join, anchors, monkeypatch):
-    if anchors:
-        # Small shards: sources are split into parts and compared across them.
-        name = "fm_dedup" if window == 20 else "suffix_dedup"
-        module = {"fm_dedup": fm_dedup, "suffix_dedup": suffix_dedup}[name]
-        monkeypatch.setattr(module, "UNIT", module.UNIT._replace(shard_anchors=anchors, part_anchors=1))
-    rows = [*[(d, t) for d, t in corpus if d not in (400, 401)], (None, "x"), (600, " ".join(map(str, range(3000)))), (601, " ".join(map(str, range(1000, 4000))))]
+@pytest.mark.parametrize("sizes", [{}, {"shard_anchors": 40, "part_anchors": 1}, {"stretch": 700, "piece": 90, "part_anchors": 1}])
+def test_repeats(documents, corpus, operator, window, split, join, sizes, monkeypatch):
+    """Also in small shards, where sources are split into parts and compared across them, and in short stretches."""
+    module = fm_dedup if window == 20 else suffix_dedup
+    monkeypatch.setattr(module, "UNIT", module.UNIT._replace(**sizes))
+    rows = [*corpus, (None, "x"), (600, " ".join(map(str, range(3000)))), (601, " ".join(map(str, range(1000, 4000))))]
     got = [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in operator(documents(rows)).collect()]
     assert sorted(got) == sorted(without_repeats(rows, window, split, join))
     assert operator(documents([])).count() == 0
 
 
+def thue_morse():
+    """Two words whose polynomial hashes modulo 2^64 are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_made_to_collide_stay_apart(documents):
+    one, other = thue_morse()
+    rows = [(1, "same " * 19 + one), (2, "same " * 19 + other), (3, one), (4, other), (5, one)]
+    got = {r.doc_id: (r.n_removed, bytes(r.kept).decode()) for r in fm_dedup.remove_repeated_words(documents(rows)).collect()}
+    assert got[1][0] == 0 == got[2][0] and got[2][1] == rows[1][1]
+    groups = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(rows)).collect()}
+    assert groups[3] == 3 and groups[4] == 4 and groups[5] == 3
+
+
+def test_equal_hashes_are_told_apart():
+    values, others = np.array([7, 5, 7, 5, 9], np.uint64), np.array([1, 1, 2, 1, 1], np.uint64)
+    found = repeats.told_apart(values, others)
+    assert len({*found.tolist()}) == 4 and found[1] == found[3] and found[0] != found[2]
+    assert (repeats.told_apart(values, values) == values).all()
+
+
+@pytest.fixture
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("operator", [fm_dedup.remove_repeated_words, suffix_dedup.remove_repeated_bytes])
+@pytest.mark.parametrize("copies, mb", [(2, 8), (40, 0.5)])
+def test_copies_of_a_long_text(spark, many_partitions, operator, copies, mb):
+    """Copies go whole, and what is shuffled for them is in proportion to what they hold."""
+    text = prose(77, int(mb * 2**20 / 8))
+    rows = [(i, text if i else text + " end") for i in range(copies)] + [(900, "own " + prose(78, 50))]
+    got = {r.doc_id: (r.n_removed, len(r.kept)) for r in operator(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (0, len(rows[0][1].encode())) and got[900][0] == 0
+    assert all(got[i][1] == 0 for i in range(1, copies))
+
+
 def test_window_groups_are_exact():
     for seed in range(60):
         r = np.random.default_rng(seed)
