@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -346,8 +347,8 @@ def test_region_is_the_best_one(page_model):
     r = random.Random(6)
     for _ in range(40):
         page = "".join(r.choice(["<p>", "</p>", "one two", "<nav>", "x y z", "</nav>", "<b>", "</b>", "<footer>", "</footer>", "<div class='ad'>", "</div>"]) for _ in range(12))
-        parts = main_text.pieces(page)
-        scores = [main_text.score_of(p, page_model, {}) for p in parts]
+        parts = list(main_text.pieces(page))
+        scores = [main_text.score_of(p, page, page_model, {}) for p in parts]
         best = max([0, *(sum(scores[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1))])
         first, last = main_text.best_stretch(scores)
         assert sum(scores[first:last]) == pytest.approx(best)
@@ -382,7 +383,7 @@ def test_links_lists_and_tables_of_an_article(part, before, after):
         inside = open_ + "start " * before + close + part + open_ + "end " * after + close
         page = menus[: menus.index("<article>")] + f"<article>{inside}</article>" + menus[menus.index("</article>") + 10 :]
         got = main_text.extract(page, model).split()
-        want = [w for p in main_text.pieces(inside) if p.kind == "text" for w in p.text.split()]
+        want = [w for p in main_text.pieces(inside) if p.kind == "text" for w in inside[p.start : p.end].split()]
         assert got == want
 
 
@@ -398,3 +399,45 @@ def test_menu_in_the_frame_of_the_page_stays_outside():
         model = main_text.fit_pages([page.format(h=f"Title {i}", a="one two " * (i % 5 + 1), b="three four") for i in range(40)])
         got = main_text.extract(page.format(h="Head", a="plain text of the page", b="and its end " + LIST), model)
         assert got.split() == "Head plain text of the page more and its end item item item".split()
+
+
+@pytest.mark.parametrize("piece", ["<li>x", "<td>x", "<b>x", "<div class=a>x ", "<p>x</i>", "<tr><td>x", "<dd><b>x", "<li><ul><b>x", "</b>x", "<a href='"])
+def test_main_text_takes_linear_time(page_model, piece):
+    pages = [PAGE.format(h="", a="", b=piece * (n // len(piece))) for n in (250_000, 2_500_000)]
+    times = []
+    for page in pages:
+        start = time.perf_counter()
+        text = main_text.extract(page, page_model)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 25 * times[0] + 1 and times[1] < 60
+    if "x" in piece:
+        assert text.count("x") >= 2_500_000 // len(piece)
+
+
+def test_elements_end_where_the_next_one_starts():
+    page = "<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><th>g</table><dl><dt>h<dd>i<dt>j</dl><p>k<p>l<select><option>m<option>n</select>o"
+    depth = {page[p.start : p.end]: [e.key for e in p.element.chain()] if p.element else [] for p in main_text.pieces(page) if p.kind == "text"}
+    assert depth == {
+        "a": ["ul", "li"], "b": ["ul", "li"], "c": ["ul", "li", "ul", "li"], "d": ["ul", "li"], "e": ["table", "tr", "td"], "f": ["table", "tr", "td"],
+        "g": ["table", "tr", "th"], "h": ["dl", "dt"], "i": ["dl", "dd"], "j": ["dl", "dt"], "k": ["p"], "l": ["p"], "m": ["p", "select", "option"],
+        "n": ["p", "select", "option"], "o": ["p"],
+    }
+
+
+def test_class_words_and_headers_of_an_article(page_model):
+    article = (
+        '<header><h1>Own title</h1></header><p class="share-price">The share price rose.</p><div class="ad">buy</div><div class="comment-list">no</div>'
+        '<section class="login-trouble">Why logins fail.</section><p class="social share">tell all</p><footer>by me</footer>'
+    )
+    page = PAGE[: PAGE.index("<article>")].format() + f"<header>Site name</header><article>{article}</article></body>"
+    for model in (page_model, main_text.fit_pages([])):
+        assert main_text.extract(page, model) == "Own title\nThe share price rose.\nWhy logins fail."
+
+
+def test_pages_that_are_learned_from_are_bounded(spark):
+    page = PAGE.format(h="T", a="one two three", b="four")
+    big = PAGE.format(h="T", a="word " * 50_000, b="four")
+    deep = PAGE.format(h="T", a="<b>" * 500 + "x", b="four")
+    frame = spark.createDataFrame([(i, page) for i in range(30)] + [(100, big), (101, deep), (1, deep), (None, page)], "page_id long, html string")
+    assert main_text.fit(frame, max_bytes=40_000) == main_text.fit_pages([page])
+    assert main_text.fit(frame.limit(0)).tags == {}
