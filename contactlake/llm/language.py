@@ -16,7 +16,6 @@ nothing and reads every whole text.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
@@ -37,8 +36,7 @@ UNKNOWN = "und"
 #: Characters of texts whose presence table is made at once.
 TEXTS_AT_ONCE = 64
 
-_LETTER = re.compile(r"[^\W\d_]")
-_LETTER_SQL = r"[\p{L}\p{Nl}\p{No}]"
+_LETTER_SQL = r"\p{L}"
 
 
 class Model(NamedTuple):
@@ -47,6 +45,11 @@ class Model(NamedTuple):
     offset: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether a letter stands in it; digits, numerals such as ½ or Ⅷ and marks are none."""
+    return any(map(str.isalpha, text))
+
+
 def learned(doc_id) -> F.Column:
     """Whether this document may be learned from."""
     return F.crc32(doc_id.cast("string")) % 4 != 2
@@ -94,7 +97,7 @@ def sample(docs: DataFrame, max_texts: int) -> tuple[np.ndarray, list[str]]:
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = part.column("text").to_pylist()
                 bits = np.packbits(presence(texts).astype(np.uint8), axis=1)
-                good = [bool(_LETTER.search(t)) for t in texts]
+                good = [has_letter(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang"), part.column("draw"), part.column("doc_id"), pa.array([b.tobytes() if g else None for b, g in zip(bits, good)], pa.binary())],
                     names=["lang", "draw", "doc_id", "bits"],
@@ -167,7 +170,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                known = [bool(own.languages) and bool(_LETTER.search(t)) for t in texts]
+                known = [bool(own.languages) and has_letter(t) for t in texts]
                 names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if any(known):
                     rows = presence(texts)
