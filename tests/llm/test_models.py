@@ -145,6 +145,45 @@ def test_noisy_or_by_hand():
     assert toxicity.scored(None, model) == toxicity.scored(" \n.", model) == (0.0, [])
 
 
+def plain_objective(bias, weights, bags, marks, sizes, penalty):
+    total = {0: 0.0, 1: 0.0}
+    for bag, mark in zip(bags, marks):
+        clean = 1.0
+        for words in bag:
+            clean *= 1 - 1 / (1 + math.exp(-bias - sum(weights.get(w, 0) for w in words)))
+        total[mark] -= math.log(clean if mark == 0 else 1 - clean)
+    share = {y: sizes[y] / list(marks).count(y) for y in (0, 1)}
+    whole = sum(share[y] for y in marks)
+    return sum(total[y] * share[y] for y in (0, 1)) / whole + penalty * sum(map(abs, weights.values()))
+
+
+def test_training_ends_where_no_step_lowers_the_loss():
+    rows, labels = toxic_rows(150)
+    bags = [[set(t.lower().split()) for t in text.split(".") if t.strip()] for _, text in rows]
+    marks, sizes = np.array([y for _, _, y in labels]), {0: 900, 1: 100}
+    names = sorted({w for b in bags for s in b for w in s})
+    model = toxicity.descend(bags, marks, sizes, names, 3e-3)
+    found = plain_objective(model.bias, model.weights, bags, marks, sizes, 3e-3)
+    assert found < plain_objective(model.bias, {}, bags, marks, sizes, 3e-3)
+    assert toxicity.bag_loss(model, bags, marks, sizes) == pytest.approx(found - 3e-3 * sum(map(abs, model.weights.values())), abs=1e-9)
+    for step in (-0.1, 0.1):
+        assert plain_objective(model.bias + step, model.weights, bags, marks, sizes, 3e-3) > found - 2e-3
+        for name in names:
+            moved = model.weights | {name: model.weights.get(name, 0) + step}
+            assert plain_objective(model.bias, moved, bags, marks, sizes, 3e-3) > found - 5e-4
+
+
+def test_held_out_labels_of_the_given_tables(spark):
+    """About a fifth of the documents marked toxic hold none of the words that mark the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    held = docs.join(labels, "doc_id").filter(~toxicity.learned(F.col("doc_id"))).select("doc_id", "text", "toxic")
+    rows = toxicity.score(held, model).join(labels, "doc_id").collect()
+    caught = [r.score >= 0.5 for r in rows if r.toxic == 1]
+    false = [r.score >= 0.5 for r in rows if r.toxic == 0]
+    assert sum(caught) / len(caught) >= 0.75 and sum(false) / len(false) <= 0.01
+
+
 def test_toxicity_edges(documents, corpus, spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(documents(corpus), empty)
@@ -324,6 +363,49 @@ def test_language_edges(documents, corpus):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text, letter", [("½ ② Ⅷ", False), ("12_3", False), ("٣", False), ("ª", True), ("漢", True), ("ʰ", True), ("1a", True), ("́", False)])
+def test_what_counts_as_a_letter(spark, text, letter):
+    assert language.has_letter(text) is letter
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(F.col("t").rlike(language._LETTER_SQL)).first()[0] is letter
+
+
+def plain_ridge(bits, langs, n_marks):
+    """Kernel ridge regression on Nystroem features, written with whole matrices."""
+    names = sorted(set(langs))
+    rows = np.unpackbits(bits, axis=1).astype(float)
+    rows /= np.sqrt(rows.sum(1, keepdims=True))
+    kernel = rows @ rows.T
+    kind = np.array([names.index(x) for x in langs])
+    marks = np.concatenate([np.flatnonzero(kind == k)[:n_marks] for k in range(len(names))])
+    size, vectors = np.linalg.eigh(kernel[np.ix_(marks, marks)])
+    keep = size > 1e-6 * size[-1]
+    features = kernel[:, marks] @ (vectors[:, keep] / np.sqrt(size[keep]))
+    share = 1 / np.bincount(kind)[kind]
+    share /= share.sum()
+    target = np.eye(len(names))[kind]
+    x, y = features - share @ features, target - share @ target
+    beta = np.linalg.solve((x * share[:, None]).T @ x + language.RIDGE / len(bits) * np.eye(x.shape[1]), (x * share[:, None]).T @ y)
+    return names, x @ beta + share @ target
+
+
+def test_language_model_against_plain_kernel_ridge(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs, 40)
+    bits, langs = language.sample(docs, 40)
+    names, values = plain_ridge(bits, langs, language.LANDMARKS)
+    assert names == model.languages
+    rows = np.unpackbits(bits, axis=1).astype(np.float32)
+    found = rows @ model.weights / np.sqrt(rows.sum(1, keepdims=True)) + model.offset
+    assert np.abs(found - values).max() < 2e-3
+    texts = [(i, "word " * (i + 1) + "größe über straße") for i in range(5)]
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, text in texts:
+        row = language.presence([text])[0]
+        value = row @ model.weights / np.sqrt(row.sum()) + model.offset
+        assert got[i].lang_pred == names[value.argmax()] and got[i].score == pytest.approx(min(1, max(0, value.max())), abs=1e-5)
+
+
 # --- main text ---------------------------------------------------------------
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">home page of site</a>'
