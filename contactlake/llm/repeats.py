@@ -109,10 +109,7 @@ def window_keys(values: np.ndarray, owner: np.ndarray, unit: Unit) -> tuple[np.n
 
 
 def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
-    """``anchor, doc_id, seen``: the anchors of each document.
-
-    ``seen`` holds how often they stand in it (lower half) and the piece of the first place (upper half).
-    """
+    """``anchor, doc_id, n, piece``: the anchors of each document, how often they stand in it and the piece of the first place."""
     width = unit.window - unit.gram + 1
     pad = np.zeros(width - 1, np.uint64)
 
@@ -138,10 +135,10 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
                     new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))) if len(key) else np.zeros(0, np.int64)
                     count = np.diff(np.append(new, len(key)))
                     piece = (place[new] - np.searchsorted(owner, own[new]) + before) // unit.piece
-                    columns = [pa.array(key[new].view(np.int64)), pa.array(ids[first + own[new]]), pa.array(piece << 32 | count)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "seen"])
+                    columns = [pa.array(key[new].view(np.int64)), pa.array(ids[first + own[new]]), pa.array(count), pa.array(piece)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "n", "piece"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, seen long")
+    return docs.mapInArrow(run, "anchor long, doc_id long, n long, piece long")
 
 
 def runs_of(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -190,7 +187,8 @@ def runs_of(docs: DataFrame, unit: Unit) -> DataFrame:
     rows = rows.withColumns({"n_parts": n_parts, "home": home, "piece": F.shiftright("place", 32).cast("int")})
     rows = rows.withColumn("part", F.explode(F.when(own, F.sequence(F.lit(0), F.col("n_parts") - 1)).otherwise(F.array("home"))))
     role = F.when(~own, 0).when(F.col("part") == F.col("home"), 2).otherwise(1)
-    return rows.select("source", "piece", "part", (F.col("n_parts") > 1).alias("split"), role.alias("role"), "doc_id", "start", "body")
+    flags = role + F.when(F.col("n_parts") > 1, 4).otherwise(0)
+    return rows.select("source", "piece", "part", flags.alias("flags"), "doc_id", "start", "body")
 
 
 def window_groups(values: np.ndarray, ends: np.ndarray, window: int, key: np.ndarray | None = None, depth: int = 1):
@@ -243,12 +241,12 @@ def told_apart(values: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 def shard_results(table: pa.Table, unit: Unit, judge: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """``doc_id, start, end`` of what is removed; with hashes, windows to compare across parts."""
-    doc, start, role = (table.column(c).to_numpy() for c in ("doc_id", "start", "role"))
-    order = np.lexsort((-role, start, doc))
+    doc, start, flags = (table.column(c).to_numpy() for c in ("doc_id", "start", "flags"))
+    order = np.lexsort((-(flags & 3), start, doc))
     keep = np.append(True, (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1]))
     table = table.take(pa.array(order[keep]))
-    doc, start, role = (table.column(c).to_numpy() for c in ("doc_id", "start", "role"))
-    split = table.column("split").to_numpy(zero_copy_only=False)
+    doc, start, flags = (table.column(c).to_numpy() for c in ("doc_id", "start", "flags"))
+    role, split = flags & 3, flags >= 4
     bodies = table.column("body").to_pylist()
     data = np.frombuffer(b"".join(bodies), np.uint8)
     cuts = np.cumsum([0, *map(len, bodies)])
@@ -355,11 +353,12 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable, joined: bytes)
     spark = docs.sparkSession
     unit = unit._replace(key=secrets.randbits(62))
     found = anchors(docs, unit)
-    often, piece = F.col("seen").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("seen", 32)
-    counts = found.groupBy("anchor").agg(
-        F.min("doc_id").alias("source"), F.min_by(piece, "doc_id").alias("piece"), F.sum(often).alias("n"), F.count("*").alias("n_docs")
-    )
-    counts = save(counts.filter("n > 1"), "anchors")
+    counts = found.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.sum("n").alias("n"), F.count("*").alias("n_docs")).filter("n > 1")
+    # Only long documents have more than one piece. Partitioned by anchor as the counts are, they are not moved again.
+    long = anchors(docs.filter(F.octet_length("text") > unit.piece), unit).filter("piece > 0")
+    long = long.groupBy("anchor", F.col("doc_id").alias("of")).agg(F.min("piece").alias("piece")).withColumnRenamed("anchor", "name")
+    counts = counts.join(long, (F.col("anchor") == F.col("name")) & (F.col("source").bitwiseXOR(F.col("of")) == 0), "left")
+    counts = save(counts.select("anchor", "source", F.coalesce("piece", F.lit(0).cast("long")).alias("piece"), "n", "n_docs"), "anchors")
     total = counts.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // unit.shard_anchors))
     # Parts are small against a shard, so that shards come out even.

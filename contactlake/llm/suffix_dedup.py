@@ -18,7 +18,7 @@ from contactlake.llm import repeats
 
 WINDOW_BYTES = 100
 FIRST_BYTES = 8
-UNIT = repeats.Unit("bytes", repeats.byte_units, repeats.byte_border, WINDOW_BYTES, 32, 60_000, 65_536)
+UNIT = repeats.Unit("bytes", repeats.byte_units, repeats.byte_border, WINDOW_BYTES, 24, 60_000, 65_536)
 
 
 def judge(runs: repeats.Runs, window: int = WINDOW_BYTES):
