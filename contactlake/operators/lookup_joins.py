@@ -39,6 +39,24 @@ def with_country_code(table: DataFrame, digits: str) -> DataFrame:
     )
 
 
+def with_longest_prefix(table: DataFrame, digits: str, codes: DataFrame, code: str = "code") -> DataFrame:
+    """Add ``code``, the longest of ``codes`` that a number starts with (NULL for none).
+
+    ``codes`` is a table of one's own, where codes may be prefixes of each other. Only its
+    distinct lengths come to the driver. The table is joined once a length, longest first, and
+    what has found its code is not looked up again. Codes without text do not count.
+    """
+    known = codes.select(F.col(code).cast("string").alias("_code")).filter("_code <> ''").distinct()
+    lengths = sorted((r["n"] for r in known.select(F.length("_code").alias("n")).distinct().collect()), reverse=True)
+    result = table.withColumn("code", F.lit(None).cast("string"))
+    for n in lengths:
+        side = known.filter(F.length("_code") == n).withColumn("_head", F.col("_code"))
+        head = F.when(F.col("code").isNull() & (F.length(digits) >= n), F.substring(F.col(digits), 1, n))
+        result = result.withColumn("_head", head).join(side, "_head", "left")
+        result = result.withColumn("code", F.coalesce("code", "_code")).drop("_code", "_head")
+    return result.select(*table.columns, "code")
+
+
 def with_country_lengths(table: DataFrame, code: str = "code") -> DataFrame:
     """Add the allowed digit counts ``lengths`` of a calling code (NULL: default range)."""
     known = lookups.country_length_table(table.sparkSession).withColumnRenamed("code", code)

@@ -671,6 +671,38 @@ ORACLES: dict[str, str] = {
     ),
     "contact_dedup": with_(VALID, DEDUPED),
     "sorted_contacts": with_(VALID, DEDUPED + " ORDER BY site, kind, value"),
+    "longest_prefix": with_(
+        RAW_PHONES,
+        """SELECT r.k, r.digits, max_by(c.code, length(c.code)) AS code FROM raw_phones r
+           LEFT JOIN (SELECT DISTINCT left(digits, CAST(k % 5 + 1 AS INT)) AS code FROM raw_phones WHERE k % 7 = 0 AND digits <> '') c
+           ON starts_with(r.digits, c.code) GROUP BY r.k, r.digits""",
+    ),
+    "written_summary": with_(
+        PAGE_RESULTS,
+        """SELECT count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (success IS NOT TRUE) AS failed,
+                  CAST(coalesce(sum(len(emails)), 0) AS BIGINT) AS emails, CAST(coalesce(sum(len(phones)), 0) AS BIGINT) AS phones FROM results""",
+    ),
+    "decoded_pages": with_(
+        f"""pages_in AS ({SHOP}),
+texts AS (SELECT page_id, url, CASE page_id % 4
+  WHEN 1 THEN '<META http-equiv=content-type content="text/html; charset=Windows-1251">' || 'Привет, Ряким ' || CAST(page_id AS VARCHAR) || regexp_replace(html, '[^\\x00-\\x7F]', '', 'g')
+  WHEN 3 THEN 'Café Müller ' || CAST(page_id AS VARCHAR) || regexp_replace(html, '[^\\x00-\\x7F\\x{{A0}}-\\x{{FF}}]', '', 'g') ELSE html END AS text FROM pages_in)""",
+        """SELECT page_id, url, ['utf-8', 'windows-1251', 'utf-16le', 'windows-1252'][page_id % 4 + 1] AS charset, length(text) AS n_chars, md5(text) AS html_md5 FROM texts""",
+    ),
+    "redirected_links": with_(
+        f"{TOKENS}, {TAGS}, {LINKS}, link_rows AS (SELECT url AS base, trim(link) AS link FROM links), ".replace(
+            SHOP,
+            f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://moved.example.org/at/' || CAST(page_id AS VARCHAR) || '/x' ELSE url END AS url, html FROM ({SHOP})""",
+        )
+        + resolved("link_rows", "link", "base"),
+        f"SELECT DISTINCT base AS src_url, {NORMALIZED} AS dst_url FROM located WHERE {NORMALIZED} IS NOT NULL",
+    ),
+    "written_runs": with_(
+        PAGE_RESULTS,
+        f"""SELECT page_id, url, CASE page_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS run, status,
+                   CASE WHEN status = 'ok' THEN replace({netloc('url')}, '.', '_') ELSE 'none' END AS domain_slug
+            FROM (SELECT *, CASE WHEN NOT coalesce(success, false) THEN 'error' WHEN {netloc('url')} = '' THEN 'no_domain' ELSE 'ok' END AS status FROM results)""",
+    ),
     "validation_funnel": with_(
         f"{STRICT}, {PAGE_PHONES}",
         f"""SELECT kind, outcome, count(*) AS n FROM (
@@ -744,6 +776,7 @@ ORACLES: dict[str, str] = {
         f"{WALK}, {SITE_VALID}, {site_states(None)}",
         "SELECT seq, seed_url AS url, results > 0 AS success, status, visited, results, limit_reached FROM seed_lines JOIN states USING (seed_url)",
     ),
+    "walk_from_stream": with_(f"RECURSIVE {STRICT}, {LINKS}, {ALL_EDGES}, {walk(None)}", "SELECT seed_url, url, depth FROM visited"),
     # stream
     "contacts_from_stream": with_(
         VALID.replace(SHOP, "SELECT page_id, url, html FROM pages"),

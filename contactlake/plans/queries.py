@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from contactlake.functions import emails, html, phones, text, urls
 from contactlake.operators import dedup, extract, graph, lookup_joins, reports, sites
+from contactlake.operators.run_tables import RunTables
 from contactlake.plans import derived
 from contactlake.settings import Settings
 from contactlake.sources import pages as page_source
 from contactlake.sources import sinks
 from contactlake.streaming.contacts import contacts_stream, new_contacts_stream
+from contactlake.streaming.walk import ArrivingWalk
 
 SIMPLE = Settings(validate_emails=False, validate_phones=False)
 WHOLE_SITE = Settings(max_pages=None)
@@ -117,6 +119,41 @@ def pages_source(spark, sf):
     return web_pages(spark, sf).select("page_id", "url", F.octet_length("html").cast("bigint").alias("n_bytes"))
 
 
+def fetched_pages(spark, sf) -> DataFrame:
+    """Pages as bytes in UTF-8, windows-1251, UTF-16 and undeclared Latin text, with the text they hold."""
+    page, plain = F.col("page_id"), F.regexp_replace("html", "[^\\x00-\\x7F]", "")
+    # letters that windows-1251 and ISO-8859-1 write with the same bytes
+    cyrillic, same_bytes = "ПриветмкоРя", "".join(chr(b) for b in "ПриветмкоРя".encode("windows-1251"))
+    greeting = F.concat(F.lit("Привет, Ряким "), page.cast("string"))
+    russian = F.concat(F.lit('<META http-equiv=content-type content="text/html; charset=Windows-1251">'), greeting, plain)
+    latin = F.concat(F.lit("Café Müller "), page.cast("string"), F.regexp_replace("html", "[^\\x00-\\x7F\\xA0-\\xFF]", ""))
+    text = F.when(page % 4 == 0, F.col("html")).when(page % 4 == 1, russian).when(page % 4 == 2, F.col("html")).otherwise(latin)
+    rows = all_pages(spark, sf).select("page_id", "url", text.alias("text"))
+    body = (
+        F.when(page % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+        .when(page % 4 == 1, F.encode(F.translate("text", cyrillic, same_bytes), "ISO-8859-1"))
+        .when(page % 4 == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+        .otherwise(F.encode("text", "ISO-8859-1"))
+    )
+    kind = F.when(page % 4 == 0, "text/html; charset=koi8-r").when(page % 8 == 3, 'text/html; Charset="latin1"').otherwise("text/html; charset=x-unknown")
+    return rows.select("page_id", "url", body.alias("body"), kind.alias("content_type"))
+
+
+@query
+def decoded_pages(spark, sf):
+    pages = page_source.decoded_pages(fetched_pages(spark, sf))
+    return pages.select("page_id", "url", "charset", F.length("html").cast("bigint").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+@query
+def redirected_links(spark, sf):
+    """Links of pages that were fetched through redirects, resolved against where these ended."""
+    moved = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://moved.example.org/at/"), F.col("page_id").cast("string"), F.lit("/x")))
+    pages = all_pages(spark, sf).withColumn("final_url", moved.when(F.col("page_id") % 3 == 1, "  "))
+    pages = page_source.at_final_url(pages)
+    return graph.link_targets(extract.page_contacts(pages)).distinct()
+
+
 @query
 def admitted_pages(spark, sf):
     rows = all_pages(spark, sf).select(
@@ -185,6 +222,29 @@ def written_partitions(spark, sf):
     )
 
 
+@query
+def written_summary(spark, sf):
+    """The batch summary as the pass that writes the files counts it."""
+    rows = page_results(spark, sf).select("url", "success", "emails", "phones")
+    summary = sinks.write_json(rows, work_folder(spark, "counted"), generated_at=generated_at())
+    return spark.createDataFrame([summary], "total bigint, successful bigint, failed bigint, emails bigint, phones bigint")
+
+
+@query
+def written_runs(spark, sf):
+    """Two runs, of which one was written twice and the other lost its driver before it was complete."""
+    folder = work_folder(spark, "runs")
+    rows = page_results(spark, sf)
+    even, odd = rows.filter("page_id % 2 = 0"), rows.filter("page_id % 2 = 1")
+    sinks.write_run(even, folder, "even", generated_at())
+    lost = sinks.partition_columns(sinks.with_metadata(odd.filter("page_id % 3 = 0"), generated_at()))
+    lost = lost.withColumns({"run": F.lit("odd"), "attempt": F.lit("lost"), "bucket": F.lit(0)})
+    lost.write.mode("append").partitionBy("run", "attempt", "status", "bucket").parquet(f"{folder}/rows")
+    sinks.write_run(even, folder, "even", generated_at())
+    sinks.write_run(odd, folder, "odd", generated_at())
+    return sinks.read_runs(spark, folder).select("page_id", "url", "run", "status", "domain_slug")
+
+
 @query
 def result_partitions(spark, sf):
     return sinks.partition_columns(page_results(spark, sf)).select("page_id", "url", "status", "domain_slug")
@@ -520,6 +580,18 @@ def validation_funnel(spark, sf):
     return reports.validation_funnel(extract.checked_candidates(page_candidates(spark, sf)))
 
 
+def own_codes(spark, sf) -> DataFrame:
+    """Codes that are prefixes of each other, of one to five digits, taken from the numbers themselves."""
+    digits = raw_phones(spark, sf).filter("digits <> ''").select("k", "digits")
+    return digits.filter("k % 7 = 0").select(F.substring("digits", F.lit(1), (F.col("k") % 5 + 1).cast("int")).alias("code"))
+
+
+@query
+def longest_prefix(spark, sf):
+    rows = raw_phones(spark, sf).select("k", "digits")
+    return lookup_joins.with_longest_prefix(rows, "digits", own_codes(spark, sf))
+
+
 def lookup_joins_query(spark, sf):
     rows = raw_phones(spark, sf).select("k", "url", "digits")
     rows = lookup_joins.with_home_code(rows)
@@ -657,6 +729,20 @@ def new_contacts_from_stream(spark, sf):
     return streamed(spark, new_contacts_stream(stream, "seen_at", "7 days"), "new").select("site", "kind", "value")
 
 
+@query
+def walk_from_stream(spark, sf):
+    """Whole sites, walked while their pages arrive in several batches."""
+    folder = work_folder(spark, "arriving")
+    pages = all_pages(spark, sf).select("page_id", "url", "html")
+    for part in range(3):
+        pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(3)) == part).coalesce(4).write.mode("append").parquet(folder)
+    arriving = ArrivingWalk(seeds(spark, sf), RunTables(spark))
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 6).parquet(folder)
+    run = stream.writeStream.foreachBatch(arriving.add).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return arriving.visited()
+
+
 @query
 def page_status(spark, sf):
     """Pages of all kinds: with an error code, without HTML, with and without contacts."""

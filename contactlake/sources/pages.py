@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactlake.functions import charsets
 from contactlake.functions.text import strip
 
 MAX_PAGE_BYTES = 10 * 1024 * 1024
@@ -24,6 +24,22 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return pages
 
 
+def decoded_pages(fetched: DataFrame, body: str = "body") -> DataFrame:
+    """Pages as fetched (``url``, bytes in ``body``, maybe ``content_type``) with ``charset`` and ``html`` in place of the bytes.
+
+    Decoding is a column like any other, in the pass that parses the page. A null body gives null html.
+    """
+    kind = F.col("content_type") if "content_type" in fetched.columns else F.lit(None).cast("string")
+    rows = fetched.withColumn("charset", F.when(F.col(body).isNotNull(), charsets.charset_of(F.col(body), kind)))
+    return rows.withColumn("html", charsets.decoded(F.col(body), F.col("charset"))).drop(body)
+
+
+def at_final_url(pages: DataFrame) -> DataFrame:
+    """Pages under the URL that redirects ended at (``final_url``), the base of their links; ``requested_url`` keeps the other."""
+    rows = pages.withColumn("requested_url", F.col("url"))
+    return rows.withColumn("url", F.coalesce(F.nullif(strip(F.col("final_url")), F.lit("")), F.col("url"))).drop("final_url")
+
+
 def admission(pages: DataFrame, max_bytes: int = MAX_PAGE_BYTES) -> Column:
     """Whether a page is worth parsing: fetched without error, of an HTML type, not too large.
 

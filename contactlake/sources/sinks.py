@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from contactlake.functions.urls import domain_slug, netloc_of
 
@@ -25,10 +29,33 @@ def result_json(results: DataFrame, *columns: str) -> DataFrame:
     return results.withColumn("json", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
 
 
-def write_json(results: DataFrame, path: str, mode: str = "errorifexists", generated_at: Column | None = None) -> None:
-    """JSON lines with metadata, one file per task; absent values are written as null."""
-    rows = with_metadata(results, generated_at)
-    rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
+class Summary(NamedTuple):
+    """What a pass wrote."""
+
+    total: int
+    successful: int
+    failed: int
+    emails: int
+    phones: int
+
+
+def _counted(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """``results`` that count themselves while they are written."""
+    success = F.coalesce("success", F.lit(False))
+    size = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.size(c))), F.lit(0))
+    seen = Observation()
+    counts = [F.count(F.lit(1)), F.count_if(success), F.count_if(~success), size("emails"), size("phones")]
+    return results.observe(seen, *[c.alias(n) for c, n in zip(counts, Summary._fields)]), seen
+
+
+def write_json(results: DataFrame, path: str, mode: str = "errorifexists", generated_at: Column | None = None) -> Summary:
+    """JSON lines with metadata, one file per task; absent values are written as null.
+
+    The summary comes from the pass that writes: nothing is read or computed twice.
+    """
+    counted, seen = _counted(results)
+    with_metadata(counted, generated_at).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    return Summary(**{n: int(v) for n, v in seen.get.items()})
 
 
 def partition_columns(results: DataFrame) -> DataFrame:
@@ -53,3 +80,38 @@ def write_partitions(
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("domain_slug"), F.lit(buckets)).cast("int"))
     rows = rows.hint("rebalance", "status", "bucket").sortWithinPartitions("status", "bucket", "domain_slug")
     rows.write.mode(mode).partitionBy("status", "bucket").parquet(path)
+
+
+_RUN = "attempt string, total bigint, successful bigint, failed bigint, emails bigint, phones bigint, written_at timestamp, run string"
+
+
+def write_run(results: DataFrame, path: str, run: str, generated_at: Column | None = None, buckets: int = 16) -> Summary:
+    """Write the results of one run so that it counts once, however often it is written.
+
+    Rows go to a folder of this attempt; only when they are complete, the run's row in the
+    manifest names the attempt that counts, in place of an earlier one. A driver that is lost half-way leaves no
+    row, and readers (``read_runs``) see neither its rows nor those of attempts that were replaced.
+    """
+    attempt, spark = uuid.uuid4().hex, results.sparkSession
+    counted, seen = _counted(results)
+    rows = partition_columns(with_metadata(counted, generated_at)).withColumn("run", F.lit(run)).withColumn("attempt", F.lit(attempt))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("domain_slug"), F.lit(buckets)).cast("int"))
+    rows = rows.hint("rebalance", "status", "bucket").sortWithinPartitions("status", "bucket", "domain_slug")
+    rows.write.mode("append").partitionBy("run", "attempt", "status", "bucket").parquet(f"{path}/rows")
+    summary = Summary(**{n: int(v) for n, v in seen.get.items()})
+    manifest = spark.createDataFrame([(attempt, *summary, None, run)], _RUN).withColumn("written_at", F.current_timestamp())
+    manifest.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/runs")
+    return summary
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per complete run: its summary and the attempt that counts."""
+    return spark.read.schema(_RUN).parquet(f"{path}/runs")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the complete runs; folders of other attempts are not read."""
+    found = spark.read.parquet(f"{path}/rows")
+    names = StructType([StructField(f.name, StringType() if f.name in ("run", "attempt") else f.dataType) for f in found.schema])
+    rows = spark.read.schema(names).parquet(f"{path}/rows")
+    return rows.join(read_manifest(spark, path).select("run", "attempt"), ["run", "attempt"]).drop("attempt", "bucket")
