@@ -363,7 +363,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable, joined: bytes)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // unit.shard_anchors))
     # Parts are small against a shard, so that shards come out even.
     weights = counts.groupBy("source", "piece").agg(F.sum("n").alias("weight"), F.max("n_docs").alias("n_docs"))
-    n_parts = F.least(F.ceil(F.col("weight") / F.lit(total // (4 * shards) + unit.part_anchors)), "n_docs")
+    n_parts = F.least(F.ceil(F.col("weight") / F.lit(total // (3 * shards) + unit.part_anchors)), "n_docs")
     place = F.shiftleft(F.col("piece"), 32).bitwiseOR(n_parts).alias("place")
     # Keys of their own: both sides are exchanged and frequent anchors can be split.
     known = counts.join(weights.select("source", "piece", place), ["source", "piece"])
