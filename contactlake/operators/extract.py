@@ -28,7 +28,7 @@ def tokenized(pages: DataFrame) -> DataFrame:
 def _application(table: DataFrame) -> str:
     """Part of the key of the column caches below: building the columns takes longer
     than planning them, and they can serve every query of one application."""
-    return table.sparkSession.sparkContext.applicationId
+    return table.sparkSession.conf.get("spark.app.id")
 
 
 @lru_cache(maxsize=64)

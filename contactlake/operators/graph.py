@@ -45,14 +45,16 @@ def same_domain_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     it. The few distinct hosts are looked up under their parent domains; the edges then
     join that small map by host, in one struct so that a hot host can be split.
     """
-    domains = seeds.select("seed_url", urls.get_domain(F.col("seed_url")).alias("domain")).filter("domain is not null")
+    domains = seeds.select("seed_url", urls.get_domain(F.col("seed_url")).alias("domain")).filter("domain is not null").distinct()
     hosts = edges.groupBy(urls.netloc_of(F.col("src_url")).alias("host")).agg(F.first("src_url").alias("url"))
     known = hosts.select("host", F.explode(parent_domains(F.col("url"))).alias("domain")).join(domains, "domain")
     known = known.select(F.struct("host").alias("host_key"), "seed_url", "domain")
-    rows = edges.select("src_url", "dst_url", F.struct(urls.netloc_of(F.col("src_url")).alias("host")).alias("host_key"))
+    # Edges are made distinct before they meet the seeds, which multiply them.
+    rows = edges.select("src_url", "dst_url").distinct()
+    rows = rows.withColumn("host_key", F.struct(urls.netloc_of(F.col("src_url")).alias("host")))
     joined = rows.join(known, "host_key")
     on_site = urls.netloc_in_domain(urls.netloc_of(F.col("dst_url")), F.col("domain"))
-    return joined.filter(on_site).select("seed_url", "src_url", "dst_url").distinct()
+    return joined.filter(on_site).select("seed_url", "src_url", "dst_url")
 
 
 def parent_domains(url):
