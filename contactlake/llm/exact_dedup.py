@@ -1,16 +1,16 @@
 """Exact duplicates by deterministic block naming.
 
-Texts are compared after lower-casing A-Z. A text whose length and 64-bit fingerprint no
-other has equals none, so its own id is its identity. All others are cut into blocks of a
-fixed number of characters. The distinct blocks that stand at one place are sorted, and the
-rank in that order is the block's name. Then names at places 2j and 2j+1 are taken as
-pairs, the distinct pairs sorted and ranked in turn, until every text has one name. Two
-texts have the same name exactly if they are equal: a collision of the fingerprint costs a
-few more blocks to sort and nothing else.
-
-Only built-in functions are used. Blocks are made distinct before they move, so that a text
-that stands a million times is sorted once, and names return to the blocks by joins that
-adaptive execution can split.
+Texts are compared after lower-casing A-Z. Each is cut into blocks of a fixed number of
+characters. All blocks of the corpus are sorted, across partitions, and a block's name is the
+number of its first place in that order: equal blocks have the same name, others have different
+ones. Then names at places 2j and 2j+1 are taken as pairs, the distinct pairs sorted and named in turn, until
+every text has one name. Texts of the same number of blocks have the same name exactly if they are
+equal; hashes only tell rows of one id apart and find frequent blocks.
+
+Only built-in functions are used. A block moves once, to its place in the order. Blocks that make up
+more than a share of all rows would meet in one task: there are fewer of them than that share
+allows, so they are named first and their rows find the name where they lie. Names
+return to pairs by joins that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -21,49 +21,81 @@ from pyspark.sql import functions as F
 from contactlake.llm.common import lowered, match, save
 
 BLOCK_CHARS = 4096
+#: A block in one of so many rows is frequent; there are at most as many of them.
+FREQUENT = 256
 CLASS = ["n_bytes", "print"]
 
 
 def with_class(docs: DataFrame) -> DataFrame:
-    """Adds ``body`` (normalised text) and the class of texts that might equal it."""
+    """Adds ``body`` (normalised text) and what tells rows of one id apart."""
     body = lowered(F.col("text"))
     return docs.withColumn("body", body).withColumns({"n_bytes": F.octet_length(body), "print": F.xxhash64(body)})
 
 
-def ranked(rows: DataFrame, content: list[str]) -> DataFrame:
-    """Replaces ``content`` by its rank among what stands at the same place of the class."""
-    place = [*CLASS, "place"]
-    distinct = rows.select(*place, *content).distinct()
-    names = distinct.withColumn("name", F.dense_rank().over(Window.partitionBy(*place).orderBy(*content)))
-    return match(rows, names, [*place, *content]).select("doc_id", *place, "n_blocks", "name")
-
-
-def name_texts(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(doc_id, n_bytes, print, name)``: equal names within a class mean equal texts."""
-    blocks = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    blocks = F.when(F.col("body") == "", F.array(F.lit(""))).otherwise(blocks)
-    rows = texts.select("doc_id", *CLASS, blocks.alias("blocks")).select(
-        "doc_id", *CLASS, F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("place", "block")
-    )
-    rows = save(rows, "blocks")
-    level = save(ranked(rows, ["block"]), "names")
+def in_blocks(texts: DataFrame, block_chars: int) -> DataFrame:
+    """``doc_id, n_bytes, print, n_blocks, place, block``"""
+    cut = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
+    blocks = F.when(F.length("body") <= block_chars, F.array("body")).otherwise(cut)
+    rows = texts.select("doc_id", *CLASS, blocks.alias("blocks"))
+    return rows.select("doc_id", *CLASS, F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("place", "block"))
+
+
+def frequent_blocks(rows: DataFrame, share: int) -> DataFrame | None:
+    """``block, name`` of the blocks in more than one of ``share`` rows, fewer than ``share``; None without any."""
+    counts = save(rows.groupBy(F.xxhash64("block").alias("hash")).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hashes = [r["hash"] for r in counts.filter(F.col("n") * share > total).filter("n > 1").select("hash").collect()]
+    if not hashes:
+        return None
+    blocks = rows.filter(F.xxhash64("block").isin(hashes)).select("block").distinct()
+    return blocks.withColumn("name", -F.row_number().over(Window.orderBy("block")).cast("long"))
+
+
+def named_blocks(rows: DataFrame, share: int = FREQUENT) -> DataFrame:
+    """``name`` in place of ``block``: equal names mean equal blocks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = frequent_blocks(rows, share)
+    if known is not None:
+        known = save(known, "frequent")
+    others = rows if known is None else rows.join(F.broadcast(known.select("block")), "block", "left_anti")
+    # Equal blocks come to one partition, which is sorted already where the window looks at it.
+    others = others.repartitionByRange(n, "block").sortWithinPartitions("block").withColumn("at", F.monotonically_increasing_id())
+    others = others.withColumn("name", F.min("at").over(Window.partitionBy("block"))).drop("at", "block")
+    if known is None:
+        return others
+    return others.unionByName(rows.join(F.broadcast(known), "block").drop("block"))
+
+
+def named_pairs(rows: DataFrame) -> DataFrame:
+    """``name`` in place of ``left`` and ``right``."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.select("left", "right").distinct().repartitionByRange(n, "left", "right").sortWithinPartitions("left", "right")
+    names = save(pairs.withColumn("name", F.monotonically_increasing_id()), "pairs")
+    return match(rows, names, ["left", "right"]).drop("left", "right")
+
+
+def name_texts(texts: DataFrame, block_chars: int = BLOCK_CHARS, share: int = FREQUENT) -> DataFrame:
+    """``(doc_id, n_bytes, print, size, name)``: equal size (in blocks) and name mean equal texts."""
+    level = save(named_blocks(in_blocks(texts, block_chars), share).withColumn("size", F.col("n_blocks")), "names")
     done = level.filter("n_blocks = 1")
     left = level.agg(F.max("n_blocks")).first()[0] or 1
     while left > 1:
         odd = F.col("place") % 2 == 1
         pairs = (
             level.filter("n_blocks > 1")
-            .groupBy("doc_id", *CLASS, F.floor(F.col("place") / 2).cast("int").alias("place"))
+            .groupBy("doc_id", *CLASS, "size", F.floor(F.col("place") / 2).cast("int").alias("place"))
             .agg(
                 F.ceil(F.first("n_blocks") / 2).cast("int").alias("n_blocks"),
-                F.max(F.when(~odd, F.col("name"))).alias("name_left"),
-                F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(0)).alias("name_right"),
+                F.max(F.when(~odd, F.col("name"))).alias("left"),
+                F.max(F.when(odd, F.col("name"))).alias("right"),
             )
         )
-        level = save(ranked(pairs, ["name_left", "name_right"]), "names")
-        done = done.union(level.filter("n_blocks = 1"))
+        # A last block without a partner is paired with what is no name.
+        pairs = pairs.withColumn("right", F.coalesce("right", F.lit(-(2**62))))
+        level = save(named_pairs(pairs), "names")
+        done = done.unionByName(level.filter("n_blocks = 1"))
         left = (left + 1) // 2
-    return done.select("doc_id", *CLASS, "name")
+    return done.select("doc_id", *CLASS, "size", "name")
 
 
 def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -77,18 +109,11 @@ def exact_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFra
     docs = with_class(docs.select("doc_id", "text"))
     keys = docs.select("doc_id", *CLASS, F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256")).distinct()
     keys = save(keys, "texts")
-    shared = keys.groupBy(*CLASS).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    names = name_texts(match(docs, shared, CLASS), block_chars).distinct()
-    names = save(names, "identities")
-    groups = names.groupBy(*CLASS, "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = match(names, groups, [*CLASS, "name"]).drop("name").withColumn("shared", F.lit(True))
-    return match(keys, found, ["doc_id", *CLASS], "left").select(
-        "doc_id",
-        F.when(F.col("shared"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.when(F.col("shared"), F.col("doc_id").eqNullSafe(F.col("keep_id"))).otherwise(F.lit(True)).alias("kept"),
-        "text_sha256",
-        *CLASS,
+    names = save(name_texts(docs, block_chars).distinct(), "identities")
+    groups = names.groupBy("size", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    found = match(names, groups, ["size", "name"]).drop("size", "name")
+    return match(keys, found, ["doc_id", *CLASS]).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *CLASS
     )
 
 

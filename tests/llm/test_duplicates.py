@@ -33,13 +33,25 @@ def test_exact_duplicates(documents, corpus):
     assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
-def test_exact_names_tell_texts_of_one_class_apart(spark):
-    """Texts that only share length and fingerprint must not become one."""
+def test_names_are_equal_only_for_equal_texts(spark):
+    """Texts whose fingerprints are equal must not become one, and equal texts need no fingerprint."""
     long = "ab" * 500
-    texts = [(1, long + "x"), (2, long + "x"), (3, long + "y"), (4, "z" + long)]
-    frame = spark.createDataFrame([(d, t, len(t), 7) for d, t in texts], "doc_id long, body string, n_bytes int, print long")
-    names = {r.doc_id: r.name for r in exact_dedup.name_texts(frame, 16).collect()}
-    assert names[1] == names[2] and len(set(names.values())) == 3
+    texts = [(1, long + "x"), (2, long + "x"), (3, long + "y"), (4, "z" + long), (5, ""), (6, ""), (7, "ab"), (8, "ab" * 8)]
+    frame = spark.createDataFrame([(d, t, 0, d) for d, t in texts], "doc_id long, body string, n_bytes int, print long")
+    for block in (16, 2, 4096):
+        for share in (256, 2):
+            names = {r.doc_id: (r["size"], r.name) for r in exact_dedup.name_texts(frame, block, share).collect()}
+            assert names[1] == names[2] and names[5] == names[6] and len(set(names.values())) == 6
+
+
+def test_frequent_blocks_do_not_meet_in_one_task(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {i}") for i in range(3000)]
+    frame = spark.createDataFrame([(d, t, 0, d) for d, t in rows], "doc_id long, body string, n_bytes int, print long")
+    blocks = exact_dedup.in_blocks(frame, 4096)
+    assert [r.block for r in exact_dedup.frequent_blocks(blocks, 256).collect()] == ["the same text"]
+    assert exact_dedup.frequent_blocks(blocks.filter("doc_id % 3 = 0"), 256) is None
+    names = {r.doc_id: r.name for r in exact_dedup.name_texts(frame).collect()}
+    assert len(names) == 3000 and len(set(names.values())) == 1001 and {names[i] for i, _ in rows if i % 3} == {-1}
 
 
 def test_exact_drop(documents, corpus):
