@@ -1,8 +1,8 @@
 """Near-duplicate vectors by an epsilon grid order join.
 
 Unit vectors whose cosine is at least c lie at most eps = sqrt(2 - 2c) apart. They are turned to
-the principal directions of a bounded sample and put into a grid of side eps on the leading
-ones. Sorted by label and grid cell, the vectors are a sequence that is cut into blocks of a fixed
+the principal directions of a bounded sample of their length and put into a grid of side eps on the
+leading ones. Sorted by label and grid cell, the vectors are a sequence that is cut into blocks of a fixed
 number. Two blocks are joined only if their boxes are at most eps apart in the leading
 directions; a join halves both blocks again and again, leaves out halves that are provably
 distant, and compares what is left by one product of matrices in double precision.
@@ -14,7 +14,6 @@ vector's number of links and a spanning forest of the links, never all pairs.
 from __future__ import annotations
 
 import math
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,57 +27,60 @@ COSINE = 0.98
 LEAD = 8
 BLOCK = 512
 LEAF = 64
-#: Numbers in the sample that principal directions are found from.
+#: Numbers in the sample that principal directions are found from, and rows of a length at least.
 SAMPLE_VALUES = 1_000_000
+LEAST_ROWS = 64
 #: Rounding may not part a pair: boxes are kept this much further apart.
 SLACK = 1e-9
 
 
-class Directions(NamedTuple):
-    size: int
-    lead: np.ndarray  # leading principal directions as columns
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of equal length as rows."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def directions(vectors: DataFrame) -> Directions:
-    """Principal directions of a sample of the most frequent length, drawn by a hash of the id."""
-    sizes = vectors.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not sizes:
-        return Directions(0, np.zeros((0, 0)))
-    size = sizes[0]["size"]
-    rows = vectors.filter(F.size("embedding") == size).orderBy(F.xxhash64(F.lit("sample"), "first_id"))
-    rows = rows.select("embedding").limit(max(1, SAMPLE_VALUES // size)).collect()
-    sample = np.array([r["embedding"] for r in rows], np.float64)
-    sample /= np.sqrt((sample**2).sum(1, keepdims=True))
-    values, vectors_ = np.linalg.eigh(np.cov(sample, rowvar=False).reshape(size, size) if len(sample) > 1 else np.eye(size))
-    return Directions(size, vectors_[:, np.argsort(-values)[: min(LEAD, size)]])
-
-
-def grid(vectors: DataFrame, found: Directions, eps: float) -> DataFrame:
-    """Adds ``lead`` (leading coordinates of the unit vector) and ``cells``.
+def directions(vectors: DataFrame, values: int = SAMPLE_VALUES) -> dict[int, np.ndarray]:
+    """By vector length: leading principal directions as columns, found from a sample drawn by a hash.
 
-    Vectors of another length than the sample's have zeros there and are all compared.
+    The sample holds about ``values`` numbers, divided between the lengths, and ``LEAST_ROWS`` rows of each at least.
     """
+    counts = {r["size"]: r["count"] for r in vectors.groupBy("size").count().collect()}
+    wanted = {size: max(LEAST_ROWS, values // (max(size, 1) * len(counts))) for size in counts}
+    rates = [(size, min(1.0, 1.2 * wanted[size] / n)) for size, n in counts.items()]
+    rates = F.broadcast(vectors.sparkSession.createDataFrame(rates, "size int, rate double"))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "first_id"), F.lit(1 << 30)) / (1 << 30)
+    rows = vectors.select("size", "first_id", "embedding", draw.alias("draw")).join(rates, "size").filter("draw < rate")
+    sample: dict[int, list] = {}
+    for row in sorted(rows.select("size", "draw", "first_id", "embedding").collect(), key=lambda r: (r["size"], r["draw"], r["first_id"])):
+        own = sample.setdefault(row["size"], [])
+        if len(own) < wanted[row["size"]]:
+            own.append(row["embedding"])
+    found = {}
+    for size in counts:
+        own = np.array(sample.get(size, []), np.float64).reshape(-1, size)
+        own /= np.sqrt((own**2).sum(1, keepdims=True))
+        spread, axes = np.linalg.eigh(np.cov(own, rowvar=False).reshape(size, size) if len(own) > 1 else np.eye(size))
+        found[size] = axes[:, np.argsort(-spread)[:LEAD]]
+    return found
+
+
+def grid(vectors: DataFrame, found: dict[int, np.ndarray], eps: float) -> DataFrame:
+    """Adds ``lead`` (leading coordinates of the unit vector, zeros where there are fewer) and ``cells``."""
     shared = vectors.sparkSession.sparkContext.broadcast(found)
     schema = vectors.schema.simpleString()[7:-1] + ",lead:array<double>,cells:array<int>"
 
     def run(batches):
         own = shared.value
-        width = own.lead.shape[1] or 1
         for batch in batches:
-            lead = np.zeros((batch.num_rows, width))
-            size = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
-            on = np.flatnonzero(size == own.size)
-            if len(on):
+            lead = np.zeros((batch.num_rows, LEAD))
+            sizes = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                on = np.flatnonzero(sizes == size)
                 rows = _matrix(batch.column("embedding").take(pa.array(on)))
-                lead[on] = rows @ own.lead / np.sqrt((rows**2).sum(1, keepdims=True))
+                lead[on, : own[int(size)].shape[1]] = rows @ own[int(size)] / np.sqrt((rows**2).sum(1, keepdims=True))
             cells = np.floor(lead / eps).astype(np.int32)
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * LEAD)
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (lead, cells)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "lead", "cells"])
 

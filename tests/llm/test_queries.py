@@ -77,6 +77,21 @@ def test_vectors(spark, monkeypatch, block, leaf):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_every_length_has_directions_of_its_own(spark):
+    """Vectors of a rarer length are told apart by the grid as well."""
+    r = np.random.default_rng(8)
+    rows = [(i, size, r.normal(size=size) * np.linspace(3, 0.1, size)) for i, size in enumerate([12] * 300 + [20] * 200 + [3] * 90 + [1] * 5)]
+    frame = spark.createDataFrame([(i, s, [float(x) for x in v]) for i, s, v in rows], "first_id long, size int, embedding array<double>")
+    found = embedding_dedup.directions(frame, 2000)
+    assert {s: x.shape for s, x in found.items()} == {12: (12, 8), 20: (20, 8), 3: (3, 3), 1: (1, 1)}
+    placed = embedding_dedup.grid(frame, found, 0.2).collect()
+    for size in (12, 20, 3):
+        assert len({tuple(x.cells[:2]) for x in placed if x["size"] == size}) > 10
+    for x in placed:
+        unit = np.array(x.embedding) / np.linalg.norm(x.embedding)
+        assert np.allclose(x.lead[: found[x["size"]].shape[1]], unit @ found[x["size"]])
+
+
 # --- the pipeline ------------------------------------------------------------
 def test_stages_on_what_the_one_before_kept(spark, connection):
     docs = read(spark, SF, "documents")
