@@ -711,6 +711,14 @@ texts AS (SELECT page_id, url, CASE page_id % 4
               SELECT 'email', coalesce({email_reason(norm_email('raw'))}, 'valid') FROM candidates WHERE kind = 'email')
             GROUP BY ROLLUP (kind, outcome)""",
     ),
+    "written_funnel": with_(
+        f"{STRICT}, {PAGE_PHONES}",
+        f"""SELECT kind, outcome, count(*) AS n FROM (
+              SELECT 'phone' AS kind, coalesce(value_reason, 'valid') AS outcome FROM phones_checked
+              UNION ALL
+              SELECT 'email', coalesce({email_reason(norm_email('raw'))}, 'valid') FROM candidates WHERE kind = 'email')
+            GROUP BY kind, outcome""",
+    ),
     "lookup_joins": with_(
         RAW_PHONES,
         "SELECT k, home AS home_code, code, coalesce(CASE code "

@@ -580,6 +580,14 @@ def validation_funnel(spark, sf):
     return reports.validation_funnel(extract.checked_candidates(page_candidates(spark, sf)))
 
 
+@query
+def written_funnel(spark, sf):
+    """The funnel as the pass that writes the checked candidates counts it."""
+    checked = extract.checked_candidates(page_candidates(spark, sf))
+    found = sinks.write_candidates(checked, work_folder(spark, "candidates"))
+    return spark.createDataFrame([(*key, n) for key, n in found.items()], "kind string, outcome string, n bigint")
+
+
 def own_codes(spark, sf) -> DataFrame:
     """Codes that are prefixes of each other, of one to five digits, taken from the numbers themselves."""
     digits = raw_phones(spark, sf).filter("digits <> ''").select("k", "digits")

@@ -58,6 +58,31 @@ def write_json(results: DataFrame, path: str, mode: str = "errorifexists", gener
     return Summary(**{n: int(v) for n, v in seen.get.items()})
 
 
+#: Outcomes that a candidate can have, besides being valid.
+OUTCOMES = {
+    "phone": (
+        "not_normalized no_digits length not_phone_pattern suspicious_start few_unique_digits many_zeros country_code ru_area "
+        "country_length ru_domain no_home_country local_length local_format"
+    ).split(),
+    "email": "no_at local_too_long domain_too_long domain_without_dot domain_edge_dot excluded_domain bad_local bad_domain".split(),
+}
+
+
+def write_candidates(checked: DataFrame, path: str, mode: str = "errorifexists") -> dict[tuple[str, str], int]:
+    """Write checked candidates (``kind``, ``reason``, ...) as a table partitioned by kind, and count them by outcome on the way.
+
+    Returns the number of candidates by kind and outcome (``valid`` or the reason), those that
+    occur; outcomes that are not listed here are counted as ``other``.
+    """
+    outcome = F.coalesce("reason", F.lit("valid"))
+    listed = [(kind, name) for kind, names in OUTCOMES.items() for name in ("valid", *names)]
+    counts = [F.count_if((F.col("kind") == kind) & (outcome == name)).alias(f"{kind} {name}") for kind, name in listed]
+    others = [F.count_if((F.col("kind") == kind) & ~outcome.isin("valid", *names)).alias(f"{kind} other") for kind, names in OUTCOMES.items()]
+    seen = Observation()
+    checked.observe(seen, *counts, *others).write.mode(mode).partitionBy("kind").parquet(path)
+    return {tuple(name.split(" ")): n for name, n in seen.get.items() if n}
+
+
 def partition_columns(results: DataFrame) -> DataFrame:
     """Add ``status`` (ok, error, no_domain) and ``domain_slug`` ('none' without one)."""
     netloc = netloc_of(F.col("url"))

@@ -97,6 +97,15 @@ def test_summary_of_what_was_written(spark, tmp_path):
     assert sinks.write_json(rows.limit(0), str(tmp_path / "none")) == (0, 0, 0, 0, 0)
 
 
+def test_candidates_count_themselves_while_they_are_written(spark, tmp_path):
+    rows = [("phone", None), ("phone", "length"), ("phone", "length"), ("email", "no_at"), ("email", None), ("email", "never heard of")]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "kind string, reason string, raw string")
+    path = str(tmp_path / "c")
+    want = {("phone", "valid"): 1, ("phone", "length"): 2, ("email", "no_at"): 1, ("email", "valid"): 1, ("email", "other"): 1}
+    assert sinks.write_candidates(frame, path) == want and spark.read.parquet(path).count() == 6
+    assert sinks.write_candidates(frame.limit(0), str(tmp_path / "none")) == {}
+
+
 def test_longest_of_nested_codes(spark):
     codes = spark.createDataFrame([(c,) for c in ["7", "77", "770", "1", "1242", "1", "", None]], "code string")
     numbers = ["7", "78", "77", "7701", "7711", "1242", "124", "9", "", None]
