@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from contactlake.functions import urls
 from contactlake.functions.text import unfold
 from contactlake.operators.run_tables import RunTables
+from contactlake.operators.site_hosts import hosts_of_seeds, narrowest_domains
 from contactlake.settings import Settings
 
 
@@ -38,46 +39,32 @@ def link_targets(contacts: DataFrame, url: str = "url") -> DataFrame:
     return unfold(found, ["src_url"], F.array_distinct(F.array_compact(targets)), "dst_url")
 
 
-def same_domain_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def same_domain_edges(edges: DataFrame, seeds: DataFrame, run: RunTables | None = None) -> DataFrame:
     """Edges of each seed's domain: ``(seed_url, src_url, dst_url)``.
 
-    A page belongs to a seed when its host is the seed's domain or a subdomain of
-    it. The few distinct hosts are looked up under their parent domains; the edges then
-    join that small map by host, in one struct so that a hot host can be split.
+    A page belongs to a seed when its host is the seed's domain or a subdomain of it. The few
+    distinct hosts find their seeds by order; the edges then join that small map by host, in one
+    struct so that a hot host can be split.
     """
     domains = seeds.select("seed_url", urls.get_domain(F.col("seed_url")).alias("domain")).filter("domain is not null").distinct()
-    hosts = edges.groupBy(urls.netloc_of(F.col("src_url")).alias("host")).agg(F.first("src_url").alias("url"))
-    known = hosts.select("host", F.explode(parent_domains(F.col("url"))).alias("domain")).join(domains, "domain")
-    known = known.select(F.struct("host").alias("host_key"), "seed_url", "domain")
     # Edges are made distinct before they meet the seeds, which multiply them.
-    rows = edges.select("src_url", "dst_url").distinct()
-    rows = rows.withColumn("host_key", F.struct(urls.netloc_of(F.col("src_url")).alias("host")))
-    joined = rows.join(known, "host_key")
+    rows = edges.select("src_url", "dst_url").distinct().withColumn("host", urls.netloc_of(F.col("src_url")))
+    known = hosts_of_seeds(rows.select("host"), domains, run).select(F.struct("host").alias("host_key"), "seed_url", "domain")
+    joined = rows.select("src_url", "dst_url", F.struct("host").alias("host_key")).join(known, "host_key")
     on_site = urls.netloc_in_domain(urls.netloc_of(F.col("dst_url")), F.col("domain"))
     return joined.filter(on_site).select("seed_url", "src_url", "dst_url")
 
 
-def parent_domains(url):
-    """The netloc of a URL and every domain it is a subdomain of."""
-    labels = F.split(urls.netloc_of(url), r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-
-
-def edges_on_sites(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def edges_on_sites(edges: DataFrame, seeds: DataFrame, run: RunTables | None = None) -> DataFrame:
     """Edges ``(src_url, dst_url, host)`` that lead to the domain of some seed.
 
     Links that leave every site are most of a real page's links and can never be
-    followed. Each distinct host is looked up once, under itself and its parent domains.
+    followed. Each distinct host is looked up once.
     """
     domains = seeds.select(urls.get_domain(F.col("seed_url")).alias("domain")).filter("domain is not null").distinct()
     targets = edges.select("src_url", "dst_url", urls.netloc_of(F.col("dst_url")).alias("host"))
-    hosts = edges.select(F.col("dst_url").alias("url")).groupBy(urls.netloc_of(F.col("url")).alias("host")).agg(F.first("url").alias("url"))
-    known = hosts.select("host", F.explode(parent_domains(F.col("url"))).alias("domain")).join(domains, "domain", "left_semi")
+    known = narrowest_domains(targets.select("host"), domains, run).select(F.struct("host").alias("host_key"))
     # The key is wrapped so that both sides are exchanged and a host with many links can be split.
-    known = known.select(F.struct("host").alias("host_key")).distinct()
     return targets.withColumn("host_key", F.struct("host")).join(known, "host_key", "left_semi").drop("host_key")
 
 
@@ -190,7 +177,7 @@ class Walk(NamedTuple):
 
 def walk(seeds: DataFrame, edges: DataFrame, max_pages: int | None, run: RunTables) -> Walk:
     """The walk behind ``reachable_pages`` and how many rounds it took, those for chains included."""
-    edges = edges_on_sites(edges, seeds).filter("src_url <> dst_url")
+    edges = edges_on_sites(edges, seeds, run).filter("src_url <> dst_url")
     edges = run.save_bucketed(edges, "edges", "src_url")
     states = seed_states(seeds)
     key = ["seed_url", "url"]

@@ -48,7 +48,7 @@ class ArrivingWalk:
         run = self.run
         contacts = page_contacts(admitted_pages(pages).select("url", "html"), self.settings)
         links = graph.link_targets(contacts.withColumn("url", graph.page_key(F.col("url"))))
-        links = graph.edges_on_sites(links, self.seeds).filter("src_url <> dst_url").withColumn("length", F.lit(1))
+        links = graph.edges_on_sites(links, self.seeds, run).filter("src_url <> dst_url").withColumn("length", F.lit(1))
         new = run.save_bucketed(links, f"links_{self.batches}", "src_url")
         run.append(new.withColumn("batch", F.lit(self.batches)), "edges", "batch", "src_url")
         self.batches += 1

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactlake import Settings
-from contactlake.operators import dedup, graph, reports, sites
+from contactlake.operators import dedup, graph, reports, site_hosts, sites
 from contactlake.operators.run_tables import RunTables
 from contactlake.sources import pages as page_source
 from contactlake.sources import sinks
@@ -164,6 +164,35 @@ def test_tables_of_a_run_go_with_it(spark, pages):
     assert not folder.exists() and run.name not in [d.name for d in spark.catalog.listDatabases()]
 
 
+HOSTS = [
+    "shop.ru", "www.shop.ru", "a.b.shop.ru", "notshop.ru", "shop.ru.evil.org", "shop.ru:8080", "x.shop.ru:8080", "b.shop.ru", "c.b.shop.ru", "ru", "", "shop-x.ru",
+    "shop.com", "z.com", "a.z.com", "com", "user@shop.ru", "localhost", "SHOP.RU", "c.shop.ru", "zz.shop.ru", "shop.rua", "0.shop.ru",
+]
+DOMAINS = ["shop.ru", "b.shop.ru", "c.b.shop.ru", "shop.ru:8080", "z.com", "localhost", "none.net", "aa.shop.ru"]
+
+
+@pytest.mark.parametrize("n", [1, 4, 50])
+def test_hosts_find_their_sites(spark, n):
+    """Against the rule itself, ports and nested domains included, however the order is cut."""
+    hosts = spark.createDataFrame([(h,) for h in HOSTS * 3] + [(None,)], "host string")
+    domains = spark.createDataFrame([(f"https://{d}/{i}", d) for d in DOMAINS for i in range(2)], "seed_url string, domain string")
+    with RunTables(spark) as run:
+        run.n_buckets = n
+        got = [tuple(r) for r in site_hosts.hosts_of_seeds(hosts, domains, run).collect()]
+        plan = site_hosts.narrowest_domains(hosts, domains.limit(0), run)
+        assert plan.collect() == []
+    want = {(h, f"https://{d}/{i}", d) for h in HOSTS for d in DOMAINS for i in range(2) if h == d or h.endswith("." + d)}
+    assert sorted(got) == sorted(want)
+
+
+def test_hosts_are_not_multiplied_by_their_labels(spark):
+    hosts = spark.createDataFrame([(h,) for h in HOSTS], "host string")
+    domains = spark.createDataFrame([(d,) for d in DOMAINS], "domain string")
+    with RunTables(spark) as run:
+        found = site_hosts.narrowest_domains(hosts, domains, run)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pages_without_ids(spark, pages):
     found = sites.site_contacts(pages.drop("page_id"), seeds(spark, "https://example.com"), Settings(max_pages=2))
     assert found.first().limit_reached is True
