@@ -29,7 +29,7 @@ def test_exact_duplicates(documents, corpus):
         ids = groups[lowered(t)]
         keep = max((x for x in ids if x is not None), default=None)
         want.add((d, keep, len(ids), d == keep, hashlib.sha256(lowered(t).encode()).hexdigest()))
-    got = exact_dedup.exact_duplicates(documents(rows), block_chars=64).drop(*exact_dedup.CLASS).collect()
+    got = exact_dedup.exact_duplicates(documents(rows), block_bytes=64).drop(*exact_dedup.CLASS).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
@@ -48,7 +48,7 @@ def test_frequent_blocks_do_not_meet_in_one_task(spark):
     rows = [(i, "the same text" if i % 3 else f"text {i}") for i in range(3000)]
     frame = spark.createDataFrame([(d, t, 0, d) for d, t in rows], "doc_id long, body string, n_bytes int, print long")
     blocks = exact_dedup.in_blocks(frame, 4096)
-    assert [r.block for r in exact_dedup.frequent_blocks(blocks, 256).collect()] == ["the same text"]
+    assert [bytes(r.block) for r in exact_dedup.frequent_blocks(blocks, 256).collect()] == [b"the same text"]
     assert exact_dedup.frequent_blocks(blocks.filter("doc_id % 3 = 0"), 256) is None
     names = {r.doc_id: r.name for r in exact_dedup.name_texts(frame).collect()}
     assert len(names) == 3000 and len(set(names.values())) == 1001 and {names[i] for i, _ in rows if i % 3} == {-1}
