@@ -29,10 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def save(frame: DataFrame, name: str) -> DataFrame:
+def save(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``frame`` as a table in the shared folder, read again: its lineage ends there."""
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", compression).parquet(path)
     saved = frame.sparkSession.read.schema(frame.schema).parquet(path)
     saved.saved_at = path
     return saved

@@ -250,7 +250,7 @@ def shard_results(table: pa.Table, unit: Unit, judge: Callable[[Runs], tuple[np.
     bodies = table.column("body").to_pylist()
     data = np.frombuffer(b"".join(bodies), np.uint8)
     cuts = np.cumsum([0, *map(len, bodies)])
-    values, owner, _, _ = unit.split(data, cuts, unit.key)
+    values, owner = unit.split(data, cuts, unit.key)[:2]
     if unit.name == "words":
         values = told_apart(values, unit.split(data, cuts, unit.key + 1)[0])
     ends = np.searchsorted(owner, np.arange(len(bodies)), "right")
@@ -283,7 +283,7 @@ def shard_results(table: pa.Table, unit: Unit, judge: Callable[[Runs], tuple[np.
     hashes = [np.zeros(0, np.uint64)] * 2
     if len(open_):
         # The same values in all parts of a source: those before equal ones were told apart.
-        plain = unit.split(data, cuts, unit.key)[0][on]
+        plain = unit.split(data, cuts, unit.key)[0][on] if unit.name == "words" else runs.values
         hashes = [byte_text.grams(v, unit.window, unit.key)[starts[open_]] for v in (plain, byte_text.mixed(plain ^ np.uint64(unit.key)))]
         doc_col = np.concatenate([doc_col, doc[rest][run_of[open_]]])
         start_col = np.concatenate([start_col, at[open_]])
@@ -358,12 +358,12 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable, joined: bytes)
     long = anchors(docs.filter(F.octet_length("text") > unit.piece), unit).filter("piece > 0")
     long = long.groupBy("anchor", F.col("doc_id").alias("of")).agg(F.min("piece").alias("piece")).withColumnRenamed("anchor", "name")
     counts = counts.join(long, (F.col("anchor") == F.col("name")) & (F.col("source").bitwiseXOR(F.col("of")) == 0), "left")
-    counts = save(counts.select("anchor", "source", F.coalesce("piece", F.lit(0).cast("long")).alias("piece"), "n", "n_docs"), "anchors")
+    counts = save(counts.select("anchor", "source", F.coalesce("piece", F.lit(0).cast("long")).alias("piece"), "n", "n_docs"), "anchors", "zstd")
     total = counts.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // unit.shard_anchors))
     # Parts are small against a shard, so that shards come out even.
     weights = counts.groupBy("source", "piece").agg(F.sum("n").alias("weight"), F.max("n_docs").alias("n_docs"))
-    n_parts = F.least(F.ceil(F.col("weight") / F.lit(total // (3 * shards) + unit.part_anchors)), "n_docs")
+    n_parts = F.least(F.ceil(F.col("weight") / F.lit(total // (2 * shards) + unit.part_anchors)), "n_docs")
     place = F.shiftleft(F.col("piece"), 32).bitwiseOR(n_parts).alias("place")
     # Keys of their own: both sides are exchanged and frequent anchors can be split.
     known = counts.join(weights.select("source", "piece", place), ["source", "piece"])
@@ -378,7 +378,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, judge: Callable, joined: bytes)
         if rows:
             yield shard_results(pa.Table.from_batches(rows), unit, judge)
 
-    results = save(runs.mapInArrow(shard, "doc_id long, start int, end int, hash_a long, hash_b long"), "repeats")
+    results = save(runs.mapInArrow(shard, "doc_id long, start int, end int, hash_a long, hash_b long"), "repeats", "zstd")
     open_ = results.filter("hash_a is not null")
     hashes = ["hash_a", "hash_b"]
     firsts = open_.groupBy(*hashes).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("last_id > first_id")
