@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +33,7 @@ MIN_DOCS = 6
 PENALTIES = (2e-4, 4e-4)
 LIGHT_PENALTY = 5e-5
 KEPT_BACK = 4
+TEXTS_AT_ONCE = 64
 STEPS = 250
 
 _SENTENCE_END = re.compile(r"[.!?\n]+")
@@ -210,6 +212,12 @@ def scored(text: str | None, model: Model) -> tuple[float, list[tuple[int, int,
     return float(-np.expm1(-total)), found
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, few of them as Python objects at a time."""
+    for at in range(0, len(column), TEXTS_AT_ONCE):
+        yield from column.slice(at, TEXTS_AT_ONCE).to_pylist()
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``score`` and ``offending`` (start, end, score of sentences at 0.5 or more).
 
@@ -223,7 +231,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         fitted = shared.value
         for batch in batches:
-            rows = [scored(t, fitted) for t in batch.column("text").to_pylist()]
+            rows = [scored(t, fitted) for t in texts_of(batch.column("text"))]
             spans = [[dict(zip(("start", "end", "score"), s)) for s in r[1]] for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.float64()), pa.array(spans, span)],
@@ -243,7 +251,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches):
         fitted = shared.value
         for batch in batches:
-            keep = [scored(t, fitted)[0] < threshold for t in batch.column("text").to_pylist()]
+            keep = [scored(t, fitted)[0] < threshold for t in texts_of(batch.column("text"))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
