@@ -248,10 +248,10 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    # Only the texts go to Python, and only the decisions come back.
+    @F.arrow_udf("boolean")
+    def stays(texts: pa.Array) -> pa.Array:
         fitted = shared.value
-        for batch in batches:
-            keep = [scored(t, fitted)[0] < threshold for t in texts_of(batch.column("text"))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return pa.array([scored(t, fitted)[0] < threshold for t in texts_of(texts)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(stays("text"))
