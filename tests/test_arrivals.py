@@ -1,11 +1,14 @@
 """Pages as bytes, redirects, runs that are written again, nested codes, pages that arrive."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from contactlake.functions import charsets
 from contactlake.operators import graph, lookup_joins, sites
 from contactlake.operators.run_tables import RunTables
+from contactlake.plans import queries
 from contactlake.settings import Settings
 from contactlake.sources import pages as page_source
 from contactlake.sources import sinks
@@ -127,3 +130,17 @@ def test_pages_that_arrive_give_the_rows_of_one_walk(spark):
             arriving.add(frame.filter(part), i)
         rows = [tuple(r) for r in arriving.visited().collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_the_page_table_as_a_stream_is_a_file_or_a_folder(spark, tmp_path, files):
+    rows = [(i, f"https://c{i}.ru/", f"<p>Mail u{i}@mail.ru </p>") for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    if files:
+        frame.repartition(files, "page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    else:
+        frame.coalesce(1).write.parquet(str(tmp_path / "one"))
+        shutil.copy(next((tmp_path / "one").glob("*.parquet")), tmp_path / "pages.parquet")
+        frame.limit(1).write.parquet(str(tmp_path / "more_pages.parquet"))
+    got = queries.contacts_from_stream(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.site, r.kind, r.value) for r in got) == [(i, f"c{i}.ru", "email", f"u{i}@mail.ru") for i in range(9)]
