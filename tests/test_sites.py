@@ -164,6 +164,22 @@ def test_tables_of_a_run_go_with_it(spark, pages):
     assert not folder.exists() and run.name not in [d.name for d in spark.catalog.listDatabases()]
 
 
+def test_edges_of_a_hot_domain_are_spread_over_tasks(spark):
+    """One domain has all but a few edges; they meet its seeds in blocks, in many tasks."""
+    rows = [(f"https://hot.ru/{i}", f"https://{'x.' * (i % 2)}hot.ru/{i + 1}") for i in range(3 * graph.BLOCK_EDGES)]
+    rows += [("https://x.hot.ru/1", "https://x.hot.ru/2"), ("https://hot.ru/1", "https://cold.ru/1"), ("https://cold.ru/1", "https://cold.ru/2"), (None, "https://hot.ru/9")]
+    names = [f"https://hot.ru/?s={i}" for i in range(20)] + ["https://x.hot.ru", "https://cold.ru/1", "https://cold.ru/1", "none"]
+    edges = spark.createDataFrame(rows + rows[:50], "src_url string, dst_url string")
+    with RunTables(spark) as run:
+        found = graph.same_domain_edges(edges, seeds(spark, *names), run).withColumn("task", F.spark_partition_id())
+        got = [tuple(r) for r in found.collect()]
+    host = lambda url: (url or "").split("/")[2] if url else ""
+    within = lambda h, d: h == d or h.endswith("." + d)
+    want = [(s, a, b) for s in set(names) - {"none"} for a, b in rows if within(host(a), host(s)) and within(host(b), host(s))]
+    assert sorted(r[:3] for r in got) == sorted(want)
+    assert len({r[3] for r in got if "hot.ru" in r[0]}) > 1
+
+
 HOSTS = [
     "shop.ru", "www.shop.ru", "a.b.shop.ru", "notshop.ru", "shop.ru.evil.org", "shop.ru:8080", "x.shop.ru:8080", "b.shop.ru", "c.b.shop.ru", "ru", "", "shop-x.ru",
     "shop.com", "z.com", "a.z.com", "com", "user@shop.ru", "localhost", "SHOP.RU", "c.shop.ru", "zz.shop.ru", "shop.rua", "0.shop.ru",
