@@ -93,3 +93,19 @@ def test_parts_of_sites_need_no_array_of_a_site(spark, no_broadcast):
         rows = spark.range(10).select(F.lit("s").alias("seed_url"), F.lit("email").alias("kind"), F.lit("a@b.cd").alias("value"))
         text = plan(reports.contact_parts(rows, run, 100))
         assert "collect_set" not in text and "keys=[seed_url" in text
+
+
+def test_filters_stay_behind_the_shuffle_of_the_keys(spark):
+    """What is made of a key is filtered by all tasks, not by the few that read the keys."""
+    for rows in (queries.seeds(spark, SF), queries.all_pages(spark, SF).filter(F.octet_length("html") < 5000), queries.raw_contacts(spark, SF).filter("phone > '1'")):
+        text = plan(rows)
+        assert "REPARTITION_BY_NUM" in text
+        assert "Filter (" not in text.split("REPARTITION_BY_NUM")[1] and "Filter (" in text
+
+
+def test_links_are_parsed_once(spark):
+    """Hosts and edges both come from the table of links."""
+    seeds = spark.createDataFrame([("https://a.ru",)], "seed_url string")
+    with RunTables(spark) as run:
+        text = plan(graph.edges_on_sites(graph.link_targets(extract.page_contacts(scan(spark))), seeds, run))
+        assert ".targets[" in text and "regexp_extract_all(coalesce(html" not in text
