@@ -144,3 +144,18 @@ def test_the_page_table_as_a_stream_is_a_file_or_a_folder(spark, tmp_path, files
         frame.limit(1).write.parquet(str(tmp_path / "more_pages.parquet"))
     got = queries.contacts_from_stream(spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.site, r.kind, r.value) for r in got) == [(i, f"c{i}.ru", "email", f"u{i}@mail.ru") for i in range(9)]
+
+
+def test_batches_of_a_stream_see_the_tables_of_their_own_batch(spark, tmp_path):
+    """Batches run in a session of their own, the walk reads in the one of its seeds."""
+    rows = [(i, f"https://c.ru/{i}", f'<a href="/{i + 1}">n</a>') for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part in range(3):
+        frame.filter(f"page_id % 3 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with RunTables(spark) as run:
+        arriving = ArrivingWalk(spark.createDataFrame([("https://c.ru/0",)], "seed_url string"), run)
+        state = stream.writeStream.foreachBatch(arriving.add).option("checkpointLocation", str(tmp_path / "state"))
+        state.trigger(availableNow=True).start().awaitTermination()
+        assert arriving.batches == 3
+        assert sorted((r.url, r.depth) for r in arriving.visited().collect()) == [(f"https://c.ru/{i}", i) for i in range(10)]
