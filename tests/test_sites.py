@@ -180,6 +180,43 @@ def test_edges_of_a_hot_domain_are_spread_over_tasks(spark):
     assert len({r[3] for r in got if "hot.ru" in r[0]}) > 1
 
 
+@pytest.mark.parametrize("block, part, n_buckets", [(16, 8, 4), (50, 7, 3), (1000, 256, 1)])
+def test_blocks_of_edges_meet_blocks_of_seeds(spark, monkeypatch, block, part, n_buckets):
+    """Against the rule itself, however blocks and their slices fall; domains with one seed, one edge or none included."""
+    monkeypatch.setattr(graph, "BLOCK_EDGES", block)
+    monkeypatch.setattr(graph, "SLICE", part)
+    rows = [(f"https://{d}hot.ru/{i}", f"https://hot.ru/{i % 40}/{j}") for i in range(97) for j, d in enumerate(["", "x."])]
+    rows += [("https://one.ru/1", "https://one.ru/2"), ("https://out.ru/1", "https://hot.ru/1"), (None, "https://hot.ru/9"), ("https://hot.ru/1", None), *rows[:9]]
+    names = [f"https://hot.ru/?s={i}" for i in range(131)] + [f"https://one.ru/{i}" for i in range(60)] + ["https://x.hot.ru", "https://out.ru", "https://none.ru", "none"]
+    with RunTables(spark) as run:
+        run.n_buckets = n_buckets
+        edges = spark.createDataFrame(rows, "src_url string, dst_url string")
+        got = [tuple(r) for r in graph.same_domain_edges(edges, seeds(spark, *names, names[0]), run).collect()]
+    host = lambda url: url.split("/")[2] if url and "/" in url else ""
+    within = lambda h, d: h == d or h.endswith("." + d)
+    want = {(s, a, b) for s in names if host(s) for a, b in rows if within(host(a), host(s)) and within(host(b), host(s))}
+    assert len(want) > 194 * 131 and sorted(got) == sorted(want)
+
+
+def test_no_edges_or_no_seeds_of_a_domain(spark):
+    edges = spark.createDataFrame([("https://a.ru/1", "https://a.ru/2")], "src_url string, dst_url string")
+    with RunTables(spark) as run:
+        assert graph.same_domain_edges(edges, seeds(spark, "https://b.ru", "none"), run).collect() == []
+    with RunTables(spark) as run:
+        assert graph.same_domain_edges(edges.limit(0), seeds(spark, "https://a.ru"), run).collect() == []
+
+
+def test_edges_of_many_seeds_are_stored_small(spark, tmp_path):
+    """Rows that share their values stand together, so that a file takes little more than a row's share of the distinct values."""
+    rows = spark.range(5000).select(F.format_string("https://hot.ru/page/%d", "id").alias("src_url"), F.format_string("https://hot.ru/to/%d", F.col("id") * 7).alias("dst_url"))
+    names = spark.range(1500).select(F.format_string("https://hot.ru/seed/%d", "id").alias("seed_url"))
+    with RunTables(spark) as run:
+        graph.same_domain_edges(rows, names, run).write.parquet(f"{tmp_path}/out")
+        found = spark.read.parquet(f"{tmp_path}/out")
+        assert found.count() == 5000 * 1500
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.4 * 5000 * 1500
+
+
 HOSTS = [
     "shop.ru", "www.shop.ru", "a.b.shop.ru", "notshop.ru", "shop.ru.evil.org", "shop.ru:8080", "x.shop.ru:8080", "b.shop.ru", "c.b.shop.ru", "ru", "", "shop-x.ru",
     "shop.com", "z.com", "a.z.com", "com", "user@shop.ru", "localhost", "SHOP.RU", "c.shop.ru", "zz.shop.ru", "shop.rua", "0.shop.ru",
